@@ -25,6 +25,12 @@ def _struct(columns: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns])
 
 
+def _opening(first, head: Column) -> Column:
+    if isinstance(first, Column):
+        return first
+    return first(head) if callable(first) else F.lit(first)
+
+
 def _chunked(df: DataFrame, keys: Sequence[str], order: str, chunk: int) -> DataFrame:
     bucket = F.floor(F.col(order) / F.lit(chunk)).cast("long")
     return df.withColumn(_CHUNK, bucket).repartition(*[F.col(k) for k in keys], F.col(_CHUNK))
@@ -36,13 +42,13 @@ def accumulate(
     order: str,
     columns: Sequence[str],
     step: Callable[[Column, Column], Mapping[str, Column]],
-    first: Mapping[str, Column | float],
+    first: Mapping[str, Column | float | Callable[[Column], Column]],
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Running totals of ``step(previous, current)`` along ``order`` within ``keys``.
 
     ``previous`` and ``current`` are structs of ``columns``; ``first`` gives the step of
-    the first row of a key.  Adds ``<name>`` (inclusive total) and ``<name>_step``.
+    the first row of a key (a value, or a function of that row's struct).  Adds ``<name>`` (inclusive total) and ``<name>_step``.
     """
     keys = list(keys)
     names = list(first)
@@ -69,7 +75,7 @@ def accumulate(
     carry = carry.withColumns(
         {
             f"__h_{n}": F.when(F.col("__before").isNotNull(), head[n]).otherwise(
-                first[n] if isinstance(first[n], Column) else F.lit(first[n])
+                _opening(first[n], F.col("__head"))
             )
             for n in names
         }

@@ -206,3 +206,23 @@ def components(spark: SparkSession, sf: str, every_center: bool) -> DataFrame:
     return comp.contact_components(
         edges(spark, sf), grid(spark, sf) if every_center else None, labels(spark, sf)
     )
+
+
+def center_track(spark: SparkSession, sf: str) -> DataFrame:
+    """Every center in every week: wrapped position, state and cluster flag."""
+    nodes = components(spark, sf, True)
+    sizes = nodes.groupBy("frame", "root").agg(
+        (F.count(F.when(F.col("kind") == "center", 1)) >= 2).cast("int").alias("is_clustered")
+    )
+    where = nodes.filter(F.col("kind") == "center").select(
+        "frame", "root", F.col("node_id").alias("center_id")
+    )
+    flags = where.join(sizes, ["frame", "root"]).select("frame", "center_id", "is_clustered")
+    return states(spark, sf).select("frame", "center_id", "state").join(flags, ["frame", "center_id"]).withColumns(
+        {
+            "x": _spot("center_id", 7919, 104729),
+            "y": _spot("center_id", 6101, 15485863),
+            "z": _spot("center_id", 3571, 49979687),
+            "box": F.lit(BOX),
+        }
+    )
