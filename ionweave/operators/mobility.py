@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +15,16 @@ from ionweave.operators.quantiles import exact_quantile
 WARN_STEP = 25.0  # fixed value
 
 
-def unwrap(
-    df: DataFrame, keys: Sequence[str], order: str = "frame", *, xyz: tuple[str, str, str] = ("x", "y", "z"),
-    box: Sequence[str] = ("box",), rule: str = "current", out: tuple[str, str, str] = ("ux", "uy", "uz"),
-    chunk: int = CHUNK,
+def unwrap_bodies(
+    df: DataFrame, keys: Sequence[str], order: str, bodies: Mapping[str, tuple[str, str, str]],
+    *, box: Sequence[str] = ("box",), rule: str = "current", chunk: int = CHUNK,
 ) -> DataFrame:
-    """Running unwrapped positions and the minimum-image ``step`` length of every row.
+    """Running unwrapped positions of several bodies in one ordered pass.
 
-    ``box`` is one cubic length, three lengths, or three lengths and three angles;
-    ``rule`` takes the box of the current row or the mean of previous and current.
+    ``bodies`` maps an output prefix to its wrapped columns; adds ``<prefix>x/y/z`` and the
+    minimum-image step length ``<prefix>step`` (NULL on the first row of a key).  ``box`` is
+    one cubic length, three lengths, or three lengths and three angles; ``rule`` takes the box
+    of the current row or the mean of previous and current.
     """
     def cell(prev: Column, cur: Column) -> list[Column]:
         now = [cur[b] for b in box]
@@ -32,18 +33,34 @@ def unwrap(
         return now * 3 if len(now) == 1 else now
 
     def step(prev: Column, cur: Column) -> dict[str, Column]:
-        d = fields(cur, xyz).minus(fields(prev, xyz))
-        lengths = cell(prev, cur)
-        moved = (
-            minimum_image_triclinic(d, *lengths) if len(lengths) == 6
-            else minimum_image(d, Vector(*lengths))
-        )
-        return {**dict(zip(out, moved)), "__hop": F.lit(1)}
-
-    first = {o: (lambda head, c=c: head[c]) for o, c in zip(out, xyz)}
-    done = accumulate(df, keys, order, [*xyz, *box], step, {**first, "__hop": 0}, chunk)
-    length = vector(*[f"{o}_step" for o in out]).norm()
-    return done.withColumn("step", F.when(F.col("__hop") > 0, length)).select(*df.columns, *out, "step")
+        out = {"__hop": F.lit(1)}
+        for name, xyz in bodies.items():
+            d = fields(cur, xyz).minus(fields(prev, xyz))
+            lengths = cell(prev, cur)
+            moved = (
+                minimum_image_triclinic(d, *lengths) if len(lengths) == 6
+                else minimum_image(d, Vector(*lengths))
+            )
+            out |= {f"{name}{a}": m for a, m in zip("xyz", moved)}
+        return out
+
+    first = {f"{n}{a}": (lambda head, c=c: head[c]) for n, xyz in bodies.items() for a, c in zip("xyz", xyz)}
+    columns = list(dict.fromkeys([c for xyz in bodies.values() for c in xyz] + list(box)))
+    done = accumulate(df, keys, order, columns, step, {**first, "__hop": 0}, chunk)
+    lengths = {
+        f"{n}step": F.when(F.col("__hop") > 0, vector(*[f"{n}{a}_step" for a in "xyz"]).norm()) for n in bodies
+    }
+    return done.withColumns(lengths).select(*df.columns, *[f"{n}{a}" for n in bodies for a in "xyz"], *lengths)
+
+
+def unwrap(
+    df: DataFrame, keys: Sequence[str], order: str = "frame", *, xyz: tuple[str, str, str] = ("x", "y", "z"),
+    box: Sequence[str] = ("box",), rule: str = "current", chunk: int = CHUNK,
+) -> DataFrame:
+    """Unwrapped ``ux, uy, uz`` of one body and its ``step`` length."""
+    return unwrap_bodies(df, keys, order, {"u": xyz}, box=box, rule=rule, chunk=chunk).withColumnRenamed(
+        "ustep", "step"
+    )
 
 
 def max_step_audit(unwrapped: DataFrame, species: str = "species", warn: float = WARN_STEP) -> DataFrame:
