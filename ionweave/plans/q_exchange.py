@@ -78,7 +78,7 @@ register(
 )
 register(
     "turnover_bins", lambda s, d: ex.turnover_bins(samples(s, d), 33),
-    """SELECT bin, avg(turnover) AS mean_turnover, avg(r2) AS mean_msd, count(*) AS n FROM (SELECT turnover, r2, greatest(len(list_filter(e, x -> x < turnover)), 1) AS bin FROM (SELECT * FROM samples WHERE shell = 'combined' AND lag = 33),
+    """SELECT bin, avg(turnover) AS mean_turnover, avg(r2) AS mean_msd, count(*) AS n FROM (SELECT turnover, r2, greatest(len(list_filter(e, lambda x: x < turnover)), 1) AS bin FROM (SELECT * FROM samples WHERE shell = 'combined' AND lag = 33),
  (SELECT list_distinct(quantile_cont(turnover, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM samples WHERE shell = 'combined' AND lag = 33) WHERE len(e) >= 3) GROUP BY 1""",
     ["samples"], {"mean_turnover": 6, "mean_msd": 5},
 )

@@ -61,7 +61,7 @@ define("dom", f"SELECT frame, center_id, chain, CAST(greatest(1, least({N_SITES}
 define("cstate", "SELECT frame, center_id, coalesce(chain, -1) AS chain, coalesce(site, -1) AS site, coordinate FROM grid LEFT JOIN dom USING (frame, center_id)", "grid", "dom")
 define(
     "smooth",
-    """SELECT frame, center_id, chain, site, coordinate, sc AS smooth_chain, CASE WHEN sc >= 0 THEN CAST(round_even(list_median(list_filter([CASE WHEN lc = sc THEN ls END, CASE WHEN chain = sc THEN site END, CASE WHEN rc = sc THEN rs END], x -> x IS NOT NULL)), 0) AS BIGINT) ELSE -1 END AS smooth_site
+    """SELECT frame, center_id, chain, site, coordinate, sc AS smooth_chain, CASE WHEN sc >= 0 THEN CAST(round_even(list_median(list_filter([CASE WHEN lc = sc THEN ls END, CASE WHEN chain = sc THEN site END, CASE WHEN rc = sc THEN rs END], lambda x: x IS NOT NULL)), 0) AS BIGINT) ELSE -1 END AS smooth_site
  FROM (SELECT *, CASE WHEN lc = rc THEN lc ELSE chain END AS sc FROM (SELECT *, lag(chain, 1, chain) OVER w AS lc, lag(site, 1, site) OVER w AS ls, lead(chain, 1, chain) OVER w AS rc, lead(site, 1, site) OVER w AS rs FROM cstate WINDOW w AS (PARTITION BY center_id ORDER BY frame)))""", "cstate",
 )
 define("flags", "SELECT frame, center_id, CAST(n_anion > 0 AS INTEGER) AS anion_present, CAST(n_chain >= 2 AS INTEGER) AS multichain, n_site, n_chain FROM numbers", "numbers")
