@@ -69,7 +69,7 @@ register(
 
 
 def unwrapped(s, d, rule="current"):
-    return mo.unwrap(v.track(s, d), ["entity_id"], rule=rule)
+    return v.shared(s, d, f"unwrapped_{rule}", lambda: mo.unwrap(v.track(s, d), ["entity_id"], rule=rule))
 
 
 def unwrap_cte(source: str, key: str, order: str = "frame") -> str:
@@ -160,7 +160,7 @@ register(
 
 
 def center_walk(s, d):
-    return mo.unwrap(v.center_track(s, d), ["center_id"])
+    return v.shared(s, d, "center_walk", lambda: mo.unwrap(v.center_track(s, d), ["center_id"]))
 
 
 define(

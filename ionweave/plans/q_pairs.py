@@ -18,7 +18,8 @@ def _pairs(s, d):
 
 
 def events(s, d):
-    return pr.pair_events(_pairs(s, d), v.frames(s, d), v.DT_PS)
+    """The pair table: a stage table, read by every pair query."""
+    return v.shared(s, d, "pair_events", lambda: pr.pair_events(_pairs(s, d), v.frames(s, d), v.DT_PS))
 
 
 def _n_centers(s, d):

@@ -97,7 +97,11 @@ def chains(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.with_state(ct.coordination_numbers(contacts(spark, sf), grid(spark, sf)))
+    """Coordination numbers and state of every cell; a stage table like the contact table."""
+    return shared(
+        spark, sf, "states",
+        lambda: ct.with_state(ct.coordination_numbers(contacts(spark, sf), grid(spark, sf))),
+    )
 
 
 def _spot(entity: str, a: int, b: int):
