@@ -250,17 +250,18 @@ def stage_reconciliation(
     pairs: DataFrame, events: DataFrame, identities: DataFrame, frame_rows: DataFrame, curve: DataFrame
 ) -> DataFrame:
     """Row, event and frame totals agree between stages; survival is bounded and never rises."""
-    one = (
-        pairs.agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("new_event").alias("new_flags"),
-            F.sum("n_sites").alias("contacts"),
-        )
-        .join(events.agg(F.count(F.lit(1)).alias("events"), F.sum("n_frames").alias("event_rows"),
-                         F.min("is_continuous").alias("continuous"), F.max("n_new_flags").alias("flags")), how="inner")
-        .join(identities.agg(F.sum("n_events").alias("id_events"), F.sum("total_frames").alias("id_rows")), how="inner")
-        .join(frame_rows.agg(F.sum("n_pairs").alias("frame_pairs"), F.sum("n_new").alias("frame_new"),
-                             F.sum("n_contacts").alias("frame_contacts")), how="inner")
-        .join(curve.agg(F.min("survival").alias("s_min"), F.max("survival").alias("s_max")), how="inner")
+    n = F.count(F.lit(1))
+    one = pairs.agg(n.alias("rows"), F.sum("new_event").alias("new_flags"), F.sum("n_sites").alias("contacts"))
+
+    def total(df: DataFrame, **aggs: Column) -> dict[str, Column]:
+        row = df.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("s")).select("s").scalar()
+        return {k: row[k] for k in aggs}
+
+    one = one.withColumns(
+        total(events, events=n, event_rows=F.sum("n_frames"), continuous=F.min("is_continuous"), flags=F.max("n_new_flags"))
+        | total(identities, id_events=F.sum("n_events"), id_rows=F.sum("total_frames"))
+        | total(frame_rows, frame_pairs=F.sum("n_pairs"), frame_new=F.sum("n_new"), frame_contacts=F.sum("n_contacts"))
+        | total(curve, s_min=F.min("survival"), s_max=F.max("survival"))
     )
     c = F.col
     diff = lambda a, b: (c(a) == c(b), (c(a) - c(b)).cast("double"))

@@ -30,7 +30,11 @@ def exact_quantile(
         (F.col("__lo") if low == 0.0 else F.col("__e")[0]).alias("__lo"),
         (F.col("__hi") if high == 1.0 else F.col("__e")[1]).alias("__hi"),
     )
-    placed = rows.join(edges, by) if by else rows.join(edges, how="inner")
+    if by:
+        placed = rows.join(edges, by)
+    else:
+        found = edges.select(F.struct("__n", "__lo", "__hi").alias("e")).select("e").scalar()
+        placed = rows.withColumns({c: found[c] for c in ("__n", "__lo", "__hi")})
     # Rows below the bracket collapse to one count per group, rows inside to one per value.
     at = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
     counted = placed.filter(F.col("__v") <= F.col("__hi")).groupBy(*by, "__n", at.alias("__v")).agg(

@@ -11,12 +11,58 @@ from ionweave.operators import coordination as co
 from ionweave.operators import structure as st
 from ionweave.plans import views as v
 from ionweave.plans.registry import define, register
+from ionweave.session import scratch
 from ionweave.sources import checks as ck
+from ionweave.sources import dump as dp
 from ionweave.sources import tables as tb
 from ionweave.functions import codecs
 
 # --- A: selections, clock, checks, codecs -------------------------------------------------
 
+HEADS = ("id type x y z", "id type xs ys zs", "id type xu yu zu x y z")
+
+
+def _dump_text(s, d):
+    """One dump record per event: a frame with one atom, under one of three headers."""
+    e = v.table(s, d, "events")
+    x, k = F.col("value"), F.col("event_id") % 3
+    num = lambda c: c.cast("string")
+    head = F.when(k == 0, HEADS[0]).when(k == 1, HEADS[1]).otherwise(HEADS[2])
+    xyz = F.when(k == 1, F.concat_ws(" ", F.lit("0.5"), num(x / 1000), F.lit("0.25"))).otherwise(F.concat_ws(" ", num(x), F.lit("1.5"), num(-x)))
+    tail = F.when(k == 2, F.lit(" 0 0 0")).otherwise(F.lit(""))
+    return e.select(
+        F.concat(
+            num(F.col("event_id") * 10), F.lit("\nITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS pp pp pp\n0.0 10.0\n-5.0 15.0\n0.0 40.0\nITEM: ATOMS "),
+            head, F.lit("\n"), num(F.col("user_id")), F.lit(" 4 "), xyz, tail, F.lit("\n"),
+        ).alias("value")
+    )
+
+
+register(
+    "ingest_trajectory", lambda s, d: dp.parse_dump(_dump_text(s, d)),
+    """SELECT row_number() OVER (ORDER BY event_id) - 1 AS frame, event_id * 10 AS step, user_id AS atom_id, 4 AS type, CASE WHEN event_id % 3 = 1 THEN 5 ELSE value END AS x, CASE WHEN event_id % 3 = 1 THEN -5 + value / 1000 * 20 ELSE 1.5 END AS y,
+ CASE WHEN event_id % 3 = 1 THEN 10 ELSE -value END AS z, CAST(10 AS DOUBLE) AS box_a, CAST(20 AS DOUBLE) AS box_b, CAST(40 AS DOUBLE) AS box_c, CASE WHEN event_id % 3 = 2 THEN 'unwrapped' ELSE 'wrapped' END AS mode FROM events""",
+    (), ["x", "y", "z"],
+)
+
+
+def _written(s, d):
+    """States written as gzip CSV and read back typed."""
+    out = scratch(s, "csv")
+    tb.write_tables({"master": tb.frame_time(v.states(s, d), v.DT_PS)}, out, "csv.gz")
+    return tb.read_master(s, f"{out}/master", fmt="csv")
+
+
+register("read_master", _written, "SELECT *, frame * CAST(30 AS DOUBLE) AS time_ps FROM states", ["states"], ["time_ps"])
+
+
+def _written_pairs(s, d):
+    out = scratch(s, "pairs")
+    tb.write_tables({"pairs": v.pairs(s, d)}, out)
+    return tb.read_pairs(s, f"{out}/pairs", ["frame", "center_id", "anion_id", "min_distance"])
+
+
+register("read_pairs", _written_pairs, "SELECT * FROM pairs", ["pairs"], ["min_distance", "mean_distance"])
 register(
     "select_atoms",
     lambda s, d: tb.select_atoms(

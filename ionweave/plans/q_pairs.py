@@ -9,6 +9,8 @@ from ionweave.operators import population as po
 from ionweave.plans import views as v
 from ionweave.plans.q_dynamics import bounds, islands, km_sql
 from ionweave.plans.registry import define, register
+from ionweave.session import scratch
+from ionweave.streaming.pair_tracker import pair_events_stream
 
 PLAIN = ["frame", "center_id", "anion_id", "n_sites", "min_distance", "mean_distance"]
 
@@ -71,6 +73,21 @@ define(
     "pevents", "bounds",
 )
 _PD = ["min_distance", "mean_distance"]
+
+
+def _stream(s, d):
+    """Drive the stateful stream over the pair table and read its sink."""
+    source = v.shared(s, d, "stream_input", lambda: events(s, d).select("center_id", "anion_id", "frame", "ordinal"))
+    folder = source.inputFiles()[0].rsplit("/", 1)[0]
+    out = scratch(s, "stream")
+    numbered = pair_events_stream(s.readStream.schema(source.schema).parquet(folder))
+    numbered.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return s.read.parquet(f"{out}/rows")
+
+
+register("pair_events_stream", _stream, "SELECT center_id, anion_id, frame, ordinal, event_number, age_frames, continuing, new_event FROM pevents", ["pevents"])
 register("frame_pairs", lambda s, d: pr.frame_pairs(v.contacts(s, d)),
          "SELECT frame, center_id, anion_id, n_sites, min_distance, mean_distance FROM pairs", ["pairs"], _PD)
 register("pair_events", events, "SELECT * FROM pevents", ["pevents"], [*_PD, "age_ps"])
