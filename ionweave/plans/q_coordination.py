@@ -185,6 +185,20 @@ register(
     ["states"],
 )
 
+register(
+    "encode_json_map", lambda s, d: tb.master_texts(v.contacts(s, d)),
+    """SELECT frame, center_id, concat('{', coalesce(string_agg(concat('"', ligand_id, '":[', sites, ']'), ',' ORDER BY ligand_id) FILTER (ligand_kind = 'polymer'), ''), '}') AS chain_sites,
+ concat('{', coalesce(string_agg(concat('"', ligand_id, '":', n), ',' ORDER BY ligand_id) FILTER (ligand_kind = 'anion'), ''), '}') AS anion_counts FROM
+ (SELECT frame, center_id, ligand_kind, ligand_id, count(*) AS n, string_agg(CAST(site_index AS VARCHAR), ',' ORDER BY site_index) AS sites FROM contacts GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
+    ["contacts"],
+)
+register(
+    "contacts_from_master", lambda s, d: tb.contacts_from_master(tb.master_texts(v.contacts(s, d))),
+    """SELECT frame, center_id, ligand_kind, ligand_id, site_index FROM contacts WHERE ligand_kind = 'polymer'
+ UNION ALL SELECT frame, center_id, ligand_kind, ligand_id, unnest(range(1, denticity + 1)) FROM lig WHERE ligand_kind = 'anion'""",
+    ["contacts", "lig"],
+)
+
 # --- C: coordination database --------------------------------------------------------------
 
 register("coordination_numbers", lambda s, d: ct.coordination_numbers(v.contacts(s, d), v.grid(s, d)),

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ionweave.functions.codecs import decode_count_map, decode_site_map, encode_map
 from ionweave.functions.states import nan_to_null
 
+QUOTE = '"'  # fixed value: quotes inside CSV cells are doubled
 _L, _D, _S, _I = T.LongType(), T.DoubleType(), T.StringType(), T.IntegerType()
 
 
@@ -28,6 +30,74 @@ PAIR_SCHEMA = _schema(
 )
 
 
+# Column names of existing master and pair files, and the names used here.
+FILE_NAMES = {
+    "metal_atom_id": "center_id",
+    "metal_id": "center_id",
+    "tfsi_resid": "anion_id",
+    "n_peo_oxygen": "n_site",
+    "n_peo_chains": "n_chain",
+    "n_tfsi_oxygen": "n_anion_site",
+    "n_tfsi_molecules": "n_anion",
+    "total_oxygen_cn": "n_total",
+    "coordination_state": "state",
+    "peo_oxygen_atom_ids": "site_ids",
+    "peo_chain_resids": "chain_ids",
+    "tfsi_resids": "anion_ids",
+    "peo_chain_eo_mapping": "chain_sites",
+    "tfsi_denticity": "anion_counts",
+    "n_coordinating_oxygens": "n_sites",
+    "min_metal_oxygen_distance_A": "min_distance",
+    "mean_metal_oxygen_distance_A": "mean_distance",
+    "continuing_pair": "continuing",
+    "new_pair_event": "new_event",
+    "pair_age_frames": "age_frames",
+    "pair_age_ps": "age_ps",
+    "metal_x_A": "cx",
+    "metal_y_A": "cy",
+    "metal_z_A": "cz",
+    "tfsi_x_A": "ax",
+    "tfsi_y_A": "ay",
+    "tfsi_z_A": "az",
+    "box_a_A": "box",
+}
+
+
+def with_role_names(df: DataFrame) -> DataFrame:
+    """Rename known file columns to role names where the role name is not taken yet."""
+    swap = {a: b for a, b in FILE_NAMES.items() if a in df.columns and b not in df.columns}
+    return df.withColumnsRenamed(swap)
+
+
+def contacts_from_master(master: DataFrame) -> DataFrame:
+    """Contact rows from the chain-site and anion-count texts of a master table.
+
+    Anion sites have no numbers in the text, so they count from 1; distances are unknown.
+    """
+    polymer = master.select(
+        "frame", "center_id", F.explode(decode_site_map(F.col("chain_sites"))).alias("ligand_id", "sites")
+    ).select("frame", "center_id", F.lit("polymer").alias("ligand_kind"), "ligand_id", F.explode("sites").alias("site_index"))
+    anion = master.select(
+        "frame", "center_id", F.explode(decode_count_map(F.col("anion_counts"))).alias("ligand_id", "n")
+    ).filter(F.col("n") > 0).select(
+        "frame", "center_id", F.lit("anion").alias("ligand_kind"), "ligand_id", F.explode(F.sequence(F.lit(1), "n")).alias("site_index")
+    )
+    return polymer.unionByName(anion).withColumn("site_index", F.col("site_index").cast("bigint"))
+
+
+def master_texts(contacts: DataFrame) -> DataFrame:
+    """The text cells of a master row.  A cell holds one center's shell, as the file format demands."""
+    lig = contacts.groupBy("frame", "center_id", "ligand_kind", "ligand_id").agg(
+        F.sort_array(F.collect_list("site_index")).alias("sites")
+    )
+    poly = F.col("ligand_kind") == "polymer"
+    rows = lig.groupBy("frame", "center_id").agg(
+        F.map_from_entries(F.collect_list(F.when(poly, F.struct("ligand_id", "sites")))).alias("c"),
+        F.map_from_entries(F.collect_list(F.when(~poly, F.struct("ligand_id", F.size("sites"))))).alias("a"),
+    )
+    return rows.select("frame", "center_id", encode_map(F.col("c")).alias("chain_sites"), encode_map(F.col("a")).alias("anion_counts"))
+
+
 def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -44,12 +114,12 @@ def read_table(
     Only files written as CSV.gz are unsplittable: convert those once with ``write_tables``.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", True).csv(path)
+        raw = with_role_names(spark.read.options(header=True, escape=QUOTE).csv(path))
         require_columns(raw, required)
         kept = [f for f in schema.fields if f.name in raw.columns]
         df = raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in kept])
     else:
-        df = spark.read.format(fmt).load(path)
+        df = with_role_names(spark.read.format(fmt).load(path))
         require_columns(df, required)
         kept = [f for f in schema.fields if f.name in df.columns]
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kept])
@@ -71,7 +141,7 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parqu
         out = df.repartitionByRange(order).sortWithinPartitions(order) if order in df.columns else df
         writer = out.write.mode("overwrite")
         if fmt in ("csv", "csv.gz"):
-            writer = writer.option("header", True)
+            writer = writer.options(header=True, escape=QUOTE)
             if fmt == "csv.gz":
                 writer = writer.option("compression", "gzip")
             writer.csv(f"{folder}/{name}")

@@ -102,3 +102,12 @@ def test_stream_equals_batch(spark, tmp_path):
     cols = ["frame", "center_id", "anion_id", "event_number", "age_frames", "continuing", "new_event"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
     assert closed_events(got, 29).filter("is_open = 1").count() == df.filter("frame = 29").count()
+
+
+def test_master_file_to_contacts(spark, tmp_path):
+    text = 'frame,metal_atom_id,n_peo_oxygen,coordination_state,peo_chain_eo_mapping,tfsi_denticity\n3,9,2,PT,"{""7"": [4, 5]}","{""2"": 2, ""5"": 1}"\n4,9,0,F,,{}\n'
+    (tmp_path / "m.csv").write_text(text)
+    master = tables.read_master(spark, str(tmp_path / "m.csv"), ["frame", "center_id", "state"], "csv")
+    assert [r.state for r in master.orderBy("frame").collect()] == ["PT", "F"]
+    got = sorted(map(tuple, tables.contacts_from_master(master).collect()))
+    assert got == [(3, 9, "anion", 2, 1), (3, 9, "anion", 2, 2), (3, 9, "anion", 5, 1), (3, 9, "polymer", 7, 4), (3, 9, "polymer", 7, 5)]
