@@ -236,9 +236,10 @@ def neighbours(
     ahead = max(0, max(offsets.values()))
     chunk = max(chunk, 4 * max(back, ahead))
     w = Window.partitionBy(*keys, _CHUNK).orderBy(order)
-    ghosts = _with_ghosts(df, keys, order, back, ahead, chunk)
+    # One struct column, so the shuffle carries it once and not once per offset.
+    ghosts = _with_ghosts(df, keys, order, back, ahead, chunk).withColumn("__seen", _struct(columns))
     found = ghosts.withColumns(
-        {n: F.first(_struct(columns)).over(w.rangeBetween(o, o)) for n, o in offsets.items()}
+        {n: F.first("__seen").over(w.rangeBetween(o, o)) for n, o in offsets.items()}
     )
     return found.filter(F.col("__home") == F.col(_CHUNK)).select(*df.columns, *offsets)
 
@@ -272,10 +273,12 @@ def lag_pairs(
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if between:
         rows = rows.withColumns({f"__p_{n}": F.sum(c).over(running) for n, c in between.items()})
+    # One struct column, so the shuffle carries it once and not once per lag.
     ahead = F.struct(
         *[F.col(c).alias(f"end_{c}") for c in end], *[F.col(f"__p_{n}") for n in between]
     )
-    found = rows.withColumns({f"__l{v}": F.first(ahead).over(w.rangeBetween(v, v)) for v in lags})
+    rows = rows.withColumn("__ahead", ahead)
+    found = rows.withColumns({f"__l{v}": F.first("__ahead").over(w.rangeBetween(v, v)) for v in lags})
     found = found.filter(
         (F.col("__home") == F.col(_CHUNK)) & (F.col(ordinal) % F.lit(stride) == 0)
     )

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import importlib
 
-from ionweave.plans.registry import ORACLES, QUERIES
+from ionweave.plans.registry import QUERIES, oracle_texts
 
 AREAS = ("coordination", "dynamics", "pairs", "mobility", "comotion", "network", "sliding", "transport", "ligands", "exchange")
 for area in AREAS:
-    try:
-        importlib.import_module(f"ionweave.plans.q_{area}")
-    except ModuleNotFoundError as err:
-        if err.name != f"ionweave.plans.q_{area}":
-            raise
+    importlib.import_module(f"ionweave.plans.q_{area}")
+
+ORACLES = oracle_texts()
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -14,7 +14,7 @@ from ionweave.session import tune
 NUDGE = 3.3e-10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_TEXTS: dict[str, tuple[str, tuple[str, ...], dict[str, int]]] = {}
 
 WEEK = "CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7) AS BIGINT)"
 
@@ -118,8 +118,16 @@ def register(
 
     QUERIES[name] = run
     if sql is not None:
+        _TEXTS[name] = (sql, tuple(needs), places)
+
+
+def oracle_texts() -> dict[str, str]:
+    """DuckDB text of every query that has one; call after all query modules are imported."""
+    out = {}
+    for name, (sql, needs, places) in _TEXTS.items():
         text = with_tables(sql, *needs)
         if places:
             swap = ", ".join(f"round({c} + CAST({NUDGE} AS DOUBLE), {d}) + 0.0 AS {c}" for c, d in places.items())
             text = f"SELECT * REPLACE ({swap}) FROM (\n{text}\n)"
-        ORACLES[name] = text
+        out[name] = text
+    return out
