@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ionweave.session import tune
+
 #: A word is a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of ``order_key``.
@@ -48,3 +51,13 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
     w = Window.partitionBy(*keys, "__hi").orderBy(order).rowsBetween(past, -1)
     local = rows.withColumn("__in", F.coalesce(F.sum(value).over(w), F.lit(0)))
     return local.join(tops, [*keys, "__hi"]).withColumn(out, (F.col("__base") + F.col("__in")).cast("long")).drop("__hi", "__base", "__in")
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the options of ``tune``, its Python workers able to import this package from the driver's copy."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return tune(spark)

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import licenses, mixing, packing, sharding, token_files
+from ionweave.llm import fingerprints, licenses, mixing, neardup, packing, sharding, token_files, topk, toxicity, warc
+from ionweave.llm.common import prepared
 from ionweave.llm.tokens import vocabulary
-from ionweave.session import scratch, tune
+from ionweave.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,6 +32,18 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+@_query
+def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf, "documents")).drop("text_hash")
+
+
+@_query
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    pages, path = _table(spark, sf, "pages"), scratch(spark, "warc")
+    warc.write_warc(pages, path)
+    return warc.page_records(spark, path)
+
+
 @_query
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf, "documents")).drop("copies")
@@ -46,6 +59,21 @@ def op6_pack_documents(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@_query
+def op7_top_products(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_products(_table(spark, sf, "embeddings"))
+
+
+@_query
+def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_table(spark, sf, "documents"))
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 @_query
 def op10_scan_licences(spark: SparkSession, sf: str) -> DataFrame:
     out = licenses.scan_licences(_table(spark, sf, "documents"))
