@@ -95,7 +95,10 @@ INDEX_SCHEMA = "template string, label string, kind string, word string, tpos lo
 
 
 def licence_places(files: DataFrame, postings: DataFrame, least: float = 0.75) -> DataFrame:
-    """(__row, template, label, kind, start, score): where templates stand in a file, with their matched weight (0 to 1)."""
+    """(__row, template, label, kind, start, score): where templates stand in a file, with their matched weight (0 to 1).
+
+    A notice that is cut off in front may start before the first word.
+    """
     sought = [r[0] for r in postings.filter("rare").select("word").distinct().collect()]
     start = (F.col("h.pos") - F.col("tpos")).alias("start")
     # The rare words alone give the candidate places: all of a template's must agree on where it starts.
@@ -103,7 +106,7 @@ def licence_places(files: DataFrame, postings: DataFrame, least: float = 0.75) -
     rare = postings.filter("rare").select("template", "tpos", F.col("word").alias("__word"))
     lead = some.join(rare, F.col("h.word") == F.col("__word")).groupBy("__row", "template", start).agg(F.count(F.lit(1)).alias("__n"))
     needed = postings.filter("rare").groupBy("template").agg(F.count(F.lit(1)).alias("__rare"))
-    lead = lead.join(needed, "template").filter("start >= 0 AND __n = __rare").select("__row", "template", "start")
+    lead = lead.join(needed, "template").filter("__n = __rare").select("__row", "template", "start")
     # At those places the rest of the words is verified, the mandatory ones without exception.
     held = files.join(lead.select("__row").distinct(), "__row").select("__row", F.explode("hits").alias("h"))
     terms = postings.withColumnRenamed("word", "__word")
