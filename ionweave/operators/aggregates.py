@@ -17,7 +17,6 @@ from ionweave.operators.ordered import accumulate, lag_pairs, ordinals, runs
 from ionweave.session import cut
 
 GAINS = ("gx", "gy", "gz")
-MAX_INTERNAL_NODES = 32  # fixed value: larger aggregates keep no internal coordinates
 
 
 # --- bridges --------------------------------------------------------------------------------
@@ -274,8 +273,9 @@ SHAPE = ["root", "n_centers", "n_anions", "shape_a", "shape_b"]
 def aggregate_rows(geometry: DataFrame, step: int = 1) -> DataFrame:
     """Component rows with the event number of their exact membership and an instance id."""
     numbered = runs(geometry, SHAPE, "frame", step=step)
-    key = F.substring(F.lower(F.hex(F.xxhash64(*SHAPE))), 1, 14)
-    return numbered.withColumn("instance_id", F.format_string("C%s_%d_E%05d", key, F.col("root"), F.col("run")))
+    # Spells out every column of SHAPE and the run, so equal ids are equal instances.
+    parts = [F.lower(F.hex(c)) if c.startswith("shape") else F.col(c).cast("string") for c in SHAPE]
+    return numbered.withColumn("instance_id", F.concat(F.lit("C"), F.concat_ws("_", *parts), F.format_string("_E%05d", F.col("run"))))
 
 
 def aggregate_events(rows: DataFrame, first: Column, last: Column, dt_ps: float) -> DataFrame:
@@ -294,7 +294,7 @@ AGGREGATE_SUMS = ("sum_com2", "sum_rg2", "sum_internal", "n_internal")
 
 
 def aggregate_lag_sums(
-    rows: DataFrame, events: DataFrame, nodes: DataFrame, lags: Sequence[int], max_nodes: int = MAX_INTERNAL_NODES
+    rows: DataFrame, events: DataFrame, nodes: DataFrame, lags: Sequence[int]
 ) -> DataFrame:
     """Lag sums of the center of mass, radius change and internal rearrangement per event.
 
@@ -311,7 +311,7 @@ def aggregate_lag_sums(
     outer = pairs.groupBy("instance_id", "lag").agg(
         F.count(F.lit(1)).alias("n_origins"), F.sum(move.norm2()).alias("sum_com2"), F.sum(turn * turn).alias("sum_rg2")
     )
-    inside = kept.filter(F.col("n_nodes") <= max_nodes).select(
+    inside = kept.select(
         "frame", "root", "instance_id", *[f"com_{a}" for a in "xyz"]
     )
     rel = nodes.join(inside, ["frame", "root"]).select(

@@ -5,6 +5,7 @@ Lag sums are additive, so every curve is a ratio of grouped sums.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,11 +18,8 @@ from ionweave.operators.ordered import lag_pairs
 
 EPSILON = 1.0e-10  # fixed value: shorter displacements have no direction
 MIN_EVENTS, MIN_ORIGINS = 20, 200  # fixed values
-POISSON_EDGES = (  # cumulative Poisson(1) probabilities
-    0.36787944117144233, 0.73575888234288467, 0.91969860292860584, 0.98101184312384626,
-    0.99634015317265634, 0.99940581518241834, 0.99991675885071195, 0.99998975080332526,
-    0.99999887479740193, 0.99999988857452171,
-)
+#: Cumulative Poisson(1) probabilities until the rest is below what a 32-bit uniform number resolves.
+POISSON_EDGES = tuple(sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(13))
 
 PAIR_SUMS = ("sum_c2", "sum_a2", "sum_rel2", "sum_mid2", "sum_com2", "sum_dot", "sum_cos", "n_cos")
 

@@ -12,28 +12,28 @@ from ionweave.operators.ordered import neighbours, runs
 
 CONTACT_TYPES = ("polymer_site", "polymer_chain", "anion_site", "anion_molecule")
 TOLERATED_GAP = 2  # fixed value: frames an intermittent contact may be away
-MIN_EVENTS = 5  # fixed value: smaller groups get no survival curve
+MIN_EVENTS = 5  # fixed value: curves of smaller groups are marked as unsupported
 
 
 def contact_presence(contacts: DataFrame) -> DataFrame:
-    """(contact_type, center_id, partner_id, frame) at site level and at ligand level.
+    """(contact_type, center_id, partner_id, site_index, frame) at site level and at ligand level.
 
-    A site partner is ``ligand_id * 1000 + site_index``.
+    A partner is a ligand; ``site_index`` tells its sites apart and is -1 where the whole ligand is meant.
     """
     poly = F.col("ligand_kind") == "polymer"
     pair = F.array(
         F.struct(
             F.when(poly, CONTACT_TYPES[0]).otherwise(CONTACT_TYPES[2]).alias("contact_type"),
-            (F.col("ligand_id") * 1000 + F.col("site_index")).alias("partner_id"),
+            F.col("ligand_id").alias("partner_id"), F.col("site_index").cast("bigint").alias("site_index"),
         ),
         F.struct(
             F.when(poly, CONTACT_TYPES[1]).otherwise(CONTACT_TYPES[3]).alias("contact_type"),
-            F.col("ligand_id").alias("partner_id"),
+            F.col("ligand_id").alias("partner_id"), F.lit(-1).cast("bigint").alias("site_index"),
         ),
     )
     return (
         contacts.select("frame", "center_id", F.explode(pair).alias("p"))
-        .select("p.contact_type", "center_id", "p.partner_id", "frame")
+        .select("p.contact_type", "center_id", "p.partner_id", "p.site_index", "frame")
         .distinct()
     )
 
@@ -147,9 +147,10 @@ def exchange_members(presence: DataFrame, step: int = 1) -> DataFrame:
         F.struct(F.col("frame").alias("f"), F.lit(1).alias("now"), F.lit(0).alias("was")),
         F.struct((F.col("frame") + step).alias("f"), F.lit(0).alias("now"), F.lit(1).alias("was")),
     )
+    partner = [c for c in presence.columns if c not in ("contact_type", "center_id", "frame")]
     return (
-        presence.select("contact_type", "center_id", "partner_id", F.explode(roles).alias("r"))
-        .groupBy("contact_type", "center_id", F.col("r.f").alias("frame"), "partner_id")
+        presence.select("contact_type", "center_id", *partner, F.explode(roles).alias("r"))
+        .groupBy("contact_type", "center_id", F.col("r.f").alias("frame"), *partner)
         .agg(F.max("r.was").alias("was"), F.max("r.now").alias("now"))
     )
 
@@ -230,12 +231,13 @@ def lifetime_block_summary(means: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def survival_curve(
-    events: DataFrame, by: Sequence[str], *, time: str = "duration_ps", origin: bool = True, min_events: int = 1
+    events: DataFrame, by: Sequence[str], *, time: str = "duration_ps", origin: bool = True, support: int | None = None
 ) -> DataFrame:
     """Product-limit survival per group.
 
     Events collapse to one row per (group, duration) before any window, so the windows hold
-    at most one row per distinct duration.
+    at most one row per distinct duration.  With ``support``, ``is_supported`` marks groups of at
+    least that many events.
     """
     by = list(by)
     d = events.filter(F.col(time) > 0).groupBy(*by, F.col(time).alias("time_ps")).agg(
@@ -246,14 +248,15 @@ def survival_curve(
     later = part.orderBy("time_ps").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     upto = part.orderBy("time_ps").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.col("n_terminated") + F.col("n_censored")
-    t = d.withColumns({"n_at_risk": F.sum(n).over(later), "__all": F.sum(n).over(part)}).filter(
-        F.col("__all") >= min_events
-    )
+    t = d.withColumns({"n_at_risk": F.sum(n).over(later), "__all": F.sum(n).over(part)})
+    if support is not None:
+        t = t.withColumn("is_supported", (F.col("__all") >= support).cast("int"))
     curve = t.withColumn("survival", F.product(1.0 - F.col("n_terminated") / F.col("n_at_risk")).over(upto))
-    cols = [*by, "time_ps", "survival", "n_at_risk", "n_terminated", "n_censored"]
+    flag = [] if support is None else ["is_supported"]
+    cols = [*by, "time_ps", "survival", "n_at_risk", "n_terminated", "n_censored", *flag]
     if origin:
-        zero = t.select(*by, F.col("__all").alias("n_at_risk")).distinct().select(
-            *by, F.lit(0.0).alias("time_ps"), F.lit(1.0).alias("survival"), "n_at_risk",
+        zero = t.select(*by, F.col("__all").alias("n_at_risk"), *flag).distinct().select(
+            *by, *flag, F.lit(0.0).alias("time_ps"), F.lit(1.0).alias("survival"), "n_at_risk",
             F.lit(0).cast("long").alias("n_terminated"), F.lit(0).cast("long").alias("n_censored"),
         )
         return zero.select(*cols).unionByName(curve.select(*cols))
@@ -261,7 +264,7 @@ def survival_curve(
 
 
 def kaplan_meier(events: DataFrame, by: Sequence[str], min_events: int = MIN_EVENTS) -> DataFrame:
-    """Survival from t=0 of groups with at least ``min_events`` events."""
-    return survival_curve(events, by, origin=True, min_events=min_events)
+    """Survival from t=0 of every group; ``is_supported`` marks those with at least ``min_events`` events."""
+    return survival_curve(events, by, origin=True, support=min_events)
 
 

@@ -18,19 +18,21 @@ LOW_RETENTION, HIGH_RETENTION = 0.5, 0.8  # fixed values
 
 
 def shell_sets(contacts: DataFrame) -> DataFrame:
-    """(shell, frame, center_id, member): four shells per center, one row per member.
+    """(shell, frame, center_id, member, site_index): four shells per center, one row per member.
 
-    Anion ``a`` is member ``2a`` and chain ``c`` is ``2c+1``; the combined shell holds both.
+    Anion ``a`` is member ``2a`` and chain ``c`` is ``2c+1``; the combined shell holds both. A chain
+    site is its chain and its own ``site_index``, which is -1 for whole ligands.
     """
     poly = F.col("ligand_kind") == "polymer"
     code = F.when(poly, F.col("ligand_id") * 2 + 1).otherwise(F.col("ligand_id") * 2)
-    entry = lambda name, m: F.struct(name.alias("shell"), m.alias("member"))
+    whole = F.lit(-1).cast("bigint")
+    entry = lambda name, m, at=whole: F.struct(name.alias("shell"), m.alias("member"), at.alias("site_index"))
     own = entry(F.when(poly, "chain").otherwise("anion"), code)
     both = entry(F.lit("combined"), code)
-    site = entry(F.lit("chain_site"), F.col("ligand_id") * 1000 + F.col("site_index"))
+    site = entry(F.lit("chain_site"), F.col("ligand_id"), F.col("site_index").cast("bigint"))
     return contacts.select(
         "frame", "center_id", F.explode(F.when(poly, F.array(own, both, site)).otherwise(F.array(own, both))).alias("s")
-    ).select("s.shell", "frame", "center_id", "s.member").distinct()
+    ).select("s.shell", "frame", "center_id", "s.member", "s.site_index").distinct()
 
 
 def shell_retention(shells: DataFrame, lags: Sequence[int]) -> DataFrame:
@@ -48,11 +50,12 @@ def shell_retention(shells: DataFrame, lags: Sequence[int]) -> DataFrame:
                     F.lit(v).cast("bigint").alias("lag"), (F.col("frame") - back).alias("origin"), s.alias("s"), e.alias("e")
                 )
             )
-    rows = shells.select("shell", "center_id", "member", F.explode(F.array(*votes)).alias("v")).select(
-        "shell", "center_id", "member", "v.lag", "v.origin", "v.s", "v.e"
+    member = [c for c in shells.columns if c not in ("shell", "frame", "center_id")]
+    rows = shells.select("shell", "center_id", *member, F.explode(F.array(*votes)).alias("v")).select(
+        "shell", "center_id", *member, "v.lag", "v.origin", "v.s", "v.e"
     )
     key = ["shell", "center_id", "lag", "origin"]
-    flags = rows.repartition("center_id", "origin").groupBy(*key, "member").agg(F.max("s").alias("s"), F.max("e").alias("e"))
+    flags = rows.repartition("center_id", "origin").groupBy(*key, *member).agg(F.max("s").alias("s"), F.max("e").alias("e"))
     return flags.groupBy(*key).agg(
         F.sum("s").alias("n_initial"), F.sum("e").alias("n_final"), F.sum(F.col("s") * F.col("e")).alias("n_retained")
     )
@@ -76,9 +79,7 @@ def retention_bin(x: Column) -> Column:
 
 def shell_steps(shells: DataFrame, step: int = 1) -> DataFrame:
     """Members gained plus lost on the step into each frame, one column per shell."""
-    members = exchange_members(
-        shells.select(F.col("shell").alias("contact_type"), "center_id", F.col("member").alias("partner_id"), "frame"), step
-    )
+    members = exchange_members(shells.withColumnRenamed("shell", "contact_type"), step)
     moved = (F.col("was") != F.col("now")).cast("bigint")
     return members.groupBy("center_id", "frame").agg(
         *[F.sum(F.when(F.col("contact_type") == s, moved).otherwise(0)).alias(f"x_{s}") for s in SHELLS]

@@ -113,17 +113,20 @@ def radius_of_gyration(
 
 
 def rg_histogram(rg: DataFrame, low: float, high: float, bins: int) -> DataFrame:
-    """Density histogram of radii on [low, high]; empty bins kept."""
+    """Density histogram of radii on [low, high]; empty bins kept; ``n_below``/``n_above`` count radii outside."""
     width = (high - low) / bins
     r = F.col("rg")
     counted = rg.filter((r >= low) & (r <= high)).groupBy(
         F.least(F.floor((r - low) / width), F.lit(bins - 1)).cast("bigint").alias("bin")
     ).agg(F.count(F.lit(1)).alias("count"))
-    total = counted.agg(F.sum("count").alias("n")).select("n").scalar()
+    inside = F.count(F.when((r >= low) & (r <= high), 1))
+    ends = rg.agg(F.struct(inside.alias("n"), F.count(F.when(r < low, 1)).alias("low"), F.count(F.when(r > high, 1)).alias("high")).alias("e"))
+    ends = ends.select("e").scalar()
+    total = ends["n"]
     return rg.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counted, "bin", "left").select(
         "bin", (low + (F.col("bin") + 0.5) * width).alias("center"),
         F.coalesce("count", F.lit(0)).alias("count"),
-        (F.coalesce("count", F.lit(0)) / (total * width)).alias("density"),
+        (F.coalesce("count", F.lit(0)) / (total * width)).alias("density"), ends["low"].alias("n_below"), ends["high"].alias("n_above"),
     )
 
 
@@ -183,12 +186,12 @@ def ngp_peak(msd: DataFrame, dt_ps: float) -> DataFrame:
 
 
 def self_van_hove(
-    positions: DataFrame, lags: Sequence[int], *, width: float = 0.1, bins: int = 300, stride: int = 10,
+    positions: DataFrame, lags: Sequence[int], *, width: float = 0.1, bins: int = 300, stride: int = 1,
     entity: str = "entity_id", ordinal: str = "frame",
 ) -> DataFrame:
     """Radial displacement histogram per species and lag.
 
-    The density divides by in-range samples; ``n_samples`` counts all of them.
+    The density divides by in-range samples; ``n_samples`` counts all of them and ``n_above`` those beyond the last bin.
     """
     r = displacements(positions, [entity], ordinal, lags, ["species"], stride).select(
         "species", "lag", F.sqrt("r2").alias("r")
@@ -205,6 +208,7 @@ def self_van_hove(
     return grid.join(counts, ["species", "lag", "bin"], "left").select(
         "species", "lag", ((F.col("bin") + 0.5) * width).alias("r"),
         (F.coalesce("c", F.lit(0)) / (F.col("__in") * width)).alias("density"), "n_samples",
+        (F.col("n_samples") - F.coalesce("__in", F.lit(0))).alias("n_above"),
     )
 
 
@@ -215,7 +219,7 @@ def conditioned_msd(
     """MSD by state and by clustered or isolated, at the origin and over the whole lag.
 
     ``persistent`` needs the condition at every frame of [t, t+lag]; that is a difference of
-    running counts, so no interval is scanned.  Below ``min_samples`` values are NULL.
+    running counts, so no interval is scanned.  ``is_supported`` marks at least ``min_samples`` samples.
     """
     tests = {f"state_{s}": F.col(state) == s for s in STATES}
     tests["isolated"] = F.col(clustered) == 0
@@ -247,5 +251,5 @@ def conditioned_msd(
     enough = F.col("n") >= min_samples
     return (
         every.join(mean, by, "left").join(mid, by, "left").fillna(0, ["n"])
-        .select(*by, F.when(enough, F.col("msd")).alias("msd"), F.when(enough, F.col("median_r2")).alias("median_r2"), "n")
+        .select(*by, "msd", "median_r2", "n", enough.cast("int").alias("is_supported"))
     )

@@ -157,18 +157,24 @@ def pair_event_summary(
 
 
 def distance_histogram(pairs: DataFrame, cutoff: float, bins: int = 200) -> DataFrame:
-    """Equal bins on [0, cutoff]; density over in-range rows; empty bins kept, last bin closed."""
+    """Equal bins on [0, cutoff]; density over in-range rows; empty bins kept, last bin closed.
+
+    ``n_below`` and ``n_above`` count the rows outside, in every row.
+    """
     width = cutoff / bins
     d = F.col("min_distance")
     counted = pairs.filter((d >= 0) & (d <= cutoff)).groupBy(
         F.least(F.floor(d / width), F.lit(bins - 1)).cast("bigint").alias("bin")
     ).agg(F.count(F.lit(1)).alias("count"))
     full = pairs.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counted, "bin", "left")
-    total = counted.agg(F.sum("count").alias("n")).select("n").scalar()
+    inside = F.count(F.when((d >= 0) & (d <= cutoff), 1))
+    ends = pairs.agg(F.struct(inside.alias("n"), F.count(F.when(d < 0, 1)).alias("low"), F.count(F.when(d > cutoff, 1)).alias("high")).alias("e"))
+    ends = ends.select("e").scalar()
+    total = ends["n"]
     count = F.coalesce("count", F.lit(0))
     return full.select(
         "bin", ((F.col("bin") + 0.5) * width).alias("center"), count.alias("count"),
-        (count / (total * width)).alias("density"),
+        (count / (total * width)).alias("density"), ends["low"].alias("n_below"), ends["high"].alias("n_above"),
     )
 
 

@@ -264,10 +264,6 @@ def segment_correlation(rows: DataFrame, lags: list[int], min_episodes: int = 20
     )
 
 
-def chain_coordinate_table(smoothed: DataFrame, flags: DataFrame, k: int | None = None) -> DataFrame:
-    """Raw and smoothed chain states with counts and flags, optionally for the first ``k`` centers."""
-    out = smoothed.join(flags, ["frame", "center_id"])
-    if k is None:
-        return out
-    first = smoothed.select("center_id").distinct().orderBy("center_id").limit(k)
-    return out.join(first, "center_id", "left_semi")
+def chain_coordinate_table(smoothed: DataFrame, flags: DataFrame) -> DataFrame:
+    """Raw and smoothed chain states with counts and flags."""
+    return smoothed.join(flags, ["frame", "center_id"])

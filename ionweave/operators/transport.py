@@ -24,7 +24,7 @@ CROSS = (("metal", "cation"), ("metal", "anion"), ("cation", "anion"))
 ELEMENTARY_CHARGE_C = 1.602176634e-19
 BOLTZMANN_J_K = 1.380649e-23
 CHARGE_SCALE = 0.8
-MIN_FIT_POINTS = 6
+MIN_FIT_POINTS = 6  # fixed value: fits of fewer points are marked as unsupported
 FIT_WINDOWS_NS = ((5.0, 20.0), (10.0, 30.0), (20.0, 50.0), (30.0, 60.0), (40.0, 80.0), (50.0, 100.0))
 SLIDING_LENGTHS_NS = (10.0, 15.0, 20.0, 30.0)
 SLIDING_STEP_NS = 5.0
@@ -95,13 +95,13 @@ def conductivity(slope: Column, volume: Column | float, temperature_k: float) ->
 
 def _fit(x: Column, y: Column) -> tuple[Column, Column, Column, Column, Column]:
     n = F.count(y)
-    ok = n >= MIN_FIT_POINTS
+    ok = n >= 2
     lx, ly = F.when((x > 0) & (y > 0), F.log(x)), F.when((x > 0) & (y > 0), F.log(y))
     return (
         F.when(ok, F.regr_slope(y, x)),
         F.when(ok, F.regr_intercept(y, x)),
         F.when(ok & (F.regr_syy(y, x) > 0), F.regr_r2(y, x)),
-        F.when(ok & (F.count(ly) >= MIN_FIT_POINTS), F.regr_slope(ly, lx)),
+        F.when(F.count(ly) >= 2, F.regr_slope(ly, lx)),
         n,
     )
 
@@ -122,7 +122,7 @@ def window_fit(
     """Least squares and log-log exponent per window; fewer than six points give NULLs."""
     slope, intercept, r2, beta, n = _fit(F.col("x_ps"), F.col(column))
     return _in_windows(table, windows, dt_ps).groupBy(*by, "fit_start_ns", "fit_end_ns").agg(
-        slope.alias("slope"), intercept.alias("intercept"), r2.alias("r2"), beta.alias("beta"), n.alias("n_points")
+        slope.alias("slope"), intercept.alias("intercept"), r2.alias("r2"), beta.alias("beta"), n.alias("n_points"), (n >= MIN_FIT_POINTS).cast("int").alias("is_supported")
     )
 
 
@@ -243,7 +243,7 @@ class BlockScheme(NamedTuple):
     name: str
     length_ns: float
     max_lag_ns: float
-    blocks: int
+    blocks: int  # nominal; every whole block in the data is used
     windows: tuple[tuple[float, float], ...]
 
 
@@ -254,14 +254,15 @@ BLOCK_SCHEMES = (  # fixed values
 
 
 def block_rows(df: DataFrame, schemes: Sequence[BlockScheme], dt_ps: float, frame: str = "frame") -> DataFrame:
-    """Copy rows to their (scheme, block); the frame shared by two blocks belongs to both."""
+    """Copy rows to their (scheme, block): all whole blocks the frames hold; a frame shared by two blocks belongs to both."""
+    last = df.agg(F.max(frame).alias("f")).select("f").scalar()
     options = []
     for sch in schemes:
         n = int(round(sch.length_ns * 1000.0 / dt_ps))
         b = F.floor(F.col(frame) / n)
         for shift in (0, 1):
             block = b - shift
-            inside = (block >= 0) & (block < sch.blocks)
+            inside = (block >= 0) & ((block + 1) * n - 1 <= last)
             if shift:
                 inside = inside & (F.col(frame) % n == 0)
             options.append(
@@ -280,7 +281,7 @@ def block_rows(df: DataFrame, schemes: Sequence[BlockScheme], dt_ps: float, fram
 
 def block_scan(
     positions: DataFrame, volumes: DataFrame, schemes: Sequence[BlockScheme], lags: Mapping[str, Sequence[int]],
-    charges: Mapping[str, float], dt_ps: float, temperature_k: float, stride: int = 2,
+    charges: Mapping[str, float], dt_ps: float, temperature_k: float, stride: int = 1,
 ) -> DataFrame:
     """Window scan of every block of every scheme, with the block's own mean volume.
 

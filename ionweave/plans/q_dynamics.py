@@ -10,7 +10,8 @@ from ionweave.operators import events as ev
 from ionweave.plans import views as v
 from ionweave.plans.registry import define, register
 
-KEYS = ["contact_type", "center_id", "partner_id"]
+KEYS = ["contact_type", "center_id", "partner_id", "site_index"]
+KEY_SQL = ", ".join(KEYS)
 
 
 def bounds(s, d):
@@ -36,8 +37,8 @@ def _blocks(s, d):
 
 define(
     "presence",
-    """SELECT DISTINCT CASE ligand_kind WHEN 'polymer' THEN 'polymer_site' ELSE 'anion_site' END AS contact_type, center_id, ligand_id * 1000 + site_index AS partner_id, frame FROM contacts
- UNION ALL SELECT DISTINCT CASE ligand_kind WHEN 'polymer' THEN 'polymer_chain' ELSE 'anion_molecule' END, center_id, ligand_id, frame FROM contacts""",
+    """SELECT DISTINCT CASE ligand_kind WHEN 'polymer' THEN 'polymer_site' ELSE 'anion_site' END AS contact_type, center_id, ligand_id AS partner_id, site_index, frame FROM contacts
+ UNION ALL SELECT DISTINCT CASE ligand_kind WHEN 'polymer' THEN 'polymer_chain' ELSE 'anion_molecule' END, center_id, ligand_id, -1, frame FROM contacts""",
     "contacts",
 )
 
@@ -57,15 +58,15 @@ CENSOR = """CAST((end_frame - start_frame + 1) * 30 AS DOUBLE) AS duration_ps, C
 
 define(
     "cevents",
-    f"""SELECT e.*, {CENSOR} FROM (SELECT *, 'continuous' AS rule FROM ({islands('presence', 'contact_type, center_id, partner_id', 0)})
- UNION ALL SELECT *, 'intermittent' FROM ({islands('presence', 'contact_type, center_id, partner_id', 2)})) e, bounds""",
+    f"""SELECT e.*, {CENSOR} FROM (SELECT *, 'continuous' AS rule FROM ({islands('presence', KEY_SQL, 0)})
+ UNION ALL SELECT *, 'intermittent' FROM ({islands('presence', KEY_SQL, 2)})) e, bounds""",
     "presence", "bounds",
 )
 define("sevents", f"SELECT e.*, {CENSOR} FROM ({islands('states', 'center_id', 0, 'state')}) e, bounds", "states", "bounds")
 
 register("contact_presence", _presence, "SELECT * FROM presence", ["presence"])
 register("presence_runs", lambda s, d: ev.presence_runs(_presence(s, d), KEYS, 2),
-         islands("presence", "contact_type, center_id, partner_id", 2), ["presence"])
+         islands("presence", KEY_SQL, 2), ["presence"])
 register("contact_events", contact_events, "SELECT * FROM cevents", ["cevents"], ["duration_ps"])
 register("state_events", state_events, "SELECT * FROM sevents", ["sevents"], ["duration_ps"])
 define(
@@ -93,8 +94,8 @@ define(
  CAST(coalesce(l, 0) AS BIGINT) AS n_lost, CAST(coalesce(r, 0) AS BIGINT) AS n_retained, CAST(coalesce(gg + l, 0) > 0 AS INTEGER) AS occurred
  FROM (SELECT * FROM grid, bounds WHERE frame > f0) g CROSS JOIN (SELECT unnest(['polymer_site', 'polymer_chain', 'anion_site', 'anion_molecule']) AS contact_type)
  LEFT JOIN (SELECT contact_type, center_id, frame, count(pf) AS p, count(cf) AS c, count(*) FILTER (pf IS NULL) AS gg, count(*) FILTER (cf IS NULL) AS l, count(*) FILTER (pf IS NOT NULL AND cf IS NOT NULL) AS r
-  FROM (SELECT contact_type, center_id, partner_id, frame, frame AS cf FROM presence) a
-  FULL JOIN (SELECT contact_type, center_id, partner_id, frame + 1 AS frame, frame AS pf FROM presence) b USING (contact_type, center_id, partner_id, frame) GROUP BY 1, 2, 3) x
+  FROM (SELECT *, frame AS cf FROM presence) a
+  FULL JOIN (SELECT contact_type, center_id, partner_id, site_index, frame + 1 AS frame, frame AS pf FROM presence) b USING (contact_type, center_id, partner_id, site_index, frame) GROUP BY 1, 2, 3) x
  USING (contact_type, center_id, frame)""",
     "grid", "bounds", "presence",
 )
@@ -159,15 +160,16 @@ register(
 )
 
 
-def km_sql(source: str, by: str, origin: bool, min_events: int, time: str = "duration_ps") -> str:
+def km_sql(source: str, by: str, origin: bool, support: int | None, time: str = "duration_ps") -> str:
     part = f"PARTITION BY {by}" if by else ""
     g = f"{by}, " if by else ""
+    flag = "" if support is None else f", CAST(n >= {support} AS INTEGER) AS is_supported"
     base = f"""WITH d AS (SELECT {g}{time} AS time_ps, count(*) FILTER (right_censored = 0) AS n_terminated, count(*) FILTER (right_censored = 1) AS n_censored FROM {source} GROUP BY ALL),
  t AS (SELECT *, CAST(sum(n_terminated + n_censored) OVER ({part} ORDER BY time_ps DESC) AS BIGINT) AS n_at_risk, sum(n_terminated + n_censored) OVER ({part}) AS n FROM d),
  c AS (SELECT {g}time_ps, product(1 - n_terminated / n_at_risk) OVER ({part} ORDER BY time_ps) AS survival, n_at_risk, n_terminated, n_censored, n FROM t)
- SELECT * EXCLUDE (n) FROM c WHERE n >= {min_events}"""
+ SELECT * EXCLUDE (n){flag} FROM c"""
     if origin:
-        base += f" UNION ALL SELECT {g}0, 1, CAST(n AS BIGINT), 0, 0 FROM (SELECT DISTINCT {g}n FROM c WHERE n >= {min_events})"
+        base += f" UNION ALL SELECT {g}0, 1, CAST(n AS BIGINT), 0, 0{flag} FROM (SELECT DISTINCT {g}n FROM c)"
     return f"SELECT * FROM ({base})"
 
 

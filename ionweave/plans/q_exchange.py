@@ -8,6 +8,7 @@ from ionweave.plans.q_mobility import center_walk
 from ionweave.plans.registry import define, register
 
 LAGS = [1, 3, 8, 33]
+TURNOVER_LAG = min(LAGS, key=lambda n: (abs(n * v.DT_PS - 1000.0), n))  # the lag nearest 1 ns
 BLOCK_NS = 2.0
 
 
@@ -21,23 +22,23 @@ def samples(s, d):
 
 define(
     "shells",
-    """SELECT DISTINCT CASE ligand_kind WHEN 'polymer' THEN 'chain' ELSE 'anion' END AS shell, frame, center_id, CASE ligand_kind WHEN 'polymer' THEN ligand_id * 2 + 1 ELSE ligand_id * 2 END AS member FROM contacts
- UNION ALL SELECT DISTINCT 'combined', frame, center_id, CASE ligand_kind WHEN 'polymer' THEN ligand_id * 2 + 1 ELSE ligand_id * 2 END FROM contacts
- UNION ALL SELECT DISTINCT 'chain_site', frame, center_id, ligand_id * 1000 + site_index FROM contacts WHERE ligand_kind = 'polymer'""", "contacts",
+    """SELECT DISTINCT CASE ligand_kind WHEN 'polymer' THEN 'chain' ELSE 'anion' END AS shell, frame, center_id, CASE ligand_kind WHEN 'polymer' THEN ligand_id * 2 + 1 ELSE ligand_id * 2 END AS member, CAST(-1 AS BIGINT) AS site_index FROM contacts
+ UNION ALL SELECT DISTINCT 'combined', frame, center_id, CASE ligand_kind WHEN 'polymer' THEN ligand_id * 2 + 1 ELSE ligand_id * 2 END, -1 FROM contacts
+ UNION ALL SELECT DISTINCT 'chain_site', frame, center_id, ligand_id, site_index FROM contacts WHERE ligand_kind = 'polymer'""", "contacts",
 )
 register("shell_sets", shells, "SELECT * FROM shells", ["shells"])
 _LAGSQL = f"(SELECT CAST(unnest({LAGS}) AS BIGINT) AS lag)"
 define(
     "retain",
     f"""SELECT shell, center_id, lag, origin, count(sf) AS n_initial, count(ef) AS n_final, count(*) FILTER (sf IS NOT NULL AND ef IS NOT NULL) AS n_retained FROM
- (SELECT shell, center_id, member, lag, frame AS origin, frame AS sf FROM shells CROSS JOIN {_LAGSQL}) a FULL JOIN (SELECT shell, center_id, member, lag, frame - lag AS origin, frame AS ef FROM shells CROSS JOIN {_LAGSQL}) b
- USING (shell, center_id, member, lag, origin) GROUP BY 1, 2, 3, 4""", "shells",
+ (SELECT shell, center_id, member, site_index, lag, frame AS origin, frame AS sf FROM shells CROSS JOIN {_LAGSQL}) a FULL JOIN (SELECT shell, center_id, member, site_index, lag, frame - lag AS origin, frame AS ef FROM shells CROSS JOIN {_LAGSQL}) b
+ USING (shell, center_id, member, site_index, lag, origin) GROUP BY 1, 2, 3, 4""", "shells",
 )
 register("shell_retention", lambda s, d: ex.shell_retention(shells(s, d), LAGS), "SELECT * FROM retain", ["retain"])
 define(
     "steps",
-    """SELECT shell, center_id, frame, count(*) FILTER (a IS NULL OR b IS NULL) AS x FROM (SELECT shell, center_id, member, frame, 1 AS a FROM shells) FULL JOIN (SELECT shell, center_id, member, frame + 1 AS frame, 1 AS b FROM shells)
- USING (shell, center_id, member, frame) GROUP BY 1, 2, 3""", "shells",
+    """SELECT shell, center_id, frame, count(*) FILTER (a IS NULL OR b IS NULL) AS x FROM (SELECT shell, center_id, member, site_index, frame, 1 AS a FROM shells) FULL JOIN (SELECT shell, center_id, member, site_index, frame + 1 AS frame, 1 AS b FROM shells)
+ USING (shell, center_id, member, site_index, frame) GROUP BY 1, 2, 3""", "shells",
 )
 register(
     "shell_steps", lambda s, d: ex.shell_steps(shells(s, d)),
@@ -77,8 +78,8 @@ register(
  FROM samples WHERE retention IS NOT NULL GROUP BY 1, 2)""", ["samples"], {"msd_low": 5, "msd_high": 5, "enhancement": 5},
 )
 register(
-    "turnover_bins", lambda s, d: ex.turnover_bins(samples(s, d), 33),
-    """SELECT bin, avg(turnover) AS mean_turnover, avg(r2) AS mean_msd, count(*) AS n FROM (SELECT turnover, r2, greatest(len(list_filter(e, lambda x: x < turnover)), 1) AS bin FROM (SELECT * FROM samples WHERE shell = 'combined' AND lag = 33),
- (SELECT list_distinct(quantile_cont(turnover, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM samples WHERE shell = 'combined' AND lag = 33) WHERE len(e) >= 3) GROUP BY 1""",
+    "turnover_bins", lambda s, d: ex.turnover_bins(samples(s, d), TURNOVER_LAG),
+    f"""SELECT bin, avg(turnover) AS mean_turnover, avg(r2) AS mean_msd, count(*) AS n FROM (SELECT turnover, r2, greatest(len(list_filter(e, lambda x: x < turnover)), 1) AS bin FROM (SELECT * FROM samples WHERE shell = 'combined' AND lag = {TURNOVER_LAG}),
+ (SELECT list_distinct(quantile_cont(turnover, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM samples WHERE shell = 'combined' AND lag = {TURNOVER_LAG}) WHERE len(e) >= 3) GROUP BY 1""",
     ["samples"], {"mean_turnover": 6, "mean_msd": 5},
 )

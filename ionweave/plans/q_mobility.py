@@ -120,7 +120,8 @@ register("rg_frame_mean", lambda s, d: _rg(s, d).groupBy("frame").agg(F.avg("rg"
          "SELECT frame, avg(rg) AS mean_rg FROM rg GROUP BY 1", ["rg"], ["mean_rg"])
 register(
     "rg_histogram", lambda s, d: mo.rg_histogram(_rg(s, d), 0.0, 12.0, 24),
-    """SELECT bin, (bin + 0.5) * CAST(0.5 AS DOUBLE) AS center, coalesce(c, 0) AS count, coalesce(c, 0) / ((SELECT count(*) FROM rg WHERE rg <= 12) * CAST(0.5 AS DOUBLE)) AS density
+    """SELECT bin, (bin + 0.5) * CAST(0.5 AS DOUBLE) AS center, coalesce(c, 0) AS count, coalesce(c, 0) / ((SELECT count(*) FROM rg WHERE rg <= 12) * CAST(0.5 AS DOUBLE)) AS density,
+ (SELECT count(*) FROM rg WHERE rg < 0) AS n_below, (SELECT count(*) FROM rg WHERE rg > 12) AS n_above
  FROM (SELECT unnest(range(24)) AS bin) LEFT JOIN (SELECT least(CAST(floor(rg / CAST(0.5 AS DOUBLE)) AS BIGINT), 23) AS bin, count(*) AS c FROM rg WHERE rg <= 12 GROUP BY 1) USING (bin)""",
     ["rg"], ["center", "density"],
 )
@@ -152,9 +153,9 @@ register("ngp_peak", lambda s, d: mo.ngp_peak(msd(s, d), v.DT_PS),
          ["msd"], {"alpha2_max": 6, "time_ps": 6, "msd": 5})
 register(
     "self_van_hove", lambda s, d: mo.self_van_hove(unwrapped(s, d), LAGS),
-    """SELECT species, lag, (bin + 0.5) * CAST(0.1 AS DOUBLE) AS r, coalesce(c, 0) / (n_in * CAST(0.1 AS DOUBLE)) AS density, n_samples FROM
- (SELECT species, lag, count(*) AS n_samples, count(*) FILTER (sqrt(r2) <= CAST(0.1 AS DOUBLE) * 300) AS n_in FROM lagr WHERE frame % 10 = 0 GROUP BY 1, 2) CROSS JOIN (SELECT unnest(range(300)) AS bin)
- LEFT JOIN (SELECT species, lag, least(CAST(floor(sqrt(r2) / CAST(0.1 AS DOUBLE)) AS BIGINT), 299) AS bin, count(*) AS c FROM lagr WHERE frame % 10 = 0 AND sqrt(r2) <= CAST(0.1 AS DOUBLE) * 300 GROUP BY 1, 2, 3) USING (species, lag, bin)""",
+    """SELECT species, lag, (bin + 0.5) * CAST(0.1 AS DOUBLE) AS r, coalesce(c, 0) / (n_in * CAST(0.1 AS DOUBLE)) AS density, n_samples, n_samples - n_in AS n_above FROM
+ (SELECT species, lag, count(*) AS n_samples, count(*) FILTER (sqrt(r2) <= CAST(0.1 AS DOUBLE) * 300) AS n_in FROM lagr GROUP BY 1, 2) CROSS JOIN (SELECT unnest(range(300)) AS bin)
+ LEFT JOIN (SELECT species, lag, least(CAST(floor(sqrt(r2) / CAST(0.1 AS DOUBLE)) AS BIGINT), 299) AS bin, count(*) AS c FROM lagr WHERE sqrt(r2) <= CAST(0.1 AS DOUBLE) * 300 GROUP BY 1, 2, 3) USING (species, lag, bin)""",
     ["lagr"], ["r", "density"],
 )
 
@@ -182,7 +183,7 @@ define(
 )
 register(
     "conditioned_msd", lambda s, d: mo.conditioned_msd(center_walk(s, d), LAGS, min_samples=20),
-    "SELECT category, rule, lag, CASE WHEN n >= 20 THEN msd END AS msd, CASE WHEN n >= 20 THEN median_r2 END AS median_r2, n FROM ("
+    "SELECT category, rule, lag, msd, median_r2, n, CAST(n >= 20 AS INTEGER) AS is_supported FROM ("
     + " UNION ALL ".join(
         f"SELECT '{n}' AS category, '{r}' AS rule, lag, avg(r2) FILTER ({k}_{n} = 1) AS msd, median(r2) FILTER ({k}_{n} = 1) AS median_r2, count(*) FILTER ({k}_{n} = 1) AS n FROM clag GROUP BY lag"
         for n in _CATS for r, k in (("initial", "i"), ("persistent", "k"))

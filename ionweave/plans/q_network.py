@@ -202,7 +202,7 @@ def _agg_lags(s, d):
 
 define("akeep", "SELECT * FROM arow WHERE inst IN (SELECT inst FROM aevents WHERE is_percolating = 0)", "arow", "aevents")
 define("awalk", walk_sql("akeep", "inst", "frame", {"u": ("com_x", "com_y", "com_z")}), "akeep")
-define("arel", "SELECT k.inst, n.frame, concat(k.inst, n.kind, n.node_id) AS nk, n.mass, n.x - k.com_x AS rx, n.y - k.com_y AS ry, n.z - k.com_z AS rz FROM nodepos n JOIN akeep k ON n.frame = k.frame AND n.root = k.root WHERE k.n_nodes <= 32", "nodepos", "akeep")
+define("arel", "SELECT k.inst, n.frame, concat(k.inst, n.kind, n.node_id) AS nk, n.mass, n.x - k.com_x AS rx, n.y - k.com_y AS ry, n.z - k.com_z AS rz FROM nodepos n JOIN akeep k ON n.frame = k.frame AND n.root = k.root", "nodepos", "akeep")
 define(
     "alag",
     f"""SELECT inst, lag, n_origins, sum_com2, sum_rg2, coalesce(si, 0) AS sum_internal, CASE WHEN si IS NOT NULL THEN n_origins ELSE 0 END AS n_internal FROM

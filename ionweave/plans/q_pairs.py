@@ -95,8 +95,8 @@ register("pair_events", events, "SELECT * FROM pevents", ["pevents"], [*_PD, "ag
 
 def _rows(s, d):
     at = v.pairs(s, d)
-    centers = at.groupBy("frame", "center_id").agg(*[F.first(c).alias(c) for c in ("cx", "cy", "cz", "box")])
-    anions = at.groupBy("frame", "anion_id").agg(*[F.first(c).alias(c) for c in ("ax", "ay", "az")])
+    centers = at.groupBy("frame", "center_id").agg(*[F.min(c).alias(c) for c in ("cx", "cy", "cz", "box")])
+    anions = at.groupBy("frame", "anion_id").agg(*[F.min(c).alias(c) for c in ("ax", "ay", "az")])
     return pr.pair_rows(events(s, d), centers, anions)
 
 
@@ -119,8 +119,9 @@ register("pair_event_summary", summary, "SELECT * EXCLUDE (event_no, f0, f1, nf)
          ["mean_min_distance", "min_distance", "max_min_distance", "mean_distance", "mean_sites", "frac_multi_site", "span_ps", "occupancy_ps"])
 register(
     "distance_histogram", lambda s, d: pr.distance_histogram(_pairs(s, d), 4.0),
-    """SELECT bin, (bin + 0.5) * (CAST(4 AS DOUBLE) / 200) AS center, coalesce(n, 0) AS count, coalesce(n, 0) / ((SELECT count(*) FROM pairs) * (CAST(4 AS DOUBLE) / 200)) AS density
- FROM (SELECT unnest(range(200)) AS bin) LEFT JOIN (SELECT least(CAST(floor(min_distance / (CAST(4 AS DOUBLE) / 200)) AS BIGINT), 199) AS bin, count(*) AS n FROM pairs GROUP BY 1) USING (bin)""",
+    """SELECT bin, (bin + 0.5) * (CAST(4 AS DOUBLE) / 200) AS center, coalesce(n, 0) AS count, coalesce(n, 0) / ((SELECT count(*) FROM pairs WHERE min_distance BETWEEN 0 AND 4) * (CAST(4 AS DOUBLE) / 200)) AS density,
+ (SELECT count(*) FROM pairs WHERE min_distance < 0) AS n_below, (SELECT count(*) FROM pairs WHERE min_distance > 4) AS n_above
+ FROM (SELECT unnest(range(200)) AS bin) LEFT JOIN (SELECT least(CAST(floor(min_distance / (CAST(4 AS DOUBLE) / 200)) AS BIGINT), 199) AS bin, count(*) AS n FROM pairs WHERE min_distance BETWEEN 0 AND 4 GROUP BY 1) USING (bin)""",
     ["pairs"], ["center", "density"],
 )
 register("site_multiplicity", lambda s, d: pr.site_multiplicity(_pairs(s, d)),
@@ -213,9 +214,9 @@ register(
     ["pserie", "bounds"], ["first_half", "second_half", "difference", "percent"],
 )
 define("pfree", "SELECT * FROM psum WHERE left_censored = 0", "psum")
-register("pair_survival", lambda s, d: pr.pair_survival(summary(s, d)), km_sql("pfree", "", False, 1, "occupancy_ps"), ["pfree"], ["time_ps", "survival"])
+register("pair_survival", lambda s, d: pr.pair_survival(summary(s, d)), km_sql("pfree", "", False, None, "occupancy_ps"), ["pfree"], ["time_ps", "survival"])
 register("median_survival", lambda s, d: pr.median_survival(pr.pair_survival(summary(s, d))),
-         f"SELECT min(time_ps) AS median_survival_ps FROM ({km_sql('pfree', '', False, 1, 'occupancy_ps')}) WHERE survival <= 0.5", ["pfree"], ["median_survival_ps"])
+         f"SELECT min(time_ps) AS median_survival_ps FROM ({km_sql('pfree', '', False, None, 'occupancy_ps')}) WHERE survival <= 0.5", ["pfree"], ["median_survival_ps"])
 
 
 def _reconcile(s, d):
@@ -229,6 +230,6 @@ register(
  unnest([CAST(a = b AS INTEGER), CAST(a = c AS INTEGER), CAST(e = f AS INTEGER), CAST(a = g AS INTEGER), CAST(e = h AS INTEGER), CAST(i = j AS INTEGER), CAST(k = 1 AS INTEGER), CAST(l = 1 AS INTEGER), CAST(m >= 0 AND n <= 1 AS INTEGER)]) AS passed,
  unnest([CAST(a - b AS DOUBLE), a - c, e - f, a - g, e - h, i - j, k, l, m]) AS value FROM
  (SELECT count(*) AS a, sum(n_sites) AS i FROM pevents), (SELECT count(*) AS e, sum(n_frames) AS b, max(n_new_flags) AS k, min(is_continuous) AS l FROM psum), (SELECT sum(total_frames) AS c, sum(n_events) AS f FROM pident),
- (SELECT sum(n_pairs) AS g, sum(n_new) AS h, sum(n_contacts) AS j FROM frows), (SELECT min(survival) AS m, max(survival) AS n FROM ({km_sql('pfree', '', False, 1, 'occupancy_ps')}))""",
+ (SELECT sum(n_pairs) AS g, sum(n_new) AS h, sum(n_contacts) AS j FROM frows), (SELECT min(survival) AS m, max(survival) AS n FROM ({km_sql('pfree', '', False, None, 'occupancy_ps')}))""",
     ["pevents", "psum", "pident", "frows", "pfree"], ["value"],
 )

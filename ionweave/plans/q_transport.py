@@ -68,13 +68,13 @@ register("charge_msd", _table, "SELECT * FROM ctable", ["ctable"], {**_C, **_Q})
 
 
 def fit_sql(x: str, y: str) -> dict[str, str]:
-    ok = f"count({y}) >= 6"
+    ok = f"count({y}) >= 2"
     pos = f"({x} > 0 AND {y} > 0)"
     lx, ly = f"CASE WHEN {pos} THEN ln(greatest({x}, 1e-300)) END", f"CASE WHEN {pos} THEN ln(greatest({y}, 1e-300)) END"
     return {
         "slope": f"CASE WHEN {ok} THEN regr_slope({y}, {x}) END", "intercept": f"CASE WHEN {ok} THEN regr_intercept({y}, {x}) END",
         "r2": f"CASE WHEN {ok} THEN regr_r2({y}, {x}) END",
-        "beta": f"CASE WHEN {ok} AND count(CASE WHEN {pos} THEN 1 END) >= 6 THEN regr_slope({ly}, {lx}) END", "n_points": f"count({y})",
+        "beta": f"CASE WHEN {ok} AND count(CASE WHEN {pos} THEN 1 END) >= 2 THEN regr_slope({ly}, {lx}) END", "n_points": f"count({y})",
     }
 
 
@@ -87,7 +87,7 @@ _F = fit_sql("x_ps", "charge_msd")
 
 
 def wfit_sql(src: str, col: str, windows) -> str:
-    f = fit_sql("x_ps", col)
+    f = fit_sql("x_ps", col) | {"is_supported": f"CAST(count({col}) >= 6 AS INTEGER)"}
     return f"SELECT fit_start_ns, fit_end_ns, {', '.join(f'{e} AS {n}' for n, e in f.items())} FROM (SELECT *, lag * CAST(1000 AS DOUBLE) AS x_ps FROM {src}) JOIN {windows_sql(windows)} ON lag BETWEEN fit_start_ns AND fit_end_ns GROUP BY 1, 2"
 
 
@@ -175,7 +175,7 @@ register("window_neighbours", lambda s, d: tr.window_neighbours(scan(s, d)), "SE
 
 
 def _block_scan(s, d):
-    volumes = v.track(s, d).groupBy("frame").agg(F.first(F.col("box") * F.col("box") * F.col("box")).alias("volume"))
+    volumes = v.track(s, d).groupBy("frame").agg(F.min(F.col("box") * F.col("box") * F.col("box")).alias("volume"))
     return v.shared(s, d, "block_scan", lambda: tr.block_scan(unwrapped(s, d), volumes, SCHEMES, BLOCK_LAGS, Z, DT, T_K))
 
 
@@ -183,10 +183,10 @@ for i, sch in enumerate(SCHEMES):
     n = int(sch.length_ns)
     define(
         f"bw{i}",
-        f"SELECT *, '{sch.name}' AS scheme, frame // {n} AS block, frame % {n} AS block_frame FROM walk WHERE frame // {n} < {sch.blocks}"
-        f" UNION ALL SELECT *, '{sch.name}', frame // {n} - 1, {n} FROM walk WHERE frame % {n} = 0 AND frame > 0 AND frame // {n} - 1 < {sch.blocks}", "walk",
+        f"SELECT *, '{sch.name}' AS scheme, frame // {n} AS block, frame % {n} AS block_frame FROM walk WHERE (frame // {n} + 1) * {n} - 1 <= (SELECT max(frame) FROM walk)"
+        f" UNION ALL SELECT *, '{sch.name}', frame // {n} - 1, {n} FROM walk WHERE frame % {n} = 0 AND frame > 0", "walk",
     )
-    define(f"bc{i}", corr_cte(f"bw{i}", BLOCK_LAGS[sch.name], "scheme, block", "block_frame", 2), f"bw{i}")
+    define(f"bc{i}", corr_cte(f"bw{i}", BLOCK_LAGS[sch.name], "scheme, block", "block_frame", 1), f"bw{i}")
     define(f"bt{i}", charge_cte(f"bc{i}"), f"bc{i}")
     define(f"bs{i}", scan_sql(f"bt{i}", sch.windows, "scheme, block"), f"bt{i}")
 define("bscan", " UNION ALL BY NAME ".join(f"SELECT * FROM bs{i}" for i in range(len(SCHEMES))), *[f"bs{i}" for i in range(len(SCHEMES))])

@@ -43,7 +43,8 @@ def survival_events(spark):
 def test_kaplan_meier(spark):
     got = ev.kaplan_meier(survival_events(spark), ["g"], 1).orderBy("time_ps").collect()
     assert [(r.time_ps, r.survival) for r in got] == [(0.0, 1.0), (10.0, 0.5), (20.0, 0.25), (30.0, 0.25)]
-    assert ev.kaplan_meier(survival_events(spark), ["g"]).count() == 0
+    few = ev.kaplan_meier(survival_events(spark), ["g"]).collect()
+    assert len(few) == 4 and {r.is_supported for r in few} == {0}
 
 
 def test_pair_survival_has_no_origin_row(spark):
@@ -123,3 +124,13 @@ def test_linear_trend_matches_numpy(spark):
     assert r.slope == pytest.approx(slope) and r.intercept == pytest.approx(intercept)
     assert r.slope_error == pytest.approx(np.sqrt(res @ res / 18 / ((x - x.mean()) ** 2).sum()))
     assert po.linear_trend(df.limit(2), "x", "y").first().slope is None
+
+
+def test_sites_past_a_thousand_stay_apart(spark):
+    rows = [(0, 7, "polymer", 1, 1001), (0, 7, "polymer", 2, 1), (1, 7, "polymer", 1, 1001)]
+    contacts = spark.createDataFrame(rows, "frame bigint, center_id bigint, ligand_kind string, ligand_id bigint, site_index bigint")
+    sites = ev.contact_presence(contacts).filter("contact_type = 'polymer_site' AND frame = 0")
+    assert {(r.partner_id, r.site_index) for r in sites.collect()} == {(1, 1001), (2, 1)}
+    assert ex.shell_sets(contacts).filter("shell = 'chain_site' AND frame = 0").count() == 2
+    steps = ex.shell_steps(ex.shell_sets(contacts)).filter("frame = 1").first()
+    assert (steps.x_chain_site, steps.x_chain) == (1, 1)
