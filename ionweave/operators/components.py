@@ -2,13 +2,15 @@
 
 Labels spread over (frame, node) keys: every round hooks a center and its current root to
 the smallest root seen through a shared anion and then shortcuts roots, so the number of
-rounds grows with the logarithm of the diameter.  When an edge carries integer image gains,
+rounds grows with the logarithm of the diameter; frames that are finished leave the rounds.
+When an edge carries integer image gains,
 each label also carries the image offset of its node relative to the root.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ def label_centers(edges: DataFrame, gains: Sequence[str] = ()) -> DataFrame:
         .distinct()
         .select("frame", "center_id", F.col("center_id").alias("root"), *_offsets(gains, lambda g: F.lit(0)))
     )
+    done = []
     while True:
         e = edges.join(labels, ["frame", "center_id"])
         # Best root reachable through each anion, with the anion's offset to that root.
@@ -78,10 +81,15 @@ def label_centers(edges: DataFrame, gains: Sequence[str] = ()) -> DataFrame:
                 (F.col("__up") != F.col("__old")).alias("__moved"),
             )
         )
-        moved = labels.filter("__moved").limit(1).count()
-        labels = labels.drop("__moved")
-        if moved == 0:
-            return labels
+        open_frames = cut(labels.filter("__moved").select("frame").distinct())
+        left = open_frames.count()
+        still = labels.drop("__moved")
+        if left == 0:
+            return reduce(DataFrame.unionByName, [*done, still])
+        # Frames in which nothing moved are finished; the next round has the others only.
+        done.append(still.join(open_frames, "frame", "left_anti"))
+        labels = still.join(open_frames, "frame", "left_semi")
+        edges = cut(edges.join(open_frames, "frame", "left_semi"))
 
 
 def label_anions(edges: DataFrame, labels: DataFrame, gains: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from ionweave.functions.geometry import Vector, fields, minimum_image, minimum_i
 from ionweave.functions.states import STATES
 from ionweave.operators.ordered import CHUNK, accumulate, lag_pairs, neighbours
 from ionweave.operators.quantiles import exact_quantile
-from ionweave.session import cut
+from ionweave.session import staged
 
 WARN_STEP = 25.0  # fixed value
 
@@ -229,22 +229,26 @@ def conditioned_msd(
     pairs = displacements(
         flagged, [entity], ordinal, lags, flags, stride, between={f"k_{n}": F.col(f"c_{n}") for n in tests}
     )
-    both = []
+    marks = {}
     for n in tests:
-        held = (F.col(f"k_{n}") == F.col("lag")) & (F.col(f"c_{n}") == 1)
-        both.append(F.when(F.col(f"c_{n}") == 1, F.struct(F.lit(n).alias("category"), F.lit("initial").alias("rule"))))
-        both.append(F.when(held, F.struct(F.lit(n).alias("category"), F.lit("persistent").alias("rule"))))
-    long = pairs.select("lag", "r2", F.explode(F.array_compact(F.array(*both))).alias("g")).select(
-        "g.category", "g.rule", "lag", "r2"
-    )
-    # Read three times (mean, bracket, ranks): written once instead of joined three times.
-    long = cut(long)
+        marks[n, "initial"] = F.col(f"c_{n}") == 1
+        marks[n, "persistent"] = marks[n, "initial"] & (F.col(f"k_{n}") == F.col("lag"))
+    # One narrow row per lag pair, read three times: sums, brackets and ranks.
+    mask = sum((m.cast("int") * (1 << i) for i, m in enumerate(marks.values())), F.lit(0))
+    narrow = staged(pairs.select("lag", "r2", mask.alias("mask")), "lag_pairs")
+    has = [F.col("mask").bitwiseAND(1 << i) > 0 for i in range(len(marks))]
+    sums = narrow.groupBy("lag").agg(F.array(*[
+        F.struct(F.sum(F.when(h, F.col("r2"))).alias("s"), F.count(F.when(h, 1)).alias("n")) for h in has
+    ]).alias("cells"))
+    names = F.array(*[F.struct(F.lit(n).alias("category"), F.lit(r).alias("rule")) for n, r in marks])
     by = ["category", "rule", "lag"]
-    mean = long.groupBy(*by).agg(F.avg("r2").alias("msd"), F.count(F.lit(1)).alias("n"))
-    mid = exact_quantile(long, by, "r2", 0.5, "median_r2")
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("category"), F.lit(r).alias("rule")) for n in tests for r in ("initial", "persistent")]
+    mean = sums.select("lag", F.explode(F.arrays_zip(names.alias("g"), F.col("cells"))).alias("x")).select(
+        "x.g.category", "x.g.rule", "lag", (F.col("x.cells.s") / F.col("x.cells.n")).alias("msd"), F.col("x.cells.n").alias("n")
     )
+    # Copies exist between the read and the map-side counts of the quantile only.
+    own = F.array_compact(F.array(*[F.when(h, F.struct(F.lit(n).alias("category"), F.lit(r).alias("rule"))) for h, (n, r) in zip(has, marks)]))
+    mid = exact_quantile(narrow.select("lag", "r2", F.explode(own).alias("g")).select("g.*", "lag", "r2"), by, "r2", 0.5, "median_r2")
+    cells = names
     every = positions.sparkSession.range(1).select(
         F.explode(cells).alias("g")
     ).select("g.category", "g.rule", F.explode(F.array(*[F.lit(int(v)).cast("bigint") for v in lags])).alias("lag"))

@@ -1,4 +1,4 @@
-"""Exact quantiles of continuous values without collecting a group."""
+"""Exact quantiles of continuous values; only the rows near the answer are exchanged."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionweave.session import staged
+
 
 def exact_quantile(
     df: DataFrame, by: Sequence[str], value: str, q: float, out: str = "quantile", accuracy: int = 10_000
@@ -14,7 +16,9 @@ def exact_quantile(
     """Linear-interpolated quantile per group.
 
     A bounded sketch with rank error ``n / accuracy`` brackets the answer; rows below the
-    bracket are only counted and rows inside it (about ``4 n / accuracy``) are ranked.
+    bracket are only counted where they are, and rows inside it (about ``4 n / accuracy``) are
+    exchanged and ranked.  The brackets are written, so Spark knows their size when it plans
+    the join: a few groups are broadcast and the rows of ``df`` stay where they are.
     """
     by = list(by)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
@@ -31,7 +35,7 @@ def exact_quantile(
         (F.col("__hi") if high == 1.0 else F.col("__e")[1]).alias("__hi"),
     )
     if by:
-        placed = rows.join(edges, by)
+        placed = rows.join(staged(edges, "quantile_edges"), by)
     else:
         found = edges.select(F.struct("__n", "__lo", "__hi").alias("e")).select("e").scalar()
         placed = rows.withColumns({c: found[c] for c in ("__n", "__lo", "__hi")})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ionweave.functions import lags as lg
 from ionweave.functions.geometry import Vector, minimum_image, minimum_image_triclinic, vector
 from ionweave.operators import contacts as ct
 from ionweave.operators import mobility as mo
@@ -190,3 +191,30 @@ register(
     ) + ")",
     ["clag"], {"msd": 4, "median_r2": 4},
 )
+
+
+GRID_NS, GRID_DT = 60.0, 1000.0
+
+
+def lag_grid(s, d):
+    """(rule, lag): every lag rule for the frames that the tracks hold."""
+    n = v.track(s, d).agg((F.max("frame") + 1).alias("n")).select("n").first()[0]
+    rules = {
+        "early_and_log": lg.early_and_log(n, GRID_DT, GRID_NS, 20, 10), "linear_then_log": lg.linear_then_log(n, GRID_DT, GRID_NS, 15, 8),
+        "geometric": [g for g in lg.geometric(GRID_DT, GRID_NS, 12) if g < n], "stepped": lg.stepped(n, GRID_DT, GRID_NS, 5, 7.0, 35.0, 10.0),
+        "requested": lg.requested([1000.0, 4400.0, 9000.0, 1e9], GRID_DT, n),
+    }
+    return s.createDataFrame([(r, g) for r, lags in rules.items() for g in lags], "rule string, lag bigint")
+
+
+register(
+    "lag_grid", lag_grid,
+    """SELECT * FROM (WITH t AS (SELECT max(frame) AS most, least(max(frame), 60) AS top FROM track), i AS (SELECT unnest(range(60)) AS i),
+ g AS (SELECT 'early_and_log' AS rule, i AS lag FROM i WHERE i <= 10 UNION SELECT 'early_and_log', CAST(round(pow(top, i / CAST(19 AS DOUBLE))) AS BIGINT) FROM i, t WHERE i < 20
+ UNION SELECT 'linear_then_log', i FROM i WHERE i <= 8 UNION SELECT 'linear_then_log', CAST(round(9 * pow(top / CAST(9 AS DOUBLE), i / CAST(14 AS DOUBLE))) AS BIGINT) FROM i, t WHERE i < 15 AND top > 8
+ UNION SELECT 'geometric', CAST(round(pow(60, i / CAST(11 AS DOUBLE))) AS BIGINT) FROM i WHERE i < 12
+ UNION SELECT 'stepped', i FROM i WHERE i <= 5 UNION SELECT 'stepped', 7 * i FROM i, t WHERE 7 * i <= least(35, top) UNION SELECT 'stepped', least(35, top) + 10 * i FROM i, t WHERE i > 0 UNION SELECT 'stepped', top FROM t
+ UNION SELECT 'requested', unnest([1, 4, 9]))
+ SELECT rule, lag FROM g, t WHERE lag >= 1 AND lag <= CASE WHEN rule IN ('geometric', 'requested') THEN most ELSE top END)""",
+    ["track"],
+)

@@ -76,18 +76,21 @@ _PD = ["min_distance", "mean_distance"]
 
 
 def _stream(s, d):
-    """Drive the stateful stream over the pair table and read its sink."""
+    """Drive the stateful stream over the pair table in frame order, a third at a time with a restart between, and read its sink."""
     source = v.shared(s, d, "stream_input", lambda: events(s, d).select("center_id", "anion_id", "frame", "ordinal"))
-    folder = source.inputFiles()[0].rsplit("/", 1)[0]
+    n = source.agg(F.max("ordinal") + 1).first()[0] or 0
     out = scratch(s, "stream")
-    numbered = pair_events_stream(s.readStream.schema(source.schema).parquet(folder))
-    numbered.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    for k in range(3):
+        part = source.filter((F.col("ordinal") * 3 >= k * n) & (F.col("ordinal") * 3 < (k + 1) * n))
+        part.write.mode("append").parquet(f"{out}/input")
+        numbered = pair_events_stream(s.readStream.schema(source.schema).parquet(f"{out}/input"))
+        numbered.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(
+            availableNow=True
+        ).start().awaitTermination()
     return s.read.parquet(f"{out}/rows")
 
 
-register("pair_events_stream", _stream, "SELECT center_id, anion_id, frame, ordinal, event_number, age_frames, continuing, new_event FROM pevents", ["pevents"])
+register("pair_events_stream", _stream, "SELECT center_id, anion_id, frame, ordinal, event_number, age_frames, continuing, new_event, 0 AS is_late FROM pevents", ["pevents"])
 register("frame_pairs", lambda s, d: pr.frame_pairs(v.contacts(s, d)),
          "SELECT frame, center_id, anion_id, n_sites, min_distance, mean_distance FROM pairs", ["pairs"], _PD)
 register("pair_events", events, "SELECT * FROM pevents", ["pevents"], [*_PD, "age_ps"])

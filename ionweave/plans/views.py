@@ -175,12 +175,19 @@ def sites(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple:
+    """Name, length and time of everything in the folder, so a changed table is staged anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed))
 
 
 def shared(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """Stage tables are written once per application and read by every query that needs them."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, _versions(spark, sf))
     if key not in _SHARED:
         _SHARED[key] = staged(build(), name)
     return _SHARED[key]

@@ -1,7 +1,9 @@
 """Bound-pair event numbering as a keyed, stateful stream.
 
 Frames arrive in order, one micro-batch holding one or more whole frames.  State per pair is
-three integers, so it is bounded by the number of distinct pairs.
+three integers, so it is bounded by the number of distinct pairs; it can't end with an event,
+because the next event of the pair continues its numbering.  A row that comes after a later
+frame of its pair is handed on as late, without a number, and leaves the state as it is.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = (
     "center_id bigint, anion_id bigint, frame bigint, ordinal bigint, event_number bigint, age_frames bigint, "
-    "continuing int, new_event int"
+    "continuing int, new_event int, is_late int"
 )
 STATE = "event_number bigint, age bigint, last_ordinal bigint"
 
@@ -28,6 +30,16 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     """
     rows = pd.concat(list(batches)).sort_values("ordinal")
     number, age, last = state.get if state.exists else (0, 0, None)
+    if last is not None and (late := rows[rows["ordinal"] <= last]).shape[0]:
+        yield pd.DataFrame(
+            {
+                "center_id": key[0], "anion_id": key[1], "frame": late["frame"].to_numpy(), "ordinal": late["ordinal"].to_numpy(),
+                "event_number": None, "age_frames": None, "continuing": None, "new_event": None, "is_late": 1,
+            }
+        ).astype({c: "Int64" for c in ("event_number", "age_frames")} | {c: "Int32" for c in ("continuing", "new_event", "is_late")})
+        rows = rows[rows["ordinal"] > last]
+    if rows.empty:
+        return
     order = rows["ordinal"].to_numpy()
     gap = pd.Series(order).diff()
     gap.iloc[0] = order[0] - last if last is not None else 0
@@ -42,6 +54,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             "center_id": key[0], "anion_id": key[1], "frame": rows["frame"].to_numpy(), "ordinal": order,
             "event_number": number + run, "age_frames": ages,
             "continuing": (ages > 1).astype("int32"), "new_event": (ages == 1).astype("int32"),
+            "is_late": 0,
         }
     )
 

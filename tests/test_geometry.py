@@ -13,9 +13,10 @@ def one(spark, columns):
     return spark.range(1).select(*columns).first()
 
 
-def test_minimum_image(spark):
-    d = Vector(F.lit(9.0), F.lit(-9.0), F.lit(1.0))
-    assert list(one(spark, minimum_image(d, Vector(*[F.lit(10.0)] * 3)))) == [-1.0, 1.0, 1.0]
+def test_minimum_image_with_unequal_edges_and_several_wraps(spark):
+    d = Vector(F.lit(25.5), F.lit(-31.0), F.lit(-3.25))
+    got = one(spark, minimum_image(d, Vector(F.lit(8.0), F.lit(14.0), F.lit(6.0))))
+    assert list(got) == [1.5, -3.0, 2.75]
 
 
 @pytest.mark.parametrize("d, want", [(5.0, 5.0), (15.0, -5.0)])
@@ -46,11 +47,11 @@ def test_triclinic_with_right_angles_is_orthorhombic(spark):
 
 
 def test_unwrap_step(spark):
-    rows = [(0, 0, 9.5, 1.0, 1.0, 10.0), (0, 1, 0.5, 1.0, 1.0, 10.0)]
+    rows = [(0, 0, 1.0, 3.0, 2.0, 12.0), (0, 1, 11.0, 7.0, 2.0, 12.0), (0, 2, 9.5, 1.0, 2.0, 12.0)]
     df = spark.createDataFrame(rows, "e int, frame bigint, x double, y double, z double, box double")
     got = mo.unwrap(df, ["e"]).orderBy("frame").collect()
-    assert [r.ux for r in got] == [9.5, 10.5]
-    assert got[0].step is None and got[1].step == 1.0
+    assert [r.ux for r in got] == [1.0, -1.0, -2.5]
+    assert got[0].step is None and np.allclose([r.step for r in got[1:]], [np.hypot(2, 4), np.hypot(1.5, 6)])
 
 
 @pytest.mark.parametrize("rule", ["current", "mean"])

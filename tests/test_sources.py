@@ -104,6 +104,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert closed_events(got, 29).filter("is_open = 1").count() == df.filter("frame = 29").count()
 
 
+def test_stream_hands_on_late_rows_and_restarts(spark, tmp_path):
+    schema = "center_id bigint, anion_id bigint, frame bigint, ordinal bigint"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for ordinals in ([0, 1], [1, 2, 5], [0, 6]):
+        spark.createDataFrame([(1, 2, o * 10, o) for o in ordinals], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = pair_events_stream(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out)
+        stream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(out).collect()
+    late = [(r.ordinal, r.event_number) for r in got if r.is_late]
+    assert sorted(late) == [(0, None), (1, None)]
+    kept = sorted((r.ordinal, r.event_number, r.age_frames) for r in got if not r.is_late)
+    assert [(o, a) for o, _, a in kept] == [(0, 1), (1, 2), (2, 3), (5, 1), (6, 2)]
+    assert len({e for _, e, _ in kept}) == 2
+
+
 def test_master_file_to_contacts(spark, tmp_path):
     text = 'frame,metal_atom_id,n_peo_oxygen,coordination_state,peo_chain_eo_mapping,tfsi_denticity\n3,9,2,PT,"{""7"": [4, 5]}","{""2"": 2, ""5"": 1}"\n4,9,0,F,,{}\n'
     (tmp_path / "m.csv").write_text(text)
