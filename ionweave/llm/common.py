@@ -30,10 +30,11 @@ def order_key(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def salted_join(rows: DataFrame, small: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, small: DataFrame, key: str | Sequence[str], salt: Column, how: str = "inner") -> DataFrame:
     """Join ``rows`` with one row per ``key`` of ``small``; a hot key is dealt to ``SALTS`` partitions."""
+    keys = [key] if isinstance(key, str) else list(key)
     copies = small.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    return rows.withColumn("__salt", F.pmod(salt, F.lit(SALTS)).cast("long")).join(copies, [key, "__salt"], how).drop("__salt")
+    return rows.withColumn("__salt", F.pmod(salt, F.lit(SALTS)).cast("long")).join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, span: int = 4096) -> DataFrame:

@@ -6,7 +6,9 @@ region is sorted by the remaining hashes, and each class meets its next neighbou
 the longest common prefix. Regions with many classes are split one hash deeper, as often as needed,
 and the first class of a part meets the first of the whole. A first pass over two trees with single
 neighbours joins the bulk of large groups; the second, over all trees with several neighbours, leaves
-out pairs that are joined already. Sketches carried along drop pairs far under the threshold; every
+out pairs that are joined already. In crowded regions that then still hold several components, the
+classes outside the largest one meet those of the whole part that their sketches find nearest, until a
+pass confirms no further link. Sketches carried along drop pairs far under the threshold; every
 other pair is compared on its full sets.
 """
 
@@ -16,10 +18,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionweave.llm.common import salted_join
 from ionweave.llm.graph import components
 from ionweave.llm.shingles import minhashes, set_hash, shingle_set, word_hashes
 from ionweave.session import staged
@@ -28,6 +32,8 @@ TREES, DEPTH = 12, 8
 #: Classes of a region that one window sorts; larger ones are split one hash deeper.
 REGION = 2048
 NEIGHBOURS = 8
+#: Classes that one outside a region's largest component meets there in one pass.
+NEAREST = 16
 #: Fewest equal 4-bit hashes of the 96 in the sketches: six standard deviations under the mean at the threshold.
 SKETCH_LEAST = 48
 #: Shingles hashed at once.
@@ -96,44 +102,74 @@ def _region(depth: int) -> Column:
 def _possible(percent: int) -> Column:
     """Sizes and sketches of a pair that could reach the threshold."""
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    return (small * 100 >= large * percent) & (_alike("x.sketch", "y.sketch") >= SKETCH_LEAST)
+    return (F.col("x.root") != F.col("y.root")) & (small * 100 >= large * percent) & (_alike("x.sketch", "y.sketch") >= SKETCH_LEAST)
 
 
-def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that are neighbours in one of the first ``trees`` trees."""
+def _nearest(group: pd.DataFrame) -> pd.DataFrame:
+    """The ``NEAREST`` best sketches of another component for each class outside a part's largest component."""
+    cid, root, n = (group[c].to_numpy() for c in ("cid", "root", "n"))
+    nibbles = np.stack(group["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+    nibbles = ((nibbles[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4))) & np.uint64(15)).reshape(len(cid), -1).astype(np.uint8)
+    roots, held = np.unique(root, return_counts=True)
+    out = []
+    for i in np.flatnonzero(root != roots[held.argmax()]):
+        alike = (nibbles == nibbles[i]).sum(axis=1)
+        fits = (root != root[i]) & (alike >= SKETCH_LEAST) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * group["percent"].iloc[0])
+        best = np.flatnonzero(fits)
+        best = best[np.lexsort((cid[best], -alike[best]))[:NEAREST]]
+        out.append(pd.DataFrame({"a": np.minimum(cid[i], cid[best]), "b": np.maximum(cid[i], cid[best])}))
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
+def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int, again: bool = False) -> DataFrame:
+    """Distinct (a, b), a < b, of classes with different ``root`` that are neighbours in one of the first ``trees`` trees.
+
+    With ``again``, only regions of several components with more classes than met each other before are searched, by sketch.
+    """
     one = F.lit(1).cast("long")
     keys = classes.select("cid", "sig", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"))
     keys = keys.select("cid", "tree", _region(1).alias("key"))
     shared = keys.groupBy("key").agg(F.count(one).alias("many")).filter("many > 1")
     met = keys.join(shared, "key").groupBy("cid").agg(F.collect_list(F.struct("tree", "key", "many")).alias("met"))
-    member = F.struct("cid", F.col("n_shingles").alias("n"), "sketch").alias("x")
+    member = F.struct("cid", F.col("n_shingles").alias("n"), "sketch", "root").alias("x")
     rows = classes.join(met, "cid").select(member, "sig", F.explode("met").alias("m")).select("x", "sig", "m.tree", "m.key", "m.many")
+    if again:
+        rows = rows.filter(F.col("many") > neighbours + 1)
     rows = staged(rows, "regions")
+    if again:
+        mixed = rows.groupBy("tree", "key").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high")).filter("low < high")
+        rows = salted_join(rows, mixed.select("tree", "key"), ["tree", "key"], F.col("x.cid"))
+    own = F.col("tree") * DEPTH + 1
     found, depth = [], 1
     while True:
-        low = F.col("tree") * DEPTH + 1 + depth
-        order = [F.slice("sig", low, DEPTH - depth), F.col("x.cid")] if depth < DEPTH else [F.col("x.cid")]
+        order = [F.slice("sig", own + depth, DEPTH - depth), F.col("x.cid")] if depth < DEPTH else [F.col("x.cid")]
         w = Window.partitionBy("tree", "key").orderBy(*order)
-        near = rows.filter(F.col("many") <= REGION).select("x", F.array(*[F.lead("x", k).over(w) for k in range(1, neighbours + 1)]).alias("ys"))
-        found.append(near.select("x", F.explode("ys").alias("y")).filter(F.col("y").isNotNull()).filter(_possible(percent)))
+        small = rows.filter(F.col("many") <= REGION)
+        if again:
+            small = small.select("tree", "key", "x.cid", "x.root", "x.n", "x.sketch", F.lit(percent).alias("percent"))
+            found.append(small.groupBy("tree", "key").applyInPandas(_nearest, "a long, b long"))
+        else:
+            near = small.select("x", F.array(*[F.lead("x", k).over(w) for k in range(1, neighbours + 1)]).alias("ys"))
+            near = near.select("x", F.explode("ys").alias("y")).filter(F.col("y").isNotNull()).filter(_possible(percent))
+            found.append(near.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
         deep = rows.filter(F.col("many") > REGION)
         if not deep.limit(1).count():
             break
         depth += 1
         # One hash deeper; where all are used up, classes of one signature are dealt by their number.
-        part = _region(depth) if depth <= DEPTH else F.xxhash64("key", F.floor(F.col("x.cid") % 1_000_003 * F.col("many") / (1_000_003.0 * REGION)))
+        part = F.xxhash64("key", F.slice("sig", own, depth)) if depth <= DEPTH else F.xxhash64("key", F.floor(F.col("x.cid") % 1_000_003 * F.col("many") / (1_000_003.0 * REGION)))
         deep = deep.withColumn("part", part)
-        heads = deep.groupBy("tree", "key", "part").agg(F.count(one).alias("in_part"), F.min("x").alias("first"))
+        heads = staged(deep.groupBy("tree", "key", "part").agg(F.count(one).alias("in_part"), F.min("x").alias("first")), "heads")
         top = heads.groupBy("tree", "key").agg(F.min("first").alias("y"))
-        found.append(heads.join(top, ["tree", "key"]).select(F.col("first").alias("x"), "y").filter("x.cid <> y.cid").filter(_possible(percent)))
+        tops = heads.join(top, ["tree", "key"]).select(F.col("first").alias("x"), "y").filter(_possible(percent))
+        found.append(tops.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
         sizes = heads.filter("in_part > 1").select("tree", "key", "part", "in_part")
-        again = depth > DEPTH
-        deep = deep.join(sizes, ["tree", "key", "part"]).select(
-            "x", "sig", "tree", F.col("part").alias("key"), (F.least("in_part", F.lit(REGION)) if again else F.col("in_part")).alias("many")
+        # Near copies by the thousand share many hashes: their rows are dealt anew.
+        deep = salted_join(deep, sizes, ["tree", "key", "part"], F.col("x.cid")).select(
+            "x", "sig", "tree", F.col("part").alias("key"), (F.least("in_part", F.lit(REGION)) if depth > DEPTH else F.col("in_part")).alias("many")
         )
         rows = staged(deep, "regions")
-    pairs = reduce(DataFrame.unionByName, [f.select("x.cid", F.col("y.cid").alias("other")) for f in found])
-    return pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+    return reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sets(documents: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -161,7 +197,6 @@ def _sets(documents: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 
 def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` with 100 * intersection >= percent * union on the full sets."""
-    pairs = staged(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     needed = ids.join(classes.select("cid", F.col("rep").alias("doc_id"), "h1"), "cid")
     sets = staged(_sets(documents, needed, size), "sets")
@@ -198,14 +233,22 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 75) -> D
     held = real.select(F.col("doc_id").alias("rep"), "h1", "h2", "n_shingles", "sig", "sketch")
     classes = held.join(narrow, ["rep", "h1", "h2", "n_shingles"]).dropDuplicates(["cid"])
     classes = staged(classes.select("cid", "rep", "h1", "n_shingles", "sig", "sketch"), "class_rows")
-    links = confirmed(documents, classes, candidates(classes, 2, 1, percent), size, percent)
-    roots = staged(components(links), "roots")
-    apart = candidates(classes, TREES, NEIGHBOURS, percent)
-    for side in ("a", "b"):
-        apart = apart.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    apart = apart.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = confirmed(documents, classes, apart, size, percent)
-    roots = components(links.unionByName(more))
+    rooted = classes.withColumn("root", F.col("cid"))
+    links, turn = None, -1
+    while True:
+        trees, neighbours = (2, 1) if turn < 0 else (TREES, NEIGHBOURS)
+        pairs = staged(candidates(rooted, trees, neighbours, percent, turn > 0), "pairs")
+        more = confirmed(documents, classes, pairs, size, percent)
+        new = more.limit(1).count()
+        if new or links is None:
+            # Components so far stand for the links they came from.
+            links = more if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+            roots = staged(components(links), "roots")
+            known = roots.select(F.col("node").alias("cid"), "root")
+            rooted = classes.join(known, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        if turn > 0 and not new:
+            break
+        turn += 1
     named = narrow.join(roots, F.col("cid") == F.col("node"), "left").select("h1", "h2", "n_shingles", "rep", F.coalesce("root", "cid").alias("root"))
     named = staged(named, "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
