@@ -20,7 +20,6 @@ ROWS, WIDTH, PARTS = 3, 6, 8
 #: Characters beyond which a line is cut at the ends of sentences.
 LONG_LINE = 500
 ROUNDS = 8
-CELL = "struct<n:int,k:bigint,c:bigint>"
 KEY = ["__id", "__null", "__text_hash"]
 
 
@@ -32,7 +31,7 @@ def digests(text: Column) -> Column:
 
 
 def _check(k: Column) -> Column:
-    return F.xxhash64(k, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.hash(k, F.lit(7))
 
 
 def _holds(k: Column, cell: Column, level: int) -> Column:
@@ -43,7 +42,7 @@ def _holds(k: Column, cell: Column, level: int) -> Column:
 
 
 def _cell(n: Column, k: Column, c: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), k.cast("long").alias("k"), c.cast("long").alias("c"))
+    return F.struct(n.cast("int").alias("n"), k.cast("long").alias("k"), c.cast("int").alias("c"))
 
 
 def sketch(keys: Column, level: int = 0) -> Column:
@@ -147,7 +146,7 @@ def next_texts(documents: DataFrame) -> DataFrame:
 
 
 def _hex(cells: Column) -> Column:
-    shown = F.transform(cells, lambda x: F.concat_ws(".", x["n"].cast("string"), F.lower(F.hex(x["k"])), F.lower(F.hex(x["c"]))))
+    shown = F.transform(cells, lambda x: F.concat_ws(".", x["n"].cast("string"), F.lower(F.hex(x["k"])), F.lower(F.hex(x["c"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))))
     return F.array_join(shown, "-")
 
 
@@ -193,9 +192,12 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     found, level = [], 1
     while open_.limit(1).count():
         level += 1
-        tried = staged(open_.select("__row", "pair", F.explode(_retry(F.col("a"), F.col("b"), level)).alias("t")), "retry")
-        found.append(tried.filter("t.r.done").select("__row", "pair", F.col("t.r.found").alias("d")))
-        open_ = tried.filter("NOT t.r.done").select("__row", "pair", F.col("t.a").alias("a"), F.col("t.b").alias("b"))
+        tried = open_.select("__row", "pair", F.explode(_retry(F.col("a"), F.col("b"), level)).alias("t"))
+        # Digests are written for the parts that go on only.
+        left = [F.when(~F.col("t.r.done"), F.col(f"t.{c}")).alias(c) for c in "ab"]
+        tried = staged(tried.select("__row", "pair", F.col("t.r.found").alias("d"), F.col("t.r.done").alias("done"), *left), "retry")
+        found.append(tried.filter("done").select("__row", "pair", "d"))
+        open_ = tried.filter("NOT done").select("__row", "pair", "a", "b")
     out = first.drop("open")
     if found:
         every = found[0]
