@@ -91,7 +91,7 @@ s AS (SELECT g, min(source) AS source, CAST(sum(size) AS BIGINT) AS source_size
 w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, CAST(source_size AS DOUBLE) * 2 AS cap FROM s),
 o AS (SELECT *, sum(w) OVER (ORDER BY cap / w, g) AS w_upto, sum(cap) OVER (ORDER BY cap / w, g) AS cap_upto,
  sum(w) OVER () AS w_all, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS budget FROM w),
-lv AS (SELECT min((budget - cap_upto + cap) / (w_all - w_upto + w)) AS lv FROM o
+lv AS (SELECT arg_min((budget - cap_upto + cap) / (w_all - w_upto + w), w_upto) AS lv FROM o
  WHERE (budget - cap_upto + cap) / (w_all - w_upto + w) <= cap / w),
 t AS (SELECT g, source_size, CAST(least(cap, w * lv) AS DOUBLE) AS target FROM w, lv),
 u AS (SELECT g, k, sum(size) AS size FROM d GROUP BY g, k),
@@ -102,12 +102,3 @@ b AS (SELECT c.g, CASE WHEN (room - upto + size) * 2 >= size THEN c.k + 1 ELSE c
 SELECT doc_id, source, size, source_size, target,
  CAST(size * (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END + CASE WHEN k < coalesce(bound, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN t ON t.g = d.g LEFT JOIN b ON b.g = d.g"""
-
-_KEY1 = "CAST(('0x' || substr(md5('1:' || g), 1, 15)) AS BIGINT)"
-ORACLES["op5_stratified_shards"] = f"""
-WITH d AS (SELECT doc_id, source, {_GROUP} AS g, {_KEY.format(seed=0)} AS k, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS source_rank, count(*) OVER (PARTITION BY g) AS n FROM d),
-p AS (SELECT *, (source_rank + CAST({_KEY1} AS DOUBLE) / CAST(1152921504606846976 AS DOUBLE)) / n AS place FROM r),
-a AS (SELECT *, row_number() OVER (ORDER BY place, g, source_rank) - 1 AS at, count(*) OVER () AS total FROM p)
-SELECT doc_id, source, size, source_rank, round(place, 9) AS place, 'rows' AS law, CAST(at * 8 // total AS INTEGER) AS shard,
- at - ((at * 8 // total) * total + 7) // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM a"""
