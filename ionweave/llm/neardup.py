@@ -6,9 +6,9 @@ region is sorted by the remaining hashes, and each class meets its next neighbou
 the longest common prefix. Regions with many classes are split one hash deeper, as often as needed,
 and the first class of a part meets the first of the whole. A first pass over two trees with single
 neighbours joins the bulk of large groups; the second, over all trees with several neighbours, leaves
-out pairs that are joined already. In crowded regions that then still hold several components, the
-classes outside the largest one meet those of the whole part that their sketches find nearest, until a
-pass confirms no further link. Sketches carried along drop pairs far under the threshold; every
+out pairs that are joined already. The classes of crowded regions that then still hold several components
+are joined without a cap: two sets that reach the threshold share one of the rarest shingles of both, as
+many as the threshold allows to differ and one more. Sketches drop pairs far under the threshold; every
 other pair is compared on its full sets.
 """
 
@@ -18,22 +18,21 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import salted_join
+from ionweave.llm.common import SALTS, salted_join
 from ionweave.llm.graph import components
-from ionweave.llm.shingles import minhashes, set_hash, shingle_set, word_hashes
+from ionweave.llm.shingles import U64, minhashes, set_hash, shingle_set, word_hashes
 from ionweave.session import staged
 
 TREES, DEPTH = 12, 8
 #: Classes of a region that one window sorts; larger ones are split one hash deeper.
 REGION = 2048
 NEIGHBOURS = 8
-#: Classes that one outside a region's largest component meets there in one pass.
-NEAREST = 16
+#: Counters by which shingles are ordered from rare to frequent.
+COUNTERS = 1 << 16
 #: Fewest equal 4-bit hashes of the 96 in the sketches: six standard deviations under the mean at the threshold.
 SKETCH_LEAST = 48
 #: Shingles hashed at once.
@@ -105,27 +104,8 @@ def _possible(percent: int) -> Column:
     return (F.col("x.root") != F.col("y.root")) & (small * 100 >= large * percent) & (_alike("x.sketch", "y.sketch") >= SKETCH_LEAST)
 
 
-def _nearest(group: pd.DataFrame) -> pd.DataFrame:
-    """The ``NEAREST`` best sketches of another component for each class outside a part's largest component."""
-    cid, root, n = (group[c].to_numpy() for c in ("cid", "root", "n"))
-    nibbles = np.stack(group["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-    nibbles = ((nibbles[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4))) & np.uint64(15)).reshape(len(cid), -1).astype(np.uint8)
-    roots, held = np.unique(root, return_counts=True)
-    out = []
-    for i in np.flatnonzero(root != roots[held.argmax()]):
-        alike = (nibbles == nibbles[i]).sum(axis=1)
-        fits = (root != root[i]) & (alike >= SKETCH_LEAST) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * group["percent"].iloc[0])
-        best = np.flatnonzero(fits)
-        best = best[np.lexsort((cid[best], -alike[best]))[:NEAREST]]
-        out.append(pd.DataFrame({"a": np.minimum(cid[i], cid[best]), "b": np.maximum(cid[i], cid[best])}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-
-def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int, again: bool = False) -> DataFrame:
-    """Distinct (a, b), a < b, of classes with different ``root`` that are neighbours in one of the first ``trees`` trees.
-
-    With ``again``, only regions of several components with more classes than met each other before are searched, by sketch.
-    """
+def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of classes with different ``root`` that are neighbours in one of the first ``trees`` trees."""
     one = F.lit(1).cast("long")
     keys = classes.select("cid", "sig", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"))
     keys = keys.select("cid", "tree", _region(1).alias("key"))
@@ -133,25 +113,16 @@ def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int, ag
     met = keys.join(shared, "key").groupBy("cid").agg(F.collect_list(F.struct("tree", "key", "many")).alias("met"))
     member = F.struct("cid", F.col("n_shingles").alias("n"), "sketch", "root").alias("x")
     rows = classes.join(met, "cid").select(member, "sig", F.explode("met").alias("m")).select("x", "sig", "m.tree", "m.key", "m.many")
-    if again:
-        rows = rows.filter(F.col("many") > neighbours + 1)
     rows = staged(rows, "regions")
-    if again:
-        mixed = rows.groupBy("tree", "key").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high")).filter("low < high")
-        rows = salted_join(rows, mixed.select("tree", "key"), ["tree", "key"], F.col("x.cid"))
     own = F.col("tree") * DEPTH + 1
     found, depth = [], 1
     while True:
         order = [F.slice("sig", own + depth, DEPTH - depth), F.col("x.cid")] if depth < DEPTH else [F.col("x.cid")]
         w = Window.partitionBy("tree", "key").orderBy(*order)
         small = rows.filter(F.col("many") <= REGION)
-        if again:
-            small = small.select("tree", "key", "x.cid", "x.root", "x.n", "x.sketch", F.lit(percent).alias("percent"))
-            found.append(small.groupBy("tree", "key").applyInPandas(_nearest, "a long, b long"))
-        else:
-            near = small.select("x", F.array(*[F.lead("x", k).over(w) for k in range(1, neighbours + 1)]).alias("ys"))
-            near = near.select("x", F.explode("ys").alias("y")).filter(F.col("y").isNotNull()).filter(_possible(percent))
-            found.append(near.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
+        near = small.select("x", F.array(*[F.lead("x", k).over(w) for k in range(1, neighbours + 1)]).alias("ys"))
+        near = near.select("x", F.explode("ys").alias("y")).filter(F.col("y").isNotNull()).filter(_possible(percent))
+        found.append(near.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
         deep = rows.filter(F.col("many") > REGION)
         if not deep.limit(1).count():
             break
@@ -195,6 +166,67 @@ def _sets(documents: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(sets, "cid long, shingles binary")
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """(cid, h1, doc_id, n, root) of the classes in regions of several components with more classes than met each other there."""
+    keys = classes.select("cid", "root", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"), "sig").select("cid", "root", _region(1).alias("key"))
+    keys = staged(keys, "crowded_keys")
+    mixed = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = mixed.filter((F.col("many") > NEIGHBOURS + 1) & (F.col("low") < F.col("high"))).select("key")
+    cids = salted_join(keys, mixed, "key", F.col("cid")).select("cid").distinct()
+    return classes.join(cids, "cid").select("cid", "h1", F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "root")
+
+
+def _places(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U64(48)).astype(np.int64) % COUNTERS
+
+
+def rare_pairs(documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """All (a, b), a < b, of ``crowded`` classes with different ``root`` that sizes, rare shingles and sketches let reach the threshold."""
+    within = staged(crowded(classes), "crowded")
+    sets = staged(_sets(documents, within.select("cid", "doc_id", "h1"), size).join(within.select("cid", "n", "root"), "cid"), "crowded_sets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                held += np.bincount(_places(np.frombuffer(raw.as_py(), U64)), minlength=COUNTERS)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["place", "n"])
+
+    sums = sets.select("shingles").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[sums["place"].to_numpy()] = sums["n"].to_numpy()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, raw, n, root in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                own = np.frombuffer(raw, U64)
+                # Any one order of all shingles gives the same pairs; the rarest first gives the fewest candidates.
+                own = own[np.lexsort((own, often[_places(own)]))][: n - -(-n * percent // 100) + 1]
+                m = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own.view(np.int64)), pa.array(np.full(m, cid)), pa.array(np.full(m, n)), pa.array(np.full(m, root))], names=["s", "cid", "n", "root"]
+                )
+
+    held = staged(sets.select("cid", "shingles", "n", "root").mapInArrow(rarest, "s long, cid long, n long, root long"), "rare_shingles")
+    # Of each shingle's components the one with most classes is met by the others only, not by itself.
+    tops = held.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(
+        F.max_by("root", F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")
+    )
+    held = staged(salted_join(held, tops.filter("roots > 1").select("s", "top"), "s", F.col("cid")), "shared_shingles")
+    few = held.filter("root <> top").select("s", F.struct("cid", "n", "root").alias("x"))
+    many = held.select("s", F.struct("cid", "n", "root").alias("y"))
+    # Frequent shingles are dealt by the class of one side, the other side is copied.
+    salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt")
+    met = few.select("s", "x", salts).join(many.withColumn("salt", F.pmod("y.cid", F.lit(SALTS)).cast("long")), ["s", "salt"])
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    met = met.filter((F.col("x.root") != F.col("y.root")) & (small * 100 >= large * percent))
+    pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    sketches = classes.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"))
+    pairs = pairs.join(sketches, "a").join(sketches.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
+    return pairs.filter(_alike("sa", "sb") >= SKETCH_LEAST).select("a", "b")
+
+
 def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` with 100 * intersection >= percent * union on the full sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -234,21 +266,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 75) -> D
     classes = held.join(narrow, ["rep", "h1", "h2", "n_shingles"]).dropDuplicates(["cid"])
     classes = staged(classes.select("cid", "rep", "h1", "n_shingles", "sig", "sketch"), "class_rows")
     rooted = classes.withColumn("root", F.col("cid"))
-    links, turn = None, -1
-    while True:
-        trees, neighbours = (2, 1) if turn < 0 else (TREES, NEIGHBOURS)
-        pairs = staged(candidates(rooted, trees, neighbours, percent, turn > 0), "pairs")
-        more = confirmed(documents, classes, pairs, size, percent)
-        new = more.limit(1).count()
-        if new or links is None:
+    links = None
+    for trees, neighbours in ((2, 1), (TREES, NEIGHBOURS), (0, 0)):
+        pairs = candidates(rooted, trees, neighbours, percent) if trees else rare_pairs(documents, rooted, size, percent)
+        more = confirmed(documents, classes, staged(pairs, "pairs"), size, percent)
+        if links is None or more.limit(1).count():
             # Components so far stand for the links they came from.
             links = more if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
             roots = staged(components(links), "roots")
             known = roots.select(F.col("node").alias("cid"), "root")
             rooted = classes.join(known, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        if turn > 0 and not new:
-            break
-        turn += 1
     named = narrow.join(roots, F.col("cid") == F.col("node"), "left").select("h1", "h2", "n_shingles", "rep", F.coalesce("root", "cid").alias("root"))
     named = staged(named, "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

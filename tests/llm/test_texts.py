@@ -77,6 +77,19 @@ def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
     check_groups(spark, rows)
 
 
+def test_near_duplicates_among_many_that_look_as_near(spark, monkeypatch):
+    rng = random.Random(8)
+    # All pairs are at 84 / 114 = 0.74; those with one more word in common reach 85 / 113 = 0.75.
+    passage, rows = words(rng, 88), []
+    for i in range(140):
+        rows.append((i, passage + " " + words(rng, 15), "s", "en", 1, 1, None, 1))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(rows[-1][1].split()[:89]) + " " + words(rng, 14), "s", "en", 1, 1, None, 1))
+    assert len({c for _, _, c in groups(rows)}) > 70
+    monkeypatch.setattr(neardup, "NEIGHBOURS", 1)
+    check_groups(spark, rows)
+
+
 def test_word_hashes_do_not_depend_on_the_batch(monkeypatch):
     texts = [(t or "").encode() for _, t, *_ in sample()]
     whole = [shingle_set(w).tolist() for w in word_hashes(texts)]
