@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +97,8 @@ def write_warc(pages: DataFrame, path: str, least: int = 1000) -> DataFrame:
 
     Defined cases: a null html is an empty payload; null page_ids and urls are left out of the
     headers' values; repeated rows give a record each; an empty table gives an empty manifest;
-    other columns are ignored. Tasks that are run again write new files; the manifest has the last.
+    other columns are ignored. Tasks that are run again write new files; the manifest has the last,
+    and readers take the files of the manifest alone.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +197,10 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         system, place = opened(self.path)
-        found = system.get_file_info(fs.FileSelector(place))
-        sizes = sorted(((f.size, f"{self.path}/{f.base_name}") for f in found if f.base_name.endswith(".warc.gz")), reverse=True)
+        listed = [f.path for f in system.get_file_info(fs.FileSelector(f"{place}/manifest")) if f.base_name.endswith(".parquet") and f.base_name[0] not in "._"]
+        # Files of lost or repeated tasks are in no manifest. Names are taken from it without their folder, which may have moved.
+        rows = [r for p in listed for r in pq.ParquetFile(system.open_input_file(p)).read(["file", "bytes"]).to_pylist()]
+        sizes = sorted(((r["bytes"], f"{self.path}/{r['file'].rpartition('/')[2]}") for r in rows), reverse=True)
         plan, held = [[]], 0
         for size, name in sizes:
             if plan[-1] and held + size > TASK_BYTES:

@@ -110,6 +110,17 @@ def test_warc_round_trip(spark):
     assert warc.page_records(spark, empty).count() == 0
 
 
+def test_warc_reads_committed_files_alone(spark):
+    path = scratch(prepared(spark), "test_warc")
+    manifest = warc.write_warc(spark.createDataFrame([(1, "u", "<p>one</p>", "x"), (2, "v", "<p>two</p>", "x")], PAGES), path).collect()
+    place = path.removeprefix("file:")
+    whole = open(manifest[0].file.removeprefix("file:"), "rb").read()
+    for name, data in (("again", whole), ("cut", whole[: len(whole) // 2])):
+        with open(f"{place}/{name}.warc.gz", "wb") as out:
+            out.write(data)
+    assert sorted(r.page_id for r in warc.page_records(spark, path).collect()) == [1, 2]
+
+
 def test_warc_steps_over_unwanted_payloads(monkeypatch):
     good = warc.member(warc.record(1, "u", b"x" * 5000, "00" * 20, None, "response"))
     bad = bytearray(warc.member(warc.record(2, "u", bytes(range(256)) * 400, "00" * 20, None, "response")))
