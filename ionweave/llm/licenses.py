@@ -1,9 +1,8 @@
 """Licence scan with a positional index of rare words.
 
 Licence notices and phrases are short templates. Their words, weighted by how few templates
-hold them, form the index; a file's own highest-weighted licence words are looked up in it, and
-postings whose position in the file and in a template differ by the same offset are one
-candidate place. Mandatory phrases are then verified at that place.
+hold them, form the index. Of each template the mandatory word of highest weight is looked up; any
+place of it is a candidate, at which the score and the mandatory phrase decide.
 """
 
 from __future__ import annotations
@@ -73,9 +72,10 @@ def licence_words(documents: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
     return rows.withColumn("__row", F.monotonically_increasing_id())
 
 
-def weighted_index(files: DataFrame, index: Sequence[tuple], rare: int = 2) -> DataFrame:
-    """The index with each word's IDF over all files, and the ``rare`` words of highest IDF of each template marked.
+def weighted_index(files: DataFrame, index: Sequence[tuple], least: float = 0.75) -> DataFrame:
+    """The index with each word's IDF over all files, and those postings marked of which any place of score ``least`` holds one.
 
+    That is the mandatory word of highest IDF; in a template without one, as many of highest IDF as no such place can lack.
     Files are counted per word of the index only: as many rows as the templates have words.
     """
     spark = files.sparkSession
@@ -83,11 +83,16 @@ def weighted_index(files: DataFrame, index: Sequence[tuple], rare: int = 2) -> D
     held = {r[0]: r[1] for r in words.groupBy("word").agg(F.count(F.lit(1))).collect()}
     total = files.count()
     idf = {t[3]: math.log((1 + total) / (1 + held.get(t[3], 0))) + 1 for t in index}
-    best = {}
+    lead = set()
     for name in dict.fromkeys(t[0] for t in index):
-        own = sorted({t[3] for t in index if t[0] == name}, key=lambda w: (-idf[w], w))
-        best[name] = set(own[:rare])
-    rows = [(*t, idf[t[3]], t[3] in best[t[0]]) for t in index]
+        own = sorted((t for t in index if t[0] == name), key=lambda t: (not t[5], -idf[t[3]], t[4]))
+        spare = -1.0 if own[0][5] else (1 - least) * sum(idf[t[3]] for t in own) * (1 + 1e-9)
+        for t in own:
+            lead.add((name, t[4]))
+            spare -= idf[t[3]]
+            if spare < 0:
+                break
+    rows = [(*t, idf[t[3]], (t[0], t[4]) in lead) for t in index]
     return spark.createDataFrame(rows, INDEX_SCHEMA)
 
 
@@ -101,12 +106,10 @@ def licence_places(files: DataFrame, postings: DataFrame, least: float = 0.75) -
     """
     sought = [r[0] for r in postings.filter("rare").select("word").distinct().collect()]
     start = (F.col("h.pos") - F.col("tpos")).alias("start")
-    # The rare words alone give the candidate places: all of a template's must agree on where it starts.
+    # One posting of the rare words gives a candidate place.
     some = files.select("__row", F.explode(F.filter("hits", lambda h: h["word"].isin(sought))).alias("h"))
     rare = postings.filter("rare").select("template", "tpos", F.col("word").alias("__word"))
-    lead = some.join(rare, F.col("h.word") == F.col("__word")).groupBy("__row", "template", start).agg(F.count(F.lit(1)).alias("__n"))
-    needed = postings.filter("rare").groupBy("template").agg(F.count(F.lit(1)).alias("__rare"))
-    lead = lead.join(needed, "template").filter("__n = __rare").select("__row", "template", "start")
+    lead = some.join(rare, F.col("h.word") == F.col("__word")).select("__row", "template", start).distinct()
     # At those places the rest of the words is verified, the mandatory ones without exception.
     held = files.join(lead.select("__row").distinct(), "__row").select("__row", F.explode("hits").alias("h"))
     terms = postings.withColumnRenamed("word", "__word")
@@ -133,7 +136,7 @@ def scan_licences(
     """
     index = template_index(phrases, templates)
     files = staged(licence_words(documents, sorted({t[3] for t in index})), "licence_words")
-    places = licence_places(files.filter(F.size("hits") > 0), weighted_index(files, index), least)
+    places = licence_places(files.filter(F.size("hits") > 0), weighted_index(files, index, least), least)
     base = F.col("kind") == "phrase"
     found = places.groupBy("__row").agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"),

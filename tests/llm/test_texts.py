@@ -160,6 +160,13 @@ def test_licences(spark):
     assert licenses.scan_licences(frame(spark, [])).count() == 0
 
 
+def test_licences_without_the_rarest_word(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation files"
+    rows = [(i, t, "s", "en", 1, 1, None, 1) for i, t in enumerate([notice, "a file", notice.replace("is hereby", "hereby")])]
+    got = {r.doc_id: r for r in licenses.scan_licences(frame(prepared(spark), rows)).collect()}
+    assert got[0].labels == "mit" and 0.75 <= got[0].score < 1 and got[1].labels == got[2].labels == ""
+
+
 def test_top_products(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = (rng.normal(size=(700, 12)) * rng.exponential(size=(700, 1))).astype(np.float32)
