@@ -126,3 +126,10 @@ def test_master_file_to_contacts(spark, tmp_path):
     assert [r.state for r in master.orderBy("frame").collect()] == ["PT", "F"]
     got = sorted(map(tuple, tables.contacts_from_master(master).collect()))
     assert got == [(3, 9, "anion", 2, 1), (3, 9, "anion", 2, 2), (3, 9, "anion", 5, 1), (3, 9, "polymer", 7, 4), (3, 9, "polymer", 7, 5)]
+
+
+def test_tilted_box(spark):
+    text = "0\nITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS xy xz yz pp pp pp\n0 13 3\n0 10 0\n0 10 0\nITEM: ATOMS id type xs ys zs\n1 1 0.5 0.5 0.5\n"
+    r = dump.parse_dump(spark.createDataFrame([(text,)], "value string")).first()
+    assert (r.x, r.y, r.z, r.box_a, r.box_c, r.alpha, r.beta) == (6.5, 5.0, 5.0, 10.0, 10.0, 90.0, 90.0)
+    assert abs(r.box_b - 109**0.5) < 1e-12 and abs(r.gamma - 73.30075576600639) < 1e-9
