@@ -41,7 +41,8 @@ def _dump_text(s, d):
 register(
     "ingest_trajectory", lambda s, d: dp.parse_dump(_dump_text(s, d)),
     """SELECT row_number() OVER (ORDER BY event_id) - 1 AS frame, event_id * 10 AS step, user_id AS atom_id, 4 AS type, CASE WHEN event_id % 3 = 1 THEN 5 ELSE value END AS x, CASE WHEN event_id % 3 = 1 THEN -5 + value / 1000 * 20 ELSE 1.5 END AS y,
- CASE WHEN event_id % 3 = 1 THEN 10 ELSE -value END AS z, CAST(10 AS DOUBLE) AS box_a, CAST(20 AS DOUBLE) AS box_b, CAST(40 AS DOUBLE) AS box_c, CASE WHEN event_id % 3 = 2 THEN 'unwrapped' ELSE 'wrapped' END AS mode FROM events""",
+ CASE WHEN event_id % 3 = 1 THEN 10 ELSE -value END AS z, CAST(10 AS DOUBLE) AS box_a, CAST(20 AS DOUBLE) AS box_b, CAST(40 AS DOUBLE) AS box_c, CASE WHEN event_id % 3 = 2 THEN 'unwrapped' ELSE 'wrapped' END AS mode,
+ CAST(90 AS DOUBLE) AS alpha, CAST(90 AS DOUBLE) AS beta, CAST(90 AS DOUBLE) AS gamma FROM events""",
     (), ["x", "y", "z"],
 )
 
