@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import fingerprints, licenses, mixing, neardup, packing, sharding, token_files, topk, toxicity, warc
+from ionweave.llm import clusters, fingerprints, languages, licenses, mixing, neardup, packing, sharding, spelling, token_files, topk, toxicity, warc
 from ionweave.llm.common import prepared
 from ionweave.llm.tokens import vocabulary
 from ionweave.session import scratch
@@ -80,6 +80,21 @@ def op10_scan_licences(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("templates", F.array_join("templates", ","))
 
 
+@_query
+def op11_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.clusters_with_inertia(_table(spark, sf, "embeddings"))
+
+
+@_query
+def op12_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.identify_languages(_table(spark, sf, "documents"))
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf, "documents"))
+
+
 # The order key: 60 bits of the MD5 of "<seed>:<doc_id>", or of the text's MD5 where the id is null.
 _KEY = "CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 15)) AS BIGINT)"
 _GROUP = "coalesce('=' || source, '')"
@@ -102,3 +117,27 @@ b AS (SELECT c.g, CASE WHEN (room - upto + size) * 2 >= size THEN c.k + 1 ELSE c
 SELECT doc_id, source, size, source_size, target,
  CAST(size * (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END + CASE WHEN k < coalesce(bound, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN t ON t.g = d.g LEFT JOIN b ON b.g = d.g"""
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds one after another: assignment, then floors of the means."""
+    squares = "list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))"
+    text = f"""WITH p AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+ FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v FROM
+ (SELECT v, sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM p ORDER BY h, v LIMIT {k}))"""
+    for i in range(rounds + 1):
+        text += f""",
+a{i} AS MATERIALIZED (SELECT r, vec_id, p.v, unnest(m) FROM (SELECT r, vec_id, v, min({{'distance': d, 'c': c}}) AS m FROM
+ (SELECT r, vec_id, p.v, c.c, CAST({squares} AS BIGINT) AS d FROM p, c{i} c) p GROUP BY ALL) p)"""
+        if i < rounds:
+            text += f""",
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN
+ (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM
+ (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY c, i) GROUP BY c) m ON m.c = c{i}.c)"""
+    return text + f"""
+SELECT vec_id, a.c AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
+
+
+ORACLES["op11_centroid_clusters"] = _cluster_sql()
