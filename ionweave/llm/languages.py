@@ -85,7 +85,7 @@ def pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]
         if i == len(texts) or size + len(texts[i]) > PIECE:
             if i > at:
                 part = texts[at:i]
-                yield at, values("\n".join(part) + "\n"), np.repeat(np.arange(len(part)), [len(t) + 1 for t in part]), 0
+                yield at, values("\n" + "\n".join(part) + "\n"), np.repeat(np.arange(len(part)), [len(t) + 1 + (k == 0) for k, t in enumerate(part)]), 0
             at, size = i, 0
         if i < len(texts) and len(texts[i]) > PIECE:
             for lo in range(0, len(texts[i]), PIECE):
