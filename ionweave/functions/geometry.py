@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -108,6 +109,35 @@ def minimum_image_triclinic(
     return Vector(*(F.when(square, p).otherwise(w) for p, w in zip(plain, wrapped)))
 
 
+#: Three edge lengths and three angles in degrees.
+BOX_COLUMNS = ("box_a", "box_b", "box_c", "alpha", "beta", "gamma")
+
+
+def box_cell(box: Sequence[str | Column]) -> Cell:
+    """Cell of one cubic length, three lengths, or three lengths and three angles; a missing number is an error, not a cube."""
+
+    def known(c: str | Column) -> Column:
+        return F.coalesce(F.col(c) if isinstance(c, str) else c, F.raise_error(F.lit("box number missing")).cast("double"))
+
+    if len(box) not in (1, 3, 6):
+        raise ValueError("a box has one, three or six numbers")
+    cols = [known(c) for c in box]
+    a, b, c = cols[:3] if len(cols) > 1 else cols * 3
+    none = F.lit(0.0)
+    if len(cols) < 6:
+        return Cell(a, none, b, none, none, c)
+    square = is_orthorhombic(*cols[3:])
+    right, slanted = Cell(a, none, b, none, none, c), cell_matrix(*cols)
+    return Cell(*(F.when(square, r).otherwise(s) for r, s in zip(right, slanted)))
+
+
+def heights(cell: Cell) -> Vector:
+    """Distances between opposite faces."""
+    ax, bx, by, cx, cy, cz = cell
+    across_a = F.sqrt((by * cz) ** 2 + (bx * cz) ** 2 + (bx * cy - by * cx) ** 2)
+    return Vector(ax * by * cz / across_a, by * cz / F.sqrt(cy * cy + cz * cz), cz)
+
+
 def mean_cell(box: tuple[Column, ...], previous: tuple[Column, ...]) -> tuple[Column, ...]:
     """Average of two boxes, component by component."""
     return tuple((p + q) / 2.0 for p, q in zip(box, previous))

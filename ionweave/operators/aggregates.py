@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.functions.geometry import vector
+from ionweave.functions.geometry import Vector, box_cell, cartesian, fractional, image_shift, vector
 from ionweave.functions.states import center_count_class, lifetime_class, safe_ratio, size_class
 from ionweave.operators.blocks import with_share
 from ionweave.operators.comotion import _cosine, _moves, body_pairs, ratio_curves
@@ -120,22 +120,40 @@ def bridge_curves(lag_table: DataFrame, min_events: int = 20, min_origins: int =
 # --- aggregate geometry ---------------------------------------------------------------------
 
 
-def aggregate_nodes(edges: DataFrame, labels: DataFrame, center_mass: float, anion_mass: float) -> DataFrame:
+def image_gains(pairs: DataFrame, box: Sequence[str] = ("box",)) -> DataFrame:
+    """``pairs`` with the boxes ``gx, gy, gz`` that the nearest-image step from center to anion crosses along the edges of the box."""
+    d = vector("ax", "ay", "az").minus(vector("cx", "cy", "cz"))
+    if len(box) == 1:
+        turns = [image_shift(c, F.col(box[0])) for c in d]
+    else:
+        turns = [F.rint(f) for f in fractional(d, box_cell(box))]
+    return pairs.withColumns({g: (-t).cast("long") for g, t in zip(GAINS, turns)})
+
+
+def _boxes(counts: Sequence[str], box: Sequence[str]) -> Vector:
+    """Displacement by whole boxes along the edges."""
+    if len(box) == 1:
+        return Vector(*(F.col(box[0]) * F.col(c) for c in counts))
+    return cartesian(Vector(*(F.col(c).cast("double") for c in counts)), box_cell(box))
+
+
+def aggregate_nodes(edges: DataFrame, labels: DataFrame, center_mass: float, anion_mass: float, box: Sequence[str] = ("box",)) -> DataFrame:
     """Every bound node placed next to its component's smallest center.
 
     Placement is the wrapped position plus whole boxes; the box counts come with the component
     labels, so no component is ever walked inside one task.  ``edges``: unique frame,
-    center_id, anion_id, gains, cx..az, box.
+    center_id, anion_id, gains, cx..az, ``box`` (one, three or six numbers).
     """
     offs = [f"o_{g}" for g in GAINS]
+    place = _boxes(offs, box)
 
     def side(kind: str, key: str, prefix: str, where: DataFrame, mass: float) -> DataFrame:
         at = edges.groupBy("frame", key).agg(
-            *[F.min(f"{prefix}{a}").alias(a) for a in "xyz"], F.min("box").alias("box")
+            *[F.min(f"{prefix}{a}").alias(a) for a in "xyz"], *[F.min(b).alias(b) for b in box]
         )
         return at.join(where, ["frame", key]).select(
             "frame", "root", F.lit(kind).alias("kind"), F.col(key).alias("node_id"), F.lit(float(mass)).alias("mass"),
-            *[(F.col(a) + F.col("box") * F.col(o)).alias(a) for a, o in zip("xyz", offs)], "box",
+            *[(F.col(a) + t).alias(a) for a, t in zip("xyz", place)], *box,
         )
 
     anions = label_anions(edges, labels, GAINS)
@@ -180,35 +198,66 @@ def windings(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def component_geometry(edges: DataFrame, labels: DataFrame, nodes: DataFrame, center_charge: int) -> DataFrame:
-    """One row per bound component: counts, charge, center of mass, radius, percolation.
+def closure_residuals(edges: DataFrame, labels: DataFrame, box: Sequence[str] = ("box",)) -> DataFrame:
+    """(frame, root, closure_residual): the farthest that a nearest-image step from a placed center ends from an image of its placed anion.
 
-    Center of mass and radius of a percolating component depend on where it is cut open, so
-    they are NULL there.  ``shape_a``/``shape_b`` fingerprint the exact membership.
+    Steps are real-valued and placements whole boxes, so anything but rounding is a fault of the boxes or the labels.
+    """
+    anions = label_anions(edges, labels, GAINS).select("frame", "anion_id", *[F.col(f"o_{g}").alias(f"t_{g}") for g in GAINS])
+    rows = edges.join(labels, ["frame", "center_id"]).join(anions, ["frame", "anion_id"])
+    rows = rows.withColumns({f"w_{g}": F.col(f"o_{g}") + F.col(g) - F.col(f"t_{g}") for g in GAINS})
+    c, a = vector("cx", "cy", "cz"), vector("ax", "ay", "az")
+    start, end = c.plus(_boxes([f"o_{g}" for g in GAINS], box)), a.plus(_boxes([f"t_{g}" for g in GAINS], box))
+    step = a.minus(c).plus(_boxes(GAINS, box))
+    left = start.plus(step).minus(end).minus(_boxes([f"w_{g}" for g in GAINS], box))
+    return rows.groupBy("frame", "root").agg(F.max(left.norm()).alias("closure_residual"))
+
+
+def component_geometry(edges: DataFrame, labels: DataFrame, nodes: DataFrame, center_charge: int, box: Sequence[str] = ("box",)) -> DataFrame:
+    """One row per bound component: counts, charge, center of mass, radius, percolation, closure residual.
+
+    A percolating component has no placement of its own. Its center of mass and radius are given for one
+    stated cut: every node at its nearest image to the smallest center.  ``shape_a``/``shape_b``
+    fingerprint the exact membership.
     """
     m = F.col("mass")
     member = [F.col("kind"), F.col("node_id")]
-    base = nodes.groupBy("frame", "root").agg(
+    start = nodes.filter((F.col("kind") == "center") & (F.col("node_id") == F.col("root"))).select(
+        "frame", "root", *[F.col(a).alias(f"__s{a}") for a in "xyz"]
+    )
+    d = vector("x", "y", "z").minus(vector("__sx", "__sy", "__sz"))
+    turns = [image_shift(c, F.col(box[0])) for c in d] if len(box) == 1 else [F.rint(f) for f in fractional(d, box_cell(box))]
+    rows = nodes.join(start, ["frame", "root"]).withColumns({f"__t{a}": t for a, t in zip("xyz", turns)})
+    near = d.minus(_boxes(["__tx", "__ty", "__tz"], box))
+
+    def moments(at: Vector, name: str) -> list[Column]:
+        means = [(F.sum(m * c) / F.sum(m)).alias(f"__{name}{a}") for a, c in zip("xyz", at)]
+        return [*means, (F.sum(m * at.norm2()) / F.sum(m)).alias(f"__{name}2")]
+
+    base = rows.groupBy("frame", "root").agg(
         F.count(F.when(F.col("kind") == "center", 1)).alias("n_centers"),
         F.count(F.when(F.col("kind") == "anion", 1)).alias("n_anions"),
-        F.sum(m).alias("__m"),
-        *[(F.sum(m * F.col(a)) / F.sum(m)).alias(f"com_{a}") for a in "xyz"],
-        F.sum(m * (F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("__mr2"),
-        F.min("box").alias("box"),
+        *[F.min(f"__s{a}").alias(f"__s{a}") for a in "xyz"],
+        *moments(d, "whole"), *moments(near, "near"),
+        *[F.min(b).alias(b) for b in box],
         F.bit_xor(F.xxhash64(*member)).alias("shape_a"),
         F.bit_xor(F.xxhash64(*reversed(member), F.lit("second"))).alias("shape_b"),
     )
     out = base.join(windings(edges, labels), ["frame", "root"], "left").fillna({"winding_rank": 0, "winding_axes": "none"})
-    com2 = sum((F.col(f"com_{a}") ** 2 for a in "xyz"), F.lit(0.0))
-    rg = F.sqrt(F.greatest(F.col("__mr2") / F.col("__m") - com2, F.lit(0.0)))
+    out = out.join(closure_residuals(edges, labels, box), ["frame", "root"])
     whole = F.col("winding_rank") == 0
+
+    def chosen(part: str) -> Column:
+        return F.when(whole, F.col(f"__whole{part}")).otherwise(F.col(f"__near{part}"))
+
+    rg = F.sqrt(F.greatest(chosen("2") - sum((chosen(a) ** 2 for a in "xyz"), F.lit(0.0)), F.lit(0.0)))
     n = F.col("n_centers") + F.col("n_anions")
     return out.select(
         "frame", "root", "n_centers", "n_anions", n.alias("n_nodes"),
         (center_charge * F.col("n_centers") - F.col("n_anions")).alias("charge"),
-        *[F.when(whole, F.col(f"com_{a}")).alias(f"com_{a}") for a in "xyz"],
-        F.when(whole, rg).alias("rg"), "box", "shape_a", "shape_b",
-        (~whole).cast("int").alias("is_percolating"), "winding_rank", "winding_axes",
+        *[(F.col(f"__s{a}") + chosen(a)).alias(f"com_{a}") for a in "xyz"],
+        rg.alias("rg"), *box, "shape_a", "shape_b",
+        (~whole).cast("int").alias("is_percolating"), "winding_rank", "winding_axes", "closure_residual",
     )
 
 

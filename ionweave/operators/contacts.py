@@ -7,10 +7,12 @@ as rows, not as arrays, so a hot ligand or component never has to fit in one tas
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.functions.geometry import Vector, minimum_image, vector
+from ionweave.functions.geometry import BOX_COLUMNS, Cell, Vector, box_cell, cartesian, fractional, heights, minimum_image, vector
 from ionweave.functions.states import coordination_state
 from ionweave.operators.ordered import accumulate, ordinals
 
@@ -64,6 +66,65 @@ def contact_join(
     )
 
 
+def _placed(rows: DataFrame, kept: Sequence[str], cutoff: float, box: Sequence[str]) -> DataFrame:
+    """``kept`` with the wrapped position ``w``, and the cell index ``c``, cell count ``n`` and reach ``m`` along the three edges."""
+    cell = box_cell(box)
+    wide = cutoff * (1 + 1e-9)
+    f = fractional(vector("x", "y", "z"), cell)
+    inside = Vector(*(v - F.floor(v) for v in f))
+    high = heights(cell)
+    counts = [F.greatest(F.floor(h / wide), F.lit(1)).cast("long") for h in high]
+    reach = [F.ceil(F.lit(wide) * n / h).cast("long") for n, h in zip(counts, high)]
+    index = [F.least(F.floor(v * n).cast("long"), n - 1) for v, n in zip(inside, counts)]
+    triple = lambda cols, name: F.struct(*[c.alias(a) for c, a in zip(cols, "xyz")]).alias(name)
+    matrix = F.struct(*[c.alias(n) for c, n in zip(cell, Cell._fields)]).alias("__cell")
+    return rows.select(*kept, triple(cartesian(inside, cell), "__w"), triple(index, "__c"), triple(counts, "__n"), triple(reach, "__m"), matrix)
+
+
+def contact_join_cell(centers: DataFrame, sites: DataFrame, cutoff: float, box: Sequence[str] = BOX_COLUMNS) -> DataFrame:
+    """All (center, site) pairs of a frame within ``cutoff``, with the distance of the nearest image, in a box of any shape.
+
+    Cells are cut in fractional coordinates, at least ``cutoff`` wide between the faces of the box. A
+    center is copied to the cells around its own, each with the number of boxes crossed to get
+    there, and joined on (frame, cell). In a box with fewer than three cells along an edge several images
+    of a site may be near: the nearest is kept, which each row decides for itself. ``box`` names one
+    length, three lengths, or three lengths and three angles, which both tables have; a missing number
+    is an error. Expects ``frame, center_id, x, y, z`` and ``frame, site_id, x, y, z``.
+    """
+    around = [F.sequence(F.col(f"__c.{a}") - F.col(f"__m.{a}"), F.col(f"__c.{a}") + F.col(f"__m.{a}")) for a in "xyz"]
+    c = _placed(centers, ["frame", "center_id"], cutoff, box).withColumnRenamed("__w", "__o")
+    for a, places in zip("xyz", around):
+        c = c.withColumn(f"__u{a}", F.explode(places))
+    home = {a: F.pmod(F.col(f"__u{a}"), F.col(f"__n.{a}")) for a in "xyz"}
+    image = [((F.col(f"__u{a}") - home[a]) / F.col(f"__n.{a}")).cast("long").alias(f"__k{a}") for a in "xyz"]
+    c = c.select("frame", "center_id", "__o", "__n", "__m", "__cell", *[home[a].alias(f"__c{a}") for a in "xyz"], *image)
+    kept = [v for v in sites.columns if v not in ("x", "y", "z", *box)]
+    s = _placed(sites, kept, cutoff, box).select(*kept, "__w", *[F.col(f"__c.{a}").alias(f"__c{a}") for a in "xyz"])
+    cell = Cell(*(F.col(f"__cell.{n}") for n in Cell._fields))
+
+    def apart(k: Sequence[Column]) -> Column:
+        shift = cartesian(Vector(*(v.cast("double") for v in k)), cell)
+        return Vector(*(F.col(f"__w.{a}") + t - F.col(f"__o.{a}") for a, t in zip("xyz", shift))).norm2()
+
+    def reached(a: str) -> Column:
+        far = F.when(F.col(f"__n.{a}") == 1, F.col(f"__m.{a}")).otherwise(F.lit(1).cast("long"))
+        return F.sequence(-far, far)
+
+    def way(*k: Column) -> Column:
+        return F.struct(apart(k).alias("d2"), *[v.alias(a) for v, a in zip(k, "xyz")])
+
+    own = [F.col(f"__k{a}") for a in "xyz"]
+    images = F.flatten(F.transform(reached("x"), lambda x: F.flatten(F.transform(reached("y"), lambda y: F.transform(reached("z"), lambda z: way(x, y, z))))))
+    small = (F.col("__n.x") < 3) | (F.col("__n.y") < 3) | (F.col("__n.z") < 3)
+    return (
+        c.join(s, ["frame", "__cx", "__cy", "__cz"])
+        .withColumn("distance", F.sqrt(apart(own)))
+        .filter(F.col("distance") <= cutoff)
+        .filter(F.when(small, way(*own) == F.array_min(images)).otherwise(True))
+        .select("center_id", *kept, "distance")
+    )
+
+
 def ligand_contacts(contacts: DataFrame) -> DataFrame:
     """Contacts collapsed to (frame, center, kind, ligand) with denticity and distances."""
     return contacts.groupBy("frame", "center_id", "ligand_kind", "ligand_id").agg(

@@ -82,10 +82,10 @@ def remove_drift(df: DataFrame, mass: Column, xyz: tuple[str, str, str] = ("ux",
 
 
 def segment_center(
-    sites: DataFrame, chain_keys: Sequence[str], site: str, half_width: int, box: str = "box", chunk: int = CHUNK
+    sites: DataFrame, chain_keys: Sequence[str], site: str, half_width: int, box: str | Sequence[str] = "box", chunk: int = CHUNK
 ) -> DataFrame:
-    """Mean of the sites within ``half_width`` along a chain, after unwrapping along the chain."""
-    walk = unwrap(sites, chain_keys, site, box=(box,), chunk=chunk)
+    """Mean of the sites within ``half_width`` along a chain, after unwrapping along the chain in a box of one, three or six numbers."""
+    walk = unwrap(sites, chain_keys, site, box=(box,) if isinstance(box, str) else tuple(box), chunk=chunk)
     offsets = {f"__n{o + half_width}": o for o in range(-half_width, half_width + 1)}
     near = neighbours(walk, chain_keys, site, offsets, ["ux", "uy", "uz"], chunk)
 

@@ -47,6 +47,27 @@ register(
 )
 
 
+def _tilted_text(s, d):
+    """One frame of one scaled atom per event, in a tilted box given by the bounds of its extent."""
+    e = v.table(s, d, "events")
+    num = lambda c: c.cast("string")
+    return e.select(
+        F.concat(
+            num(F.col("event_id") * 10), F.lit("\nITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS xy xz yz pp pp pp\n-1.0 12.0 2.0\n-5.0 18.0 -1.0\n0.0 40.0 3.0\nITEM: ATOMS "),
+            F.lit("id type xs ys zs\n"), num(F.col("user_id")), F.lit(" 4 0.5 "), num(F.col("value") / 1000), F.lit(" 0.25\n"),
+        ).alias("value")
+    )
+
+
+register(
+    "ingest_trajectory_tilted", lambda s, d: dp.parse_dump(_tilted_text(s, d)),
+    """SELECT row_number() OVER (ORDER BY event_id) - 1 AS frame, event_id * 10 AS step, user_id AS atom_id, 4 AS type, 4.75 + value / 1000 * 2 AS x, -4.25 + value / 1000 * 20 AS y, CAST(10 AS DOUBLE) AS z,
+ CAST(10 AS DOUBLE) AS box_a, sqrt(CAST(404 AS DOUBLE)) AS box_b, sqrt(CAST(1610 AS DOUBLE)) AS box_c, 'wrapped' AS mode,
+ degrees(acos(58 / (sqrt(CAST(404 AS DOUBLE)) * sqrt(CAST(1610 AS DOUBLE))))) AS alpha, degrees(acos(-1 / sqrt(CAST(1610 AS DOUBLE)))) AS beta, degrees(acos(2 / sqrt(CAST(404 AS DOUBLE)))) AS gamma FROM events""",
+    (), ["x", "y", "z", "box_b", "box_c", "alpha", "beta", "gamma"],
+)
+
+
 def _written(s, d):
     """States written as gzip CSV and read back typed."""
     out = scratch(s, "csv")

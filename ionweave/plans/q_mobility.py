@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ionweave.functions import lags as lg
-from ionweave.functions.geometry import Vector, minimum_image, minimum_image_triclinic, vector
+from ionweave.functions.geometry import BOX_COLUMNS, Vector, minimum_image, minimum_image_triclinic, vector
 from ionweave.operators import contacts as ct
 from ionweave.operators import mobility as mo
 from ionweave.plans import views as v
+from ionweave.plans.boxes import boxes_sql, cell_numbers, fraction_sql
 from ionweave.plans.registry import define, register
 
 LAGS = [1, 2, 5, 10]
@@ -69,6 +70,29 @@ register(
 )
 
 
+def _slanted_contacts(s, d):
+    p = v.slanted(v.sites(s, d))
+    centers = p.filter("role = 'center'").select("frame", F.col("site_id").alias("center_id"), "x", "y", "z", *BOX_COLUMNS)
+    return ct.contact_join_cell(centers, p.filter("role <> 'center'"), REACH)
+
+
+# A cutoff over half of a height: a site may be near in several images, of which the nearest counts.
+REACH = 9.0
+_CELL = cell_numbers(*v.SLANTED)
+_IMAGE = boxes_sql("i", "j", "k", _CELL)
+register(
+    "contact_join_triclinic", _slanted_contacts,
+    f"""SELECT center_id, frame, site_id, role, ligand_id, min(distance) AS distance FROM (SELECT c.site_id AS center_id, s.frame, s.site_id, s.role, s.ligand_id,
+ sqrt((s.x - c.x - dx + tx) ** 2 + (s.y - c.y - dy + ty) ** 2 + (s.z - c.z - dz + tz) ** 2) AS distance FROM
+ (SELECT *, {", ".join(f"{b} AS d{a}" for a, b in zip("xyz", boxes_sql("floor(sx) - floor(cx)", "floor(sy) - floor(cy)", "floor(sz) - floor(cz)", _CELL)))} FROM
+ (SELECT c, s, {", ".join(f"{f} AS c{a}" for a, f in zip("xyz", fraction_sql("c.x", "c.y", "c.z", _CELL)))}, {", ".join(f"{f} AS s{a}" for a, f in zip("xyz", fraction_sql("s.x", "s.y", "s.z", _CELL)))}
+ FROM sites c JOIN sites s ON c.frame = s.frame AND c.role = 'center' AND s.role <> 'center'))
+ CROSS JOIN (SELECT {", ".join(f"{b} AS t{a}" for a, b in zip("xyz", _IMAGE))} FROM (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j), (SELECT unnest(range(-2, 3)) AS k)))
+ WHERE distance <= {REACH} GROUP BY 1, 2, 3, 4, 5""",
+    ["sites"], ["distance"],
+)
+
+
 def unwrapped(s, d, rule="current"):
     return v.shared(s, d, f"unwrapped_{rule}", lambda: mo.unwrap(v.track(s, d), ["entity_id"], rule=rule))
 
@@ -105,6 +129,23 @@ register(
 )
 
 
+def _slanted_segments(s, d):
+    rows = v.slanted(v.track(s, d).withColumn("f", F.lit(0)))
+    return mo.segment_center(rows, ["f", "entity_id"], "frame", 2, BOX_COLUMNS).drop("f")
+
+
+register(
+    "segment_center_triclinic", _slanted_segments,
+    f"""SELECT entity_id, frame, avg(ux) OVER w AS sx, avg(uy) OVER w AS sy, avg(uz) OVER w AS sz FROM
+ (SELECT entity_id, frame, {", ".join(f"sum(s{a}) OVER (PARTITION BY entity_id ORDER BY frame) AS u{a}" for a in "xyz")} FROM
+ (SELECT entity_id, frame, {", ".join(f"coalesce(d{a} - {b}, {a}) AS s{a}" for a, b in zip("xyz", boxes_sql("round_even(fx, 0)", "round_even(fy, 0)", "round_even(fz, 0)", _CELL)))} FROM
+ (SELECT *, {", ".join(f"{f} AS f{a}" for a, f in zip("xyz", fraction_sql("dx", "dy", "dz", _CELL)))} FROM
+ (SELECT entity_id, frame, x, y, z, {", ".join(f"{a} - lag({a}) OVER (PARTITION BY entity_id ORDER BY frame) AS d{a}" for a in "xyz")} FROM track))))
+ WINDOW w AS (PARTITION BY entity_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
+    ["track"], ["sx", "sy", "sz"],
+)
+
+
 def _rg(s, d):
     atoms = v.sites(s, d).withColumns({"mass": F.when(F.col("role") == "center", 65.38).otherwise(15.999)})
     return mo.radius_of_gyration(atoms, "ligand_id")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ionweave.functions.geometry import BOX_COLUMNS
 from ionweave.operators import aggregates as ag
 from ionweave.plans import views as v
+from ionweave.plans.boxes import boxes_sql, cell_numbers, fraction_sql
 from ionweave.plans.q_comotion import LAGS, MA, MC, dot_sql, moves_sql, scoped_sql, walk_sql
 from ionweave.plans.q_dynamics import bounds
 from ionweave.plans.registry import define, register
@@ -26,45 +28,66 @@ def geometry(s, d):
 
 
 # Placement in SQL: walk images from every root; |image| stays small in these tables.
-define(
-    "gedge",
-    "SELECT frame, center_id * 2 AS a, anion_id * 2 + 1 AS b, "
-    + ", ".join(f"-CAST(round_even((a{c} - c{c}) / box, 0) AS BIGINT) AS g{c}" for c in "xyz") + " FROM pairs", "pairs",
-)
-define("gends", "SELECT frame, a, b, gx, gy, gz FROM gedge UNION ALL SELECT frame, b AS a, a AS b, -gx, -gy, -gz FROM gedge", "gedge")
-define(
-    "placed",
-    """SELECT frame, root * 2 AS node, root, CAST(0 AS BIGINT) AS ox, CAST(0 AS BIGINT) AS oy, CAST(0 AS BIGINT) AS oz FROM (SELECT DISTINCT frame, root FROM bound_nodes)
- UNION SELECT e.frame, e.b, p.root, ox + gx, oy + gy, oz + gz FROM placed p JOIN gends e ON e.frame = p.frame AND e.a = p.node WHERE abs(ox + gx) <= 3 AND abs(oy + gy) <= 3 AND abs(oz + gz) <= 3""",
-    "bound_nodes", "gends",
-)
-define(
-    "turns",
-    """SELECT frame, root, sum(ox * ox) AS xx, sum(oy * oy) AS yy, sum(oz * oz) AS zz, sum(ox * oy) AS xy, sum(ox * oz) AS xz, sum(oy * oz) AS yz FROM placed WHERE node = root * 2 GROUP BY 1, 2""",
-    "placed",
-)
-define(
-    "nodepos",
-    f"""SELECT n.frame, n.root, CASE WHEN node % 2 = 0 THEN 'center' ELSE 'anion' END AS kind, node // 2 AS node_id, CAST(CASE WHEN node % 2 = 0 THEN {MC} ELSE {MA} END AS DOUBLE) AS mass,
- x + 20 * ox AS x, y + 20 * oy AS y, z + 20 * oz AS z, CAST(20 AS DOUBLE) AS box FROM placed n JOIN
- (SELECT DISTINCT frame, center_id * 2 AS node, cx AS x, cy AS y, cz AS z FROM pairs UNION SELECT DISTINCT frame, anion_id * 2 + 1, ax, ay, az FROM pairs) USING (frame, node)""",
-    "placed", "pairs",
-)
-define(
-    "geo",
-    f"""SELECT g.frame, g.root, n_centers, n_anions, n_centers + n_anions AS n_nodes, {Z} * n_centers - n_anions AS charge, CASE WHEN whole THEN comx END AS com_x, CASE WHEN whole THEN comy END AS com_y, CASE WHEN whole THEN comz END AS com_z,
- CASE WHEN whole THEN rg END AS rg, CAST(20 AS DOUBLE) AS box, CAST(NOT whole AS INTEGER) AS is_percolating,
+def _geometry_sql(end: str, box: tuple[float, ...], columns: str) -> None:
+    cell = cell_numbers(*box)
+    steps = fraction_sql("ax - cx", "ay - cy", "az - cz", cell)
+    define(
+        f"gedge{end}",
+        "SELECT frame, center_id * 2 AS a, anion_id * 2 + 1 AS b, "
+        + ", ".join(f"-CAST(round_even({f}, 0) AS BIGINT) AS g{c}" for c, f in zip("xyz", steps)) + " FROM pairs", "pairs",
+    )
+    define(f"gends{end}", f"SELECT frame, a, b, gx, gy, gz FROM gedge{end} UNION ALL SELECT frame, b AS a, a AS b, -gx, -gy, -gz FROM gedge{end}", f"gedge{end}")
+    define(
+        f"placed{end}",
+        f"""SELECT frame, root * 2 AS node, root, CAST(0 AS BIGINT) AS ox, CAST(0 AS BIGINT) AS oy, CAST(0 AS BIGINT) AS oz FROM (SELECT DISTINCT frame, root FROM bound_nodes)
+ UNION SELECT e.frame, e.b, p.root, ox + gx, oy + gy, oz + gz FROM placed{end} p JOIN gends{end} e ON e.frame = p.frame AND e.a = p.node WHERE abs(ox + gx) <= 3 AND abs(oy + gy) <= 3 AND abs(oz + gz) <= 3""",
+        "bound_nodes", f"gends{end}",
+    )
+    define(
+        f"turns{end}",
+        f"""SELECT frame, root, sum(ox * ox) AS xx, sum(oy * oy) AS yy, sum(oz * oz) AS zz, sum(ox * oy) AS xy, sum(ox * oz) AS xz, sum(oy * oz) AS yz FROM placed{end} WHERE node = root * 2 GROUP BY 1, 2""",
+        f"placed{end}",
+    )
+    # A percolating component stands at its nearest images to the smallest center.
+    shift = boxes_sql("ox", "oy", "oz", cell)
+    turn = boxes_sql("round_even(fx, 0)", "round_even(fy, 0)", "round_even(fz, 0)", cell)
+    far = fraction_sql("p.x - r.x", "p.y - r.y", "p.z - r.z", cell)
+    define(
+        f"nodepos{end}",
+        f"""SELECT DISTINCT frame, root, CASE WHEN node % 2 = 0 THEN 'center' ELSE 'anion' END AS kind, node // 2 AS node_id, CAST(CASE WHEN node % 2 = 0 THEN {MC} ELSE {MA} END AS DOUBLE) AS mass,
+ {", ".join(f"CASE WHEN whole THEN {c} + {t} ELSE {c} - {u} END AS {c}" for c, t, u in zip("xyz", shift, turn))} FROM
+ (SELECT n.*, p.x, p.y, p.z, t.xx + t.yy + t.zz = 0 AS whole, {", ".join(f"{f} AS f{c}" for c, f in zip("xyz", far))} FROM placed{end} n JOIN
+ (SELECT DISTINCT frame, center_id * 2 AS node, cx AS x, cy AS y, cz AS z FROM pairs UNION SELECT DISTINCT frame, anion_id * 2 + 1, ax, ay, az FROM pairs) p ON p.frame = n.frame AND p.node = n.node
+ JOIN (SELECT DISTINCT frame, center_id, cx AS x, cy AS y, cz AS z FROM pairs) r ON r.frame = n.frame AND r.center_id = n.root JOIN turns{end} t ON t.frame = n.frame AND t.root = n.root)""",
+        f"placed{end}", f"turns{end}", "pairs",
+    )
+    define(
+        f"geo{end}",
+        f"""SELECT g.frame, g.root, n_centers, n_anions, n_centers + n_anions AS n_nodes, {Z} * n_centers - n_anions AS charge, comx AS com_x, comy AS com_y, comz AS com_z, rg, {columns}, CAST(NOT whole AS INTEGER) AS is_percolating,
  CASE WHEN xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) > 0 THEN 3 WHEN xx * yy - xy * xy + xx * zz - xz * xz + yy * zz - yz * yz > 0 THEN 2 WHEN xx + yy + zz > 0 THEN 1 ELSE 0 END AS winding_rank,
- CASE WHEN whole THEN 'none' ELSE concat(CASE WHEN xx > 0 THEN 'x' ELSE '' END, CASE WHEN yy > 0 THEN 'y' ELSE '' END, CASE WHEN zz > 0 THEN 'z' ELSE '' END) END AS winding_axes, keytext FROM
+ CASE WHEN whole THEN 'none' ELSE concat(CASE WHEN xx > 0 THEN 'x' ELSE '' END, CASE WHEN yy > 0 THEN 'y' ELSE '' END, CASE WHEN zz > 0 THEN 'z' ELSE '' END) END AS winding_axes, CAST(0 AS DOUBLE) AS closure_residual, keytext FROM
  (SELECT frame, root, count(DISTINCT node_id) FILTER (kind = 'center') AS n_centers, count(DISTINCT node_id) FILTER (kind = 'anion') AS n_anions, any_value(cmx) AS comx, any_value(cmy) AS comy, any_value(cmz) AS comz,
  sqrt(sum(mass * ((x - cmx) ** 2 + (y - cmy) ** 2 + (z - cmz) ** 2)) / sum(mass)) AS rg FROM (SELECT *, sum(mass * x) OVER w / sum(mass) OVER w AS cmx, sum(mass * y) OVER w / sum(mass) OVER w AS cmy, sum(mass * z) OVER w / sum(mass) OVER w AS cmz
- FROM nodepos WINDOW w AS (PARTITION BY frame, root)) GROUP BY 1, 2) g JOIN (SELECT *, xx + yy + zz = 0 AS whole FROM turns) t ON t.frame = g.frame AND t.root = g.root
+ FROM nodepos{end} WINDOW w AS (PARTITION BY frame, root)) GROUP BY 1, 2) g JOIN (SELECT *, xx + yy + zz = 0 AS whole FROM turns{end}) t ON t.frame = g.frame AND t.root = g.root
  JOIN (SELECT frame, root, concat('M:', string_agg(CAST(node // 2 AS VARCHAR), ',' ORDER BY node // 2) FILTER (node % 2 = 0), '|T:', string_agg(CAST(node // 2 AS VARCHAR), ',' ORDER BY node // 2) FILTER (node % 2 = 1)) AS keytext FROM bound_nodes GROUP BY 1, 2) k
  ON k.frame = g.frame AND k.root = g.root""",
-    "nodepos", "turns", "bound_nodes",
-)
-_GEO = ["com_x", "com_y", "com_z", "rg", "box"]
+        f"nodepos{end}", f"turns{end}", "bound_nodes",
+    )
+
+
+_geometry_sql("", (20.0, 20.0, 20.0), "CAST(20 AS DOUBLE) AS box")
+_geometry_sql("_slanted", v.SLANTED, ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, x in zip(BOX_COLUMNS, v.SLANTED)))
+_GEO = ["com_x", "com_y", "com_z", "rg", "closure_residual"]
 register("component_geometry", lambda s, d: geometry(s, d).drop("shape_a", "shape_b"), "SELECT * EXCLUDE (keytext) FROM geo", ["geo"], _GEO)
+
+
+def _slanted_geometry(s, d):
+    edges, labels = v.slanted_edges(s, d), v.slanted_labels(s, d)
+    nodes = ag.aggregate_nodes(edges, labels, MC, MA, BOX_COLUMNS)
+    return ag.component_geometry(edges, labels, nodes, Z, BOX_COLUMNS).drop("shape_a", "shape_b")
+
+
+register("component_geometry_triclinic", _slanted_geometry, "SELECT * EXCLUDE (keytext) FROM geo_slanted", ["geo_slanted"], _GEO)
 define(
     "network",
     """SELECT frame, n_pairs, ncc AS n_coordinated_centers, nca AS n_coordinated_anions, nba AS n_bridging_anions, nbe AS n_bridge_edges, n_aggregates, mean_size, largest_size, largest_centers, largest_anions, multi / ncc AS frac_centers_multi,

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.functions.geometry import image_shift
+from ionweave.functions.geometry import BOX_COLUMNS
+from ionweave.operators import aggregates
 from ionweave.operators import components as comp
 from ionweave.operators import contacts as ct
 from ionweave.operators.ordered import ordinals
@@ -198,12 +199,24 @@ GAINS = ("gx", "gy", "gz")
 
 def gain_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Bound pairs as edges with the image gain of the center-to-anion step."""
-    p = pairs(spark, sf)
-    gain = {
-        f"g{v}": (-image_shift(F.col(f"a{v}") - F.col(f"c{v}"), F.col("box"))).cast("long")
-        for v in "xyz"
-    }
-    return p.withColumns(gain)
+    return aggregates.image_gains(pairs(spark, sf))
+
+
+#: The slanted box of the views below: edge lengths and angles.
+SLANTED = (20.0, 22.0, 18.0, 80.0, 95.0, 70.0)
+
+
+def slanted(df: DataFrame) -> DataFrame:
+    """``df`` in a slanted box, the same in every frame."""
+    return df.drop("box").withColumns({n: F.lit(x) for n, x in zip(BOX_COLUMNS, SLANTED)})
+
+
+def slanted_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return aggregates.image_gains(slanted(pairs(spark, sf)), BOX_COLUMNS)
+
+
+def slanted_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return shared(spark, sf, "slanted_labels", lambda: comp.label_centers(slanted_edges(spark, sf), GAINS))
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:

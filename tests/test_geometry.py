@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ionweave.functions.geometry import Vector, minimum_image, minimum_image_triclinic, vector
+from ionweave.functions.geometry import BOX_COLUMNS, Vector, minimum_image, minimum_image_triclinic, vector
 from ionweave.operators import contacts as ct
 from ionweave.operators import mobility as mo
 
@@ -41,9 +41,9 @@ def test_triclinic_matches_numpy(spark):
 
 
 def test_triclinic_with_right_angles_is_orthorhombic(spark):
-    d = Vector(F.lit(9.0), F.lit(-9.0), F.lit(1.0))
-    got = one(spark, minimum_image_triclinic(d, *[F.lit(10.0)] * 3, *[F.lit(90.00005)] * 3))
-    assert list(got) == [-1.0, 1.0, 1.0]
+    d = Vector(F.lit(7.5), F.lit(-3.25), F.lit(13.0))
+    got = one(spark, minimum_image_triclinic(d, F.lit(8.0), F.lit(6.0), F.lit(11.0), *[F.lit(89.99993)] * 3))
+    assert list(got) == [-0.5, 2.75, 2.0]
 
 
 def test_unwrap_step(spark):
@@ -86,6 +86,63 @@ def test_contact_join_matches_all_pairs(spark, box, cutoff):
     assert len(got) == len(want) and {(r.center_id, r.site_id) for r in got} == want
 
 
+def matrix(box):
+    a, b, c = box[:3]
+    al, be, ga = np.radians(box[3:])
+    cx, cy = c * np.cos(be), c * (np.cos(al) - np.cos(be) * np.cos(ga)) / np.sin(ga)
+    return np.array([[a, 0, 0], [b * np.cos(ga), b * np.sin(ga), 0], [cx, cy, np.sqrt(c * c - cx * cx - cy * cy)]])
+
+
+SIX = "box_a double, box_b double, box_c double, alpha double, beta double, gamma double"
+
+
+@pytest.mark.parametrize(
+    "box, cutoff",
+    [
+        ((20.0, 22.0, 18.0, 80.0, 95.0, 70.0), 4.0),  # several cells
+        ((9.0, 11.0, 8.0, 65.0, 110.0, 75.0), 5.5),  # the nearest of several images
+        ((4.0, 30.0, 5.0, 60.0, 90.0, 115.0), 6.0),  # heights under the cutoff
+        ((12.0, 7.0, 9.0, 90.0, 90.0, 90.0), 3.4),
+    ],
+)
+def test_contact_join_in_any_box_matches_all_images(spark, box, cutoff):
+    rng = np.random.default_rng(6)
+    m = matrix(box)
+    c, s = rng.uniform(-1.5, 2.5, (25, 3)) @ m, rng.uniform(-1.5, 2.5, (40, 3)) @ m
+    s[3] = c[4]
+    wrap = lambda x: x - np.floor(x @ np.linalg.inv(m)) @ m
+    shifts = np.array([(i, j, k) for i in range(-5, 6) for j in range(-5, 6) for k in range(-5, 6)]) @ m
+    d = wrap(s)[None, :, None] - wrap(c)[:, None, None] + shifts
+    dist = np.sqrt((d**2).sum(-1)).min(-1)
+    want = {(i, j): dist[i, j] for i, j in zip(*np.where(dist <= cutoff))}
+    cdf = spark.createDataFrame([(0, i, *map(float, r), *box) for i, r in enumerate(c)], f"frame bigint, center_id int, x double, y double, z double, {SIX}")
+    sdf = spark.createDataFrame([(0, i, "s", *map(float, r), *box) for i, r in enumerate(s)], f"frame bigint, site_id int, kind string, x double, y double, z double, {SIX}")
+    got = ct.contact_join_cell(cdf, sdf, cutoff)
+    assert got.columns == ["center_id", "frame", "site_id", "kind", "distance"]
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.center_id, r.site_id) for r in rows} == set(want)
+    assert np.allclose([r.distance for r in rows], [want[r.center_id, r.site_id] for r in rows])
+
+
+def test_missing_angle_is_an_error(spark):
+    rows = spark.createDataFrame([(0, 1, 1.0, 1.0, 1.0, 9.0, 9.0, 9.0, 90.0, None, 90.0)], f"frame bigint, center_id int, x double, y double, z double, {SIX}")
+    with pytest.raises(Exception, match="box number missing"):
+        ct.contact_join_cell(rows, rows.withColumnRenamed("center_id", "site_id"), 3.0).collect()
+
+
+def test_segment_center_in_a_slanted_box(spark):
+    rng = np.random.default_rng(7)
+    box = (9.0, 11.0, 8.0, 65.0, 110.0, 75.0)
+    m = matrix(box)
+    walk = np.cumsum(rng.normal(0, 0.8, (12, 3)), axis=0)
+    wrapped = walk - np.floor(walk @ np.linalg.inv(m)) @ m
+    df = spark.createDataFrame([(0, i, *map(float, r), *box) for i, r in enumerate(wrapped)], f"chain int, site bigint, x double, y double, z double, {SIX}")
+    got = mo.segment_center(df, ["chain"], "site", 1, BOX_COLUMNS).orderBy("site").collect()
+    base = walk - walk[0] + wrapped[0]
+    want = [base[max(0, i - 1) : i + 2].mean(0) for i in range(12)]
+    assert np.allclose([[r.sx, r.sy, r.sz] for r in got], want)
+
+
 def test_radius_of_gyration(spark):
     rows = [(0, 1, 0.0, 0.0, 0.0, 1.0), (0, 1, 2.0, 0.0, 0.0, 1.0)]
     df = spark.createDataFrame(rows, "frame bigint, chain int, x double, y double, z double, mass double")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ionweave.functions.geometry import BOX_COLUMNS
 from ionweave.operators import aggregates as ag
 from ionweave.operators import components as cp
 from ionweave.operators import contacts as ct
@@ -79,7 +80,44 @@ def test_winding_rank_and_axes(spark, axes, rank):
     labels = cp.label_centers(edges, ag.GAINS)
     nodes = ag.aggregate_nodes(edges, labels, 1.0, 1.0)
     g = ag.component_geometry(edges, labels, nodes, 2).collect()
-    assert len(g) == 1 and g[0].is_percolating == 1 and g[0].winding_rank == rank and g[0].winding_axes == axes and g[0].rg is None
+    assert len(g) == 1 and g[0].is_percolating == 1 and g[0].winding_rank == rank and g[0].winding_axes == axes
+    # The stated cut: every node at its nearest image to the smallest center.
+    pos = np.array([points[k] for k in points])
+    pos = pos - 10 * np.rint(pos / 10)
+    assert np.allclose([g[0].com_x, g[0].com_y, g[0].com_z], pos.mean(0)) and g[0].closure_residual == pytest.approx(0, abs=1e-9)
+    assert g[0].rg == pytest.approx(np.sqrt(((pos - pos.mean(0)) ** 2).sum(1).mean()))
+
+
+def test_geometry_in_a_slanted_box(spark):
+    """One cluster over the boundary and one percolating along an edge, against a walk."""
+    box = (9.0, 11.0, 8.0, 65.0, 110.0, 75.0)
+    al, be, ga = np.radians(box[3:])
+    cx, cy = box[2] * np.cos(be), box[2] * (np.cos(al) - np.cos(be) * np.cos(ga)) / np.sin(ga)
+    m = np.array([[box[0], 0, 0], [box[1] * np.cos(ga), box[1] * np.sin(ga), 0], [cx, cy, np.sqrt(box[2] ** 2 - cx * cx - cy * cy)]])
+    inv = np.linalg.inv(m)
+    rng = np.random.default_rng(4)
+    true = {("c", 0): rng.uniform(-1, 1, 3) @ np.eye(3)}
+    for i in range(1, 5):
+        true["a", i] = true["c", i - 1] + rng.uniform(-1.5, 1.5, 3)
+        true["c", i] = true["a", i] + rng.uniform(-1.5, 1.5, 3)
+    pairs = [(i - 1, i) for i in range(1, 5)] + [(i, i) for i in range(1, 5)]
+    ring = {("c", 10): np.zeros(3), ("a", 10): m[1] * 0.25, ("c", 11): m[1] * 0.5, ("a", 11): m[1] * 0.75}
+    pairs += [(10, 10), (11, 10), (11, 11), (10, 11)]
+    spots = {k: p - np.floor(p @ inv) @ m for k, p in {**true, **ring}.items()}
+    names = ", ".join(f"{n} double" for n in BOX_COLUMNS)
+    rows = [(0, c, a, *map(float, spots["c", c]), *map(float, spots["a", a]), *box) for c, a in pairs]
+    df = spark.createDataFrame(rows, f"frame bigint, center_id bigint, anion_id bigint, cx double, cy double, cz double, ax double, ay double, az double, {names}")
+    edges = ag.image_gains(df, BOX_COLUMNS)
+    labels = cp.label_centers(edges, ag.GAINS)
+    geo = ag.component_geometry(edges, labels, ag.aggregate_nodes(edges, labels, 3.0, 1.0, BOX_COLUMNS), 1, BOX_COLUMNS).orderBy("root").collect()
+    assert [(g.root, g.is_percolating, g.winding_rank, g.winding_axes) for g in geo] == [(0, 0, 0, "none"), (10, 1, 1, "y")]
+    nearest = {k: p - np.rint(p @ inv) @ m for k, p in ring.items()}
+    for g, at, start in ((geo[0], true, ("c", 0)), (geo[1], nearest, ("c", 10))):
+        w = np.array([3.0 if k[0] == "c" else 1.0 for k in at])
+        pos = np.array(list(at.values())) - at[start] + spots[start]
+        com = w @ pos / w.sum()
+        assert np.allclose([g.com_x, g.com_y, g.com_z], com) and g.closure_residual < 1e-9 and g.gamma == 75.0
+        assert g.rg == pytest.approx(np.sqrt((w * ((pos - com) ** 2).sum(1)).sum() / w.sum()))
 
 
 def test_geometry_of_a_wrapped_cluster(spark):
