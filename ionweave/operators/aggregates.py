@@ -17,6 +17,7 @@ from ionweave.operators.ordered import accumulate, lag_pairs, ordinals, runs
 from ionweave.session import cut
 
 GAINS = ("gx", "gy", "gz")
+HALF = 1e-9
 
 
 # --- bridges --------------------------------------------------------------------------------
@@ -226,7 +227,9 @@ def component_geometry(edges: DataFrame, labels: DataFrame, nodes: DataFrame, ce
         "frame", "root", *[F.col(a).alias(f"__s{a}") for a in "xyz"]
     )
     d = vector("x", "y", "z").minus(vector("__sx", "__sy", "__sz"))
-    turns = [image_shift(c, F.col(box[0])) for c in d] if len(box) == 1 else [F.rint(f) for f in fractional(d, box_cell(box))]
+    parts = [c / F.col(box[0]) for c in d] if len(box) == 1 else fractional(d, box_cell(box))
+    # Half a box away, and what rounding makes of it, goes to the lower image, wherever the node was placed.
+    turns = [F.floor(f + 0.5 + HALF).cast("double") for f in parts]
     rows = nodes.join(start, ["frame", "root"]).withColumns({f"__t{a}": t for a, t in zip("xyz", turns)})
     near = d.minus(_boxes(["__tx", "__ty", "__tz"], box))
 

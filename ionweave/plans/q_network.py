@@ -50,7 +50,7 @@ def _geometry_sql(end: str, box: tuple[float, ...], columns: str) -> None:
     )
     # A percolating component stands at its nearest images to the smallest center.
     shift = boxes_sql("ox", "oy", "oz", cell)
-    turn = boxes_sql("round_even(fx, 0)", "round_even(fy, 0)", "round_even(fz, 0)", cell)
+    turn = boxes_sql(*[f"floor(f{c} + CAST({0.5 + ag.HALF!r} AS DOUBLE))" for c in "xyz"], cell)
     far = fraction_sql("p.x - r.x", "p.y - r.y", "p.z - r.z", cell)
     define(
         f"nodepos{end}",

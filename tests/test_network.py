@@ -83,7 +83,7 @@ def test_winding_rank_and_axes(spark, axes, rank):
     assert len(g) == 1 and g[0].is_percolating == 1 and g[0].winding_rank == rank and g[0].winding_axes == axes
     # The stated cut: every node at its nearest image to the smallest center.
     pos = np.array([points[k] for k in points])
-    pos = pos - 10 * np.rint(pos / 10)
+    pos = pos - 10 * np.floor(pos / 10 + 0.5)
     assert np.allclose([g[0].com_x, g[0].com_y, g[0].com_z], pos.mean(0)) and g[0].closure_residual == pytest.approx(0, abs=1e-9)
     assert g[0].rg == pytest.approx(np.sqrt(((pos - pos.mean(0)) ** 2).sum(1).mean()))
 
