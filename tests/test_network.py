@@ -111,7 +111,7 @@ def test_geometry_in_a_slanted_box(spark):
     labels = cp.label_centers(edges, ag.GAINS)
     geo = ag.component_geometry(edges, labels, ag.aggregate_nodes(edges, labels, 3.0, 1.0, BOX_COLUMNS), 1, BOX_COLUMNS).orderBy("root").collect()
     assert [(g.root, g.is_percolating, g.winding_rank, g.winding_axes) for g in geo] == [(0, 0, 0, "none"), (10, 1, 1, "y")]
-    nearest = {k: p - np.rint(p @ inv) @ m for k, p in ring.items()}
+    nearest = {k: p - np.floor(p @ inv + 0.5 + ag.HALF) @ m for k, p in ring.items()}
     for g, at, start in ((geo[0], true, ("c", 0)), (geo[1], nearest, ("c", 10))):
         w = np.array([3.0 if k[0] == "c" else 1.0 for k in at])
         pos = np.array(list(at.values())) - at[start] + spots[start]
