@@ -160,6 +160,39 @@ def test_licences(spark):
     assert licenses.scan_licences(frame(spark, [])).count() == 0
 
 
+def test_licence_labels_agree_with_every_place(spark):
+    rng = random.Random(12)
+    notices = [t.replace("[", "").replace("]", "") for t in licenses.TEMPLATES.values()]
+    texts = []
+    for k, notice in enumerate(notices * 3):
+        w = notice.split()
+        for _ in range(k % 4):  # near variants: words lost, changed and added
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], ["word"], [w[i], "the"]])
+        texts.append(words(rng, rng.randint(0, 30)) + ".\n" + " ".join(w).title() + "; " + words(rng, 5))
+    texts += [texts[0], texts[0], (notices[0] + ". ") * 300, " ".join(notices), notices[3].split(" ", 4)[-1]]
+    rows = [(i, t, "s", "en", 1, 1, None, 1) for i, t in enumerate(texts)] + [(0, texts[0], "s", "en", 1, 1, None, 1)]
+    got = licenses.scan_licences(frame(prepared(spark), rows)).collect()
+    index = licenses.template_index()
+    files = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r[1])) for r in rows]
+    idf = {t[3]: np.log((1 + len(files)) / (1 + sum(t[3] in f for f in files))) + 1 for t in index}
+    want = {}
+    for i, f in enumerate(files[: len(texts)]):
+        best, labels = 0.0, set()
+        for name in {t[0] for t in index}:
+            own = [t for t in index if t[0] == name]
+            whole = sum(idf[t[3]] for t in own)
+            for start in {p - t[4] for t in own if t[5] for p in range(len(f)) if f[p] == t[3]}:
+                hit = [t for t in own if 0 <= start + t[4] < len(f) and f[start + t[4]] == t[3]]
+                score = sum(idf[t[3]] for t in hit) / whole
+                if sum(t[5] for t in hit) == sum(t[5] for t in own) and score >= 0.75 - 1e-12:
+                    best, labels = max(best, score), labels | {own[0][1]}
+        want[i] = (",".join(sorted(labels)), best)
+    assert len(got) == len(rows) and {x for r in got for x in r.labels.split(",")} >= set(licenses.TEMPLATES) - {"cc-by-4.0"}
+    for r in got:
+        assert r.labels == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-9, (r, want[r.doc_id])
+
+
 def test_licences_without_the_rarest_word(spark):
     notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation files"
     rows = [(i, t, "s", "en", 1, 1, None, 1) for i, t in enumerate([notice, "a file", notice.replace("is hereby", "hereby")])]
