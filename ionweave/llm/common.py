@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionweave.session import tune
+from ionweave.session import scratch, tune
 
 #: A word is a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,6 +54,24 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
     return local.join(tops, [*keys, "__hi"]).withColumn(out, (F.col("__base") + F.col("__in")).cast("long")).drop("__hi", "__base", "__in")
 
 
+class Stages:
+    """Tables written to the shared scratch folder and deleted together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, self.paths):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with the options of ``tune``, its Python workers able to import this package from the driver's copy."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

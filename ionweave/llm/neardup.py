@@ -8,8 +8,9 @@ and the first class of a part meets the first of the whole. A first pass over tw
 neighbours joins the bulk of large groups; the second, over all trees with several neighbours, leaves
 out pairs that are joined already. The classes of crowded regions that then still hold several components
 are joined without a cap: two sets that reach the threshold share one of the rarest shingles of both, as
-many as the threshold allows to differ and one more. Sketches drop pairs far under the threshold; every
-other pair is compared on its full sets.
+many as the threshold allows to differ and one more. Most of these shingles stand in one component only and
+leave before anything is joined. The join itself drops pairs by size, by the place of the shared shingle
+in both orders, and by sketches far under the threshold; every other pair is compared on its full sets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import SALTS, salted_join
+from ionweave.llm.common import Stages, salted_join
 from ionweave.llm.graph import components
 from ionweave.llm.shingles import U64, minhashes, set_hash, shingle_set, word_hashes
 from ionweave.session import staged
@@ -104,7 +105,7 @@ def _possible(percent: int) -> Column:
     return (F.col("x.root") != F.col("y.root")) & (small * 100 >= large * percent) & (_alike("x.sketch", "y.sketch") >= SKETCH_LEAST)
 
 
-def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int) -> DataFrame:
+def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int, stages: Stages) -> DataFrame:
     """Distinct (a, b), a < b, of classes with different ``root`` that are neighbours in one of the first ``trees`` trees."""
     one = F.lit(1).cast("long")
     keys = classes.select("cid", "sig", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"))
@@ -113,7 +114,7 @@ def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int) ->
     met = keys.join(shared, "key").groupBy("cid").agg(F.collect_list(F.struct("tree", "key", "many")).alias("met"))
     member = F.struct("cid", F.col("n_shingles").alias("n"), "sketch", "root").alias("x")
     rows = classes.join(met, "cid").select(member, "sig", F.explode("met").alias("m")).select("x", "sig", "m.tree", "m.key", "m.many")
-    rows = staged(rows, "regions")
+    rows = stages.table(rows, "regions")
     own = F.col("tree") * DEPTH + 1
     found, depth = [], 1
     while True:
@@ -130,7 +131,7 @@ def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int) ->
         # One hash deeper; where all are used up, classes of one signature are dealt by their number.
         part = F.xxhash64("key", F.slice("sig", own, depth)) if depth <= DEPTH else F.xxhash64("key", F.floor(F.col("x.cid") % 1_000_003 * F.col("many") / (1_000_003.0 * REGION)))
         deep = deep.withColumn("part", part)
-        heads = staged(deep.groupBy("tree", "key", "part").agg(F.count(one).alias("in_part"), F.min("x").alias("first")), "heads")
+        heads = stages.table(deep.groupBy("tree", "key", "part").agg(F.count(one).alias("in_part"), F.min("x").alias("first")), "heads")
         top = heads.groupBy("tree", "key").agg(F.min("first").alias("y"))
         tops = heads.join(top, ["tree", "key"]).select(F.col("first").alias("x"), "y").filter(_possible(percent))
         found.append(tops.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
@@ -139,7 +140,7 @@ def candidates(classes: DataFrame, trees: int, neighbours: int, percent: int) ->
         deep = salted_join(deep, sizes, ["tree", "key", "part"], F.col("x.cid")).select(
             "x", "sig", "tree", F.col("part").alias("key"), (F.least("in_part", F.lit(REGION)) if depth > DEPTH else F.col("in_part")).alias("many")
         )
-        rows = staged(deep, "regions")
+        rows = stages.table(deep, "regions")
     return reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -166,10 +167,10 @@ def _sets(documents: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(sets, "cid long, shingles binary")
 
 
-def crowded(classes: DataFrame) -> DataFrame:
+def crowded(classes: DataFrame, stages: Stages) -> DataFrame:
     """(cid, h1, doc_id, n, root) of the classes in regions of several components with more classes than met each other there."""
     keys = classes.select("cid", "root", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"), "sig").select("cid", "root", _region(1).alias("key"))
-    keys = staged(keys, "crowded_keys")
+    keys = stages.table(keys, "crowded_keys")
     mixed = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = mixed.filter((F.col("many") > NEIGHBOURS + 1) & (F.col("low") < F.col("high"))).select("key")
     cids = salted_join(keys, mixed, "key", F.col("cid")).select("cid").distinct()
@@ -180,58 +181,73 @@ def _places(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> U64(48)).astype(np.int64) % COUNTERS
 
 
-def rare_pairs(documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def rare_pairs(documents: DataFrame, classes: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
     """All (a, b), a < b, of ``crowded`` classes with different ``root`` that sizes, rare shingles and sketches let reach the threshold."""
-    within = staged(crowded(classes), "crowded")
-    sets = staged(_sets(documents, within.select("cid", "doc_id", "h1"), size).join(within.select("cid", "n", "root"), "cid"), "crowded_sets")
+    within = stages.table(crowded(classes, stages), "crowded")
+    needed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(within, "doc_id").select("cid", "h1", "text", "n", "root")
+    # Texts take less room than their sets: these are made twice, to count and to choose.
+    texts = stages.table(needed, "crowded_texts")
+
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        wanted = batch.column(1).to_pylist()
+        for i, words in enumerate(word_hashes([t.encode() for t in batch.column(2).to_pylist()])):
+            own = shingle_set(words, size)
+            # Rows of one doc_id may differ in text.
+            if set_hash(own)[0] == wanted[i]:
+                yield i, own
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                held += np.bincount(_places(np.frombuffer(raw.as_py(), U64)), minlength=COUNTERS)
+            for _, own in sets(batch):
+                held += np.bincount(_places(own), minlength=COUNTERS)
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["place", "n"])
 
-    sums = sets.select("shingles").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(COUNTERS, np.int64)
     often[sums["place"].to_numpy()] = sums["n"].to_numpy()
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, raw, n, root in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                own = np.frombuffer(raw, U64)
+            cids, sizes, roots = (batch.column(k).to_pylist() for k in (0, 3, 4))
+            for i, own in sets(batch):
+                n = sizes[i]
                 # Any one order of all shingles gives the same pairs; the rarest first gives the fewest candidates.
                 own = own[np.lexsort((own, often[_places(own)]))][: n - -(-n * percent // 100) + 1]
                 m = len(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.view(np.int64)), pa.array(np.full(m, cid)), pa.array(np.full(m, n)), pa.array(np.full(m, root))], names=["s", "cid", "n", "root"]
+                    [pa.array(own.view(np.int64)), pa.array(np.full(m, cids[i])), pa.array(np.full(m, n)), pa.array(np.full(m, roots[i])), pa.array(np.arange(m))],
+                    names=["s", "cid", "n", "root", "at"],
                 )
 
-    held = staged(sets.select("cid", "shingles", "n", "root").mapInArrow(rarest, "s long, cid long, n long, root long"), "rare_shingles")
+    held = stages.table(texts.mapInArrow(rarest, "s long, cid long, n long, root long, at long"), "rare_shingles")
     # Of each shingle's components the one with most classes is met by the others only, not by itself.
-    tops = held.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(
+    # Both groupings work on one dealing by shingle.
+    tops = held.select("s", "root").repartition("s").groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(
         F.max_by("root", F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")
     )
-    held = staged(salted_join(held, tops.filter("roots > 1").select("s", "top"), "s", F.col("cid")), "shared_shingles")
-    few = held.filter("root <> top").select("s", F.struct("cid", "n", "root").alias("x"))
-    many = held.select("s", F.struct("cid", "n", "root").alias("y"))
-    # Frequent shingles are dealt by the class of one side, the other side is copied.
-    salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt")
-    met = few.select("s", "x", salts).join(many.withColumn("salt", F.pmod("y.cid", F.lit(SALTS)).cast("long")), ["s", "salt"])
+    tops = stages.table(tops.filter("roots > 1").select("s", "top"), "shared_shingles")
+    # Shared shingles are few: what stays of the rows takes the sketches along, and the join itself uses them.
+    shared = stages.table(held.join(tops, "s").join(classes.select("cid", "sketch"), "cid"), "shared_rows")
+    member = F.struct("cid", "n", "root", "at", "sketch")
+    few = shared.filter("root <> top").select("s", "top", member.alias("x"))
+    many = shared.select(F.col("s").alias("__s"), member.alias("y"))
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    met = met.filter((F.col("x.root") != F.col("y.root")) & (small * 100 >= large * percent))
-    pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    sketches = classes.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"))
-    pairs = pairs.join(sketches, "a").join(sketches.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
-    return pairs.filter(_alike("sa", "sb") >= SKETCH_LEAST).select("a", "b")
+    # At its first common shingle a pair can share that one and what follows in both orders.
+    follows = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    fits = (small * 100 >= large * percent) & (follows * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    # Pairs outside the largest component are met in both orders, of which one is kept.
+    once = (F.col("y.root") == F.col("top")) | (F.col("x.cid") < F.col("y.cid"))
+    met = few.join(many, (F.col("s") == F.col("__s")) & (F.col("x.root") != F.col("y.root")) & once & fits & (_alike("x.sketch", "y.sketch") >= SKETCH_LEAST))
+    return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
     """The (a, b) of ``pairs`` with 100 * intersection >= percent * union on the full sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     needed = ids.join(classes.select("cid", F.col("rep").alias("doc_id"), "h1"), "cid")
-    sets = staged(_sets(documents, needed, size), "sets")
+    sets = stages.table(_sets(documents, needed, size), "sets")
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
 
@@ -268,8 +284,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 75) -> D
     rooted = classes.withColumn("root", F.col("cid"))
     links = None
     for trees, neighbours in ((2, 1), (TREES, NEIGHBOURS), (0, 0)):
-        pairs = candidates(rooted, trees, neighbours, percent) if trees else rare_pairs(documents, rooted, size, percent)
-        more = confirmed(documents, classes, staged(pairs, "pairs"), size, percent)
+        stages = Stages(documents.sparkSession)
+        pairs = candidates(rooted, trees, neighbours, percent, stages) if trees else rare_pairs(documents, rooted, size, percent, stages)
+        more = confirmed(documents, classes, stages.table(pairs, "pairs"), size, percent, stages)
+        stages.drop()
         if links is None or more.limit(1).count():
             # Components so far stand for the links they came from.
             links = more if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
