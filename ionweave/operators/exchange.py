@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ionweave.functions.geometry import vector
 from ionweave.functions.states import safe_ratio
 from ionweave.operators.events import exchange_members
-from ionweave.operators.ordered import lag_pairs
+from ionweave.operators.ordered import lag_pairs, neighbours
 
 SHELLS = ("anion", "chain", "chain_site", "combined")
 RETENTION_LABELS = ("0.0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0")  # fixed values
@@ -38,26 +38,23 @@ def shell_sets(contacts: DataFrame) -> DataFrame:
 def shell_retention(shells: DataFrame, lags: Sequence[int]) -> DataFrame:
     """Set sizes and overlaps between t and t+lag per (shell, center, origin, lag).
 
-    Each member votes as "start" at its own frame and as "end" lag frames earlier; one
-    partitioning by (center, origin) serves both groupings.
+    A member looks ahead along its own frames, once for all lags: its rows are shuffled once, whatever the
+    number of lags, and are summed to one row per (shell, center, frame) with one overlap per lag. Only these
+    rows are turned into origins and ends.
     """
-    votes = []
-    for v in sorted(set(lags)):
-        one, zero = F.lit(1), F.lit(0)
-        for back, s, e in ((0, one, zero), (v, zero, one)):
-            votes.append(
-                F.struct(
-                    F.lit(v).cast("bigint").alias("lag"), (F.col("frame") - back).alias("origin"), s.alias("s"), e.alias("e")
-                )
-            )
+    lags = sorted({int(v) for v in lags})
     member = [c for c in shells.columns if c not in ("shell", "frame", "center_id")]
-    rows = shells.select("shell", "center_id", *member, F.explode(F.array(*votes)).alias("v")).select(
-        "shell", "center_id", *member, "v.lag", "v.origin", "v.s", "v.e"
+    ahead = neighbours(shells, ["shell", "center_id", *member], "frame", {f"__k{v}": v for v in lags}, ["frame"])
+    cells = ahead.groupBy("shell", "center_id", "frame").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.count(f"__k{v}") for v in lags]).alias("kept")
     )
-    key = ["shell", "center_id", "lag", "origin"]
-    flags = rows.repartition("center_id", "origin").groupBy(*key, *member).agg(F.max("s").alias("s"), F.max("e").alias("e"))
-    return flags.groupBy(*key).agg(
-        F.sum("s").alias("n_initial"), F.sum("e").alias("n_final"), F.sum(F.col("s") * F.col("e")).alias("n_retained")
+    none, votes = F.lit(0).cast("bigint"), []
+    for i, v in enumerate(lags):
+        for back, parts in ((0, (F.col("n"), none, F.col("kept")[i])), (v, (none, F.col("n"), none))):
+            votes.append(F.struct(F.lit(v).cast("bigint").alias("lag"), (F.col("frame") - back).alias("origin"), *[p.alias(k) for p, k in zip(parts, "ser")]))
+    rows = cells.select("shell", "center_id", F.explode(F.array(*votes)).alias("v"))
+    return rows.groupBy("shell", "center_id", "v.lag", "v.origin").agg(
+        F.sum("v.s").alias("n_initial"), F.sum("v.e").alias("n_final"), F.sum("v.r").alias("n_retained")
     )
 
 
