@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ionweave.functions import lags as lg
+from ionweave.operators import mobility as mo
 from ionweave.operators import transport as tr
 from ionweave.plans import views as v
-from ionweave.plans.q_mobility import unwrapped
+from ionweave.plans.q_mobility import MASS_SQL, mass_column, unwrapped
 from ionweave.plans.registry import define, register
 
 DT = 1000.0
 T_K = 373.0
 Z = {"metal": 2.0, "cation": 1.0, "anion": -1.0}
-MAX_NS = 40.0
-LAGS = lg.stepped(10_000, DT, MAX_NS, 25, 1.0)
+MAX_NS = 100.0  # fixed value: the largest lag, where the track is long enough
 SCHEMES = (
     tr.BlockScheme("4x20ns", 20.0, 12.0, 4, ((1.0, 8.0), (3.0, 11.0))),
     tr.BlockScheme("3x26ns", 26.0, 14.0, 3, ((1.0, 8.0), (4.0, 13.0))),
@@ -26,15 +26,34 @@ def _volume(s, d):
     return v.track(s, d).agg(F.avg(F.col("box") * F.col("box") * F.col("box")).alias("v")).select("v").scalar()
 
 
+def n_frames(s, d) -> int:
+    """Frames that the tracks hold: one number."""
+    return v.track(s, d).agg((F.max("frame") + 1).alias("n")).first()["n"]
+
+
+def longest_ns(s, d) -> float:
+    return min(MAX_NS, (n_frames(s, d) - 1) * DT / 1000.0)
+
+
+def drift_free(s, d):
+    """Unwrapped positions less the motion of the common center of mass."""
+    return v.shared(s, d, "drift_free", lambda: mo.remove_drift(unwrapped(s, d), mass_column()))
+
+
 def correlations(s, d):
-    return v.shared(s, d, "correlations", lambda: tr.collective_correlations(unwrapped(s, d), LAGS))
+    lags = lambda: lg.stepped(n_frames(s, d), DT, MAX_NS, 25, 1.0)
+    return v.shared(s, d, "correlations", lambda: tr.collective_correlations(drift_free(s, d), lags()))
 
 
 def _table(s, d):
     return tr.charge_msd(correlations(s, d), Z)
 
 
-def corr_cte(walk: str, lags: list[int], by: str = "", frame: str = "frame", stride: int = 1) -> str:
+# One frame is the dense step, so every lag up to the longest is in the list.
+LAGS_SQL = f"(SELECT unnest(range(1, least(max(frame), {int(MAX_NS)}) + 1)) AS lag FROM track)"
+
+
+def corr_cte(walk: str, lags: list[int] | str, by: str = "", frame: str = "frame", stride: int = 1) -> str:
     g = f"{by}, " if by else ""
     on = " AND ".join(f"a.{c} = b.{c}" for c in (by.split(", ") if by else [])) or "true"
     sums = ", ".join(f"coalesce(sum(u{c}) FILTER (species = '{s}'), 0) AS {s}_{c}" for s in tr.SPECIES for c in "xyz")
@@ -44,7 +63,7 @@ def corr_cte(walk: str, lags: list[int], by: str = "", frame: str = "frame", str
     selfs = ", ".join(f"coalesce(s_{s}, 0) / n_origins AS self_{s}" for s in tr.SPECIES)
     dist = ", ".join(f"C_{s}_{s} - coalesce(s_{s}, 0) / n_origins AS distinct_{s}" for s in tr.SPECIES)
     own = ", ".join(f"sum(r2) FILTER (species = '{s}') AS s_{s}" for s in tr.SPECIES)
-    return f"""WITH t AS (SELECT {g}{frame} AS fr, {sums} FROM {walk} GROUP BY ALL), l AS (SELECT CAST(unnest({lags}) AS BIGINT) AS lag),
+    return f"""WITH t AS (SELECT {g}{frame} AS fr, {sums} FROM {walk} GROUP BY ALL), l AS {lags if isinstance(lags, str) else f"(SELECT CAST(unnest({lags}) AS BIGINT) AS lag)"},
  x AS (SELECT {ga}lag, {cross}, count(*) AS n_origins FROM t a CROSS JOIN l JOIN t b ON b.fr = a.fr + lag AND {on} WHERE a.fr % {stride} = 0 GROUP BY ALL),
  y AS (SELECT {ga}lag, {own} FROM (SELECT {ga}lag, a.species, (b.ux - a.ux) ** 2 + (b.uy - a.uy) ** 2 + (b.uz - a.uz) ** 2 AS r2 FROM {walk} a CROSS JOIN l JOIN {walk} b ON b.{frame} = a.{frame} + lag AND a.entity_id = b.entity_id AND {on} WHERE a.{frame} % {stride} = 0) a GROUP BY ALL)
  SELECT {g}lag, * EXCLUDE ({g}lag, s_metal, s_cation, s_anion), {selfs}, {dist} FROM x JOIN y USING ({g}lag)"""
@@ -59,7 +78,12 @@ def charge_cte(src: str) -> str:
  FROM (SELECT *, CAST({CHARGE} AS DOUBLE) AS charge_msd, CAST({SELF} AS DOUBLE) AS charge_msd_self FROM {src})"""
 
 
-define("corr", corr_cte("walk", LAGS), "walk")
+define(
+    "dwalk",
+    f"""SELECT w.* REPLACE (ux - (rx - bx) AS ux, uy - (ry - by0) AS uy, uz - (rz - bz) AS uz) FROM walk w JOIN (SELECT frame, rx, ry, rz, first_value(rx) OVER f AS bx, first_value(ry) OVER f AS by0, first_value(rz) OVER f AS bz FROM
+ (SELECT frame, sum(m * ux) / sum(m) AS rx, sum(m * uy) / sum(m) AS ry, sum(m * uz) / sum(m) AS rz FROM (SELECT *, {MASS_SQL} AS m FROM walk) GROUP BY 1) WINDOW f AS (ORDER BY frame)) c ON c.frame = w.frame""", "walk",
+)
+define("corr", corr_cte("dwalk", LAGS_SQL), "dwalk", "track")
 define("ctable", charge_cte("corr"), "corr")
 _C = {f"C_{a}_{b}": 2 for a, b in [(s, s) for s in tr.SPECIES] + list(tr.CROSS)} | {f"{k}_{s}": 2 for k in ("self", "distinct") for s in tr.SPECIES}
 _Q = {c: 1 for c in ("charge_msd", "charge_msd_self", "charge_msd_correlation", "charge_msd_scaled", "charge_msd_self_scaled")}
@@ -78,44 +102,52 @@ def fit_sql(x: str, y: str) -> dict[str, str]:
     }
 
 
-def windows_sql(windows) -> str:
-    return "(VALUES " + ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for a, b in windows) + ") AS w(fit_start_ns, fit_end_ns)"
+def windows_sql(windows, always=()) -> str:
+    """Windows that the track is long enough for, and those that are always fitted."""
+    rows = ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), {str((a, b) in always).lower()})" for a, b in windows)
+    return f"(SELECT a AS fit_start_ns, b AS fit_end_ns FROM (VALUES {rows}) AS w(a, b, fixed) WHERE fixed OR b <= (SELECT max(frame) FROM track))"
 
 
 WINDOWS = tr.fit_windows(MAX_NS)
+
+
+def windows(s, d):
+    return tr.fit_windows(longest_ns(s, d))
+
+
 _F = fit_sql("x_ps", "charge_msd")
 
 
-def wfit_sql(src: str, col: str, windows) -> str:
+def wfit_sql(src: str, col: str, windows, always=tr.FIT_WINDOWS_NS) -> str:
     f = fit_sql("x_ps", col) | {"is_supported": f"CAST(count({col}) >= 6 AS INTEGER)"}
-    return f"SELECT fit_start_ns, fit_end_ns, {', '.join(f'{e} AS {n}' for n, e in f.items())} FROM (SELECT *, lag * CAST(1000 AS DOUBLE) AS x_ps FROM {src}) JOIN {windows_sql(windows)} ON lag BETWEEN fit_start_ns AND fit_end_ns GROUP BY 1, 2"
+    return f"SELECT fit_start_ns, fit_end_ns, {', '.join(f'{e} AS {n}' for n, e in f.items())} FROM (SELECT *, lag * CAST(1000 AS DOUBLE) AS x_ps FROM {src}) JOIN {windows_sql(windows, always)} ON lag BETWEEN fit_start_ns AND fit_end_ns GROUP BY 1, 2"
 
 
-register("window_fit", lambda s, d: tr.window_fit(_table(s, d), "charge_msd", WINDOWS, DT), wfit_sql("ctable", "charge_msd", WINDOWS), ["ctable"],
+register("window_fit", lambda s, d: tr.window_fit(_table(s, d), "charge_msd", windows(s, d), DT), wfit_sql("ctable", "charge_msd", WINDOWS), ["ctable"],
          {"fit_start_ns": 6, "fit_end_ns": 6, "slope": 5, "intercept": 1, "r2": 6, "beta": 6})
 COND = "(1.602176634e-19 * 1.602176634e-19 * 1.0e-20 / 1.0e-12) / (6.0 * {v} * 1.0e-30 * 1.380649e-23 * 373.0) * 10.0"
 SPECS = tr.observables(Z)
 
 
-def scan_sql(src: str, windows, by: str = "", volume: str = "8000.0") -> str:
+def scan_sql(src: str, windows, by: str = "", volume: str = "8000.0", always=tr.FIT_WINDOWS_NS) -> str:
     g = f"{by}, " if by else ""
     sig = ", ".join(f"{fit_sql('x_ps', c)['slope']} * ({z}) * {COND.format(v=volume)} AS sigma_{n}" for n, (c, z) in SPECS.items())
     cross = " + ".join(f"sigma_{a}_{b}_cross" for a, b in tr.CROSS)
     sp = " + ".join(f"sigma_{p}_{p}" for p in tr.SPECIES)
     pt = " + ".join(f"sigma_{p}_self + sigma_{p}_distinct" for p in tr.SPECIES)
     return f"""SELECT *, fit_end_ns - fit_start_ns AS duration_ns, sigma_total * CAST(0.64 AS DOUBLE) AS sigma_total_scaled, {sp} + {cross} - sigma_total AS closure_species, {pt} + {cross} - sigma_total AS closure_parts FROM
- (SELECT {g}fit_start_ns, fit_end_ns, {_F['n_points']} AS n_points, {_F['beta']} AS beta, {_F['r2']} AS r2, {sig} FROM (SELECT *, lag * CAST(1000 AS DOUBLE) AS x_ps FROM {src}) JOIN {windows_sql(windows)} ON lag BETWEEN fit_start_ns AND fit_end_ns GROUP BY ALL)"""
+ (SELECT {g}fit_start_ns, fit_end_ns, {_F['n_points']} AS n_points, {_F['beta']} AS beta, {_F['r2']} AS r2, {sig} FROM (SELECT *, lag * CAST(1000 AS DOUBLE) AS x_ps FROM {src}) JOIN {windows_sql(windows, always)} ON lag BETWEEN fit_start_ns AND fit_end_ns GROUP BY ALL)"""
 
 
 def scan(s, d):
-    return tr.window_scan(_table(s, d), WINDOWS, Z, DT, _volume(s, d), T_K)
+    return tr.window_scan(_table(s, d), windows(s, d), Z, DT, _volume(s, d), T_K)
 
 
 define("wscan", scan_sql("ctable", WINDOWS), "ctable")
 _W = {"fit_start_ns": 6, "fit_end_ns": 6, "duration_ns": 6, "beta": 6, "r2": 6, "closure_species": 4, "closure_parts": 4, "sigma_total_scaled": 4, **{f"sigma_{n}": 4 for n in SPECS}}
 register("window_scan", scan, "SELECT * FROM wscan", ["wscan"], _W)
 register(
-    "conductivity", lambda s, d: tr.window_fit(_table(s, d), "charge_msd", WINDOWS, DT).select("fit_start_ns", "fit_end_ns", tr.conductivity(F.col("slope"), _volume(s, d), T_K).alias("sigma")),
+    "conductivity", lambda s, d: tr.window_fit(_table(s, d), "charge_msd", windows(s, d), DT).select("fit_start_ns", "fit_end_ns", tr.conductivity(F.col("slope"), _volume(s, d), T_K).alias("sigma")),
     "SELECT fit_start_ns, fit_end_ns, sigma_total AS sigma FROM wscan", ["wscan"], {"fit_start_ns": 6, "fit_end_ns": 6, "sigma": 4},
 )
 register(
@@ -155,10 +187,10 @@ def _sigma_ne(s, d):
 
 _CW = tr.cumulative_windows(MAX_NS)
 register(
-    "cumulative_scan", lambda s, d: tr.cumulative_scan(_table(s, d), MAX_NS, DT, _volume(s, d), T_K, _sigma_ne(s, d)),
+    "cumulative_scan", lambda s, d: tr.cumulative_scan(_table(s, d), longest_ns(s, d), DT, _volume(s, d), T_K, _sigma_ne(s, d)),
     f"""SELECT *, sigma_total * CAST(0.64 AS DOUBLE) AS sigma_total_scaled, sigma_total / (SELECT sum(sigma_ne) FROM ne) AS ratio_total, sigma_self_total / (SELECT sum(sigma_ne) FROM ne) AS ratio_self FROM
  (SELECT fit_start_ns, fit_end_ns, fit_end_ns - fit_start_ns AS duration_ns, n_points, beta, r2, slope * {COND.format(v='8000.0')} AS sigma_total, s2 * {COND.format(v='8000.0')} AS sigma_self_total
- FROM ({wfit_sql('ctable', 'charge_msd', _CW)}) JOIN (SELECT fit_start_ns, fit_end_ns, slope AS s2 FROM ({wfit_sql('ctable', 'charge_msd_self', _CW)})) USING (fit_start_ns, fit_end_ns))""",
+ FROM ({wfit_sql('ctable', 'charge_msd', _CW, ())}) JOIN (SELECT fit_start_ns, fit_end_ns, slope AS s2 FROM ({wfit_sql('ctable', 'charge_msd_self', _CW, ())})) USING (fit_start_ns, fit_end_ns))""",
     ["ctable", "ne"],
     {"fit_start_ns": 6, "fit_end_ns": 6, "duration_ns": 6, "beta": 6, "r2": 6, "sigma_total": 4, "sigma_total_scaled": 4, "sigma_self_total": 4, "ratio_total": 4, "ratio_self": 4},
 )
@@ -176,19 +208,19 @@ register("window_neighbours", lambda s, d: tr.window_neighbours(scan(s, d)), "SE
 
 def _block_scan(s, d):
     volumes = v.track(s, d).groupBy("frame").agg(F.min(F.col("box") * F.col("box") * F.col("box")).alias("volume"))
-    return v.shared(s, d, "block_scan", lambda: tr.block_scan(unwrapped(s, d), volumes, SCHEMES, BLOCK_LAGS, Z, DT, T_K))
+    return v.shared(s, d, "block_scan", lambda: tr.block_scan(drift_free(s, d), volumes, SCHEMES, BLOCK_LAGS, Z, DT, T_K))
 
 
 for i, sch in enumerate(SCHEMES):
     n = int(sch.length_ns)
     define(
         f"bw{i}",
-        f"SELECT *, '{sch.name}' AS scheme, frame // {n} AS block, frame % {n} AS block_frame FROM walk WHERE (frame // {n} + 1) * {n} - 1 <= (SELECT max(frame) FROM walk)"
-        f" UNION ALL SELECT *, '{sch.name}', frame // {n} - 1, {n} FROM walk WHERE frame % {n} = 0 AND frame > 0", "walk",
+        f"SELECT *, '{sch.name}' AS scheme, frame // {n} AS block, frame % {n} AS block_frame FROM dwalk WHERE (frame // {n} + 1) * {n} - 1 <= (SELECT max(frame) FROM walk)"
+        f" UNION ALL SELECT *, '{sch.name}', frame // {n} - 1, {n} FROM dwalk WHERE frame % {n} = 0 AND frame > 0", "dwalk",
     )
     define(f"bc{i}", corr_cte(f"bw{i}", BLOCK_LAGS[sch.name], "scheme, block", "block_frame", 1), f"bw{i}")
     define(f"bt{i}", charge_cte(f"bc{i}"), f"bc{i}")
-    define(f"bs{i}", scan_sql(f"bt{i}", sch.windows, "scheme, block"), f"bt{i}")
+    define(f"bs{i}", scan_sql(f"bt{i}", sch.windows, "scheme, block", always=sch.windows), f"bt{i}")
 define("bscan", " UNION ALL BY NAME ".join(f"SELECT * FROM bs{i}" for i in range(len(SCHEMES))), *[f"bs{i}" for i in range(len(SCHEMES))])
 register("block_scan", _block_scan, "SELECT * FROM bscan", ["bscan"], _W)
 _BC = ("sigma_total", "sigma_self_total", "beta", "r2")
