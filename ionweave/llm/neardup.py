@@ -246,7 +246,8 @@ def rare_pairs(documents: DataFrame, classes: DataFrame, size: int, percent: int
 def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
     """The (a, b) of ``pairs`` with 100 * intersection >= percent * union on the full sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    needed = ids.join(classes.select("cid", F.col("rep").alias("doc_id"), "h1"), "cid")
+    # Written first, so that Spark knows its size when it plans the join with the texts.
+    needed = stages.table(ids.join(classes.select("cid", F.col("rep").alias("doc_id"), "h1"), "cid"), "needed")
     sets = stages.table(_sets(documents, needed, size), "sets")
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
@@ -312,6 +313,7 @@ def without_near_duplicates(documents: DataFrame, size: int = 5, percent: int =
     """
     found = staged(near_duplicates(documents, size, percent), "near_duplicates")
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    gone = staged(gone, "gone")
     here = (documents["doc_id"] == gone["__id"]) & (F.xxhash64(documents["text"]) == gone["__hash"])
     out = documents.join(gone, here, "left_anti")
     once = found.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
