@@ -130,8 +130,16 @@ def mix_sources(
 def mixed_documents(
     documents: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 0
 ) -> DataFrame:
-    """The rows of ``documents`` with all their columns, each as often as ``mix_sources`` takes it; texts are not shuffled."""
+    """The rows of ``documents`` with all their columns, each as often as ``mix_sources`` takes it; texts are not shuffled.
+
+    Cases as in ``mix_sources``: rows of one key are repeated alike, null texts, which have no words, as often as their
+    source is taken whole and once more below its threshold; an empty table gives an empty one; columns of any
+    name keep their values.
+    """
     plan = mix_thresholds(_sized(documents, seed), weights, share, limit).select("__g", "__whole", "__bound")
-    rows = salted_join(_keyed(documents, seed), plan, "__g", F.col("__key"))
+    # The whole row travels as one column, so no column of it can meet one of the plan.
+    nested = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    keyed = nested.select("row", group_key(F.col("row.source")).alias("__g"), order_key(seed, F.col("row.doc_id"), F.md5("row.text")).alias("__key"))
+    rows = salted_join(keyed, plan, "__g", F.col("__key"))
     times = F.array_repeat(F.lit(1), _copies().cast("int"))
-    return rows.withColumn("__copy", F.explode(times)).select(*documents.columns)
+    return rows.select("row", F.explode(times).alias("__copy")).select("row.*")

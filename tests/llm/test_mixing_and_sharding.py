@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 from zlib import crc32
 
+from pyspark.sql import functions as F
 from helpers import frame, sample, tokens
 
 from ionweave.llm import mixing, sharding
@@ -79,3 +80,14 @@ def test_shards(spark):
     for s, n in Counter(r.source for r in got).items():
         assert all(abs(per[s, k] - n / 8) <= 2 for k in range(8))
     assert {r.grown_shard for r in got} == {None} and {r.law for r in got} == {"rows"}
+
+
+def test_mixed_documents_keep_clashing_columns(spark):
+    names = ["__g", "__key", "__whole", "__bound", "__salt", "__copy", "row"]
+    docs = frame(spark).withColumns({n: F.concat(F.lit(n), F.coalesce("text", F.lit("-"))) for n in names})
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    plain = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(frame(spark)).collect())
+    assert Counter((r.doc_id, r.text, r.source) for r in rows) == plain
+    assert all(r[n] == n + ("-" if r.text is None else r.text) for r in rows for n in names)
