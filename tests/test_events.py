@@ -1,5 +1,7 @@
 """Runs, censoring, survival, transitions and exchange on hand data."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,27 @@ def test_sites_past_a_thousand_stay_apart(spark):
     assert ex.shell_sets(contacts).filter("shell = 'chain_site' AND frame = 0").count() == 2
     steps = ex.shell_steps(ex.shell_sets(contacts)).filter("frame = 1").first()
     assert (steps.x_chain_site, steps.x_chain) == (1, 1)
+
+
+def test_shell_retention_counts_members_that_come_back(spark):
+    rng = random.Random(11)
+    rows = {(s, f, c, m, -1) for s in ("anion", "chain") for f in range(14) for c in (1, 2) for m in range(5) if rng.random() < 0.55}
+    df = spark.createDataFrame(list(rows), "shell string, frame bigint, center_id bigint, member bigint, site_index bigint")
+    lags = [1, 3, 6]
+    got = {(r.shell, r.center_id, r.lag, r.origin): (r.n_initial, r.n_final, r.n_retained) for r in ex.shell_retention(df, lags).collect()}
+    sets = {}
+    for s, f, c, m, _ in rows:
+        sets.setdefault((s, c, f), set()).add(m)
+    want = {}
+    for s, c, f in sets:
+        for v in lags:
+            for t in (f, f - v):
+                a, b = sets.get((s, c, t), set()), sets.get((s, c, t + v), set())
+                want[s, c, v, t] = (len(a), len(b), len(a & b))
+    assert got == want
+
+
+def test_shell_retention_shuffles_members_once_for_all_lags(spark):
+    df = spark.createDataFrame([("anion", 0, 1, 2, -1)], "shell string, frame bigint, center_id bigint, member bigint, site_index bigint")
+    counts = [ex.shell_retention(df, lags)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for lags in ([1], [1, 2, 3, 5, 8])]
+    assert counts[0] == counts[1] <= 3
