@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded, repeatable sample of labelled documents of each class gives the examples. Terms are words
-and their beginnings of 4 to 6 bytes; those whose presence goes with the label in the sample make
-the vocabulary, and their document frequencies are counted over all documents. Examples are indexed
-as TF-IDF vectors in blocks with the largest weight of each term; a document visits blocks in order of
-their bounds and stops when no further block can hold a nearer example, so its neighbours are exact.
+and their beginnings of 4 to 6 bytes, all of them: every term of an example has its document
+frequency counted over all documents, every other term shares that of its hash bucket, so that vectors
+and norms cover whole texts. Terms whose presence goes with the label in the sample weigh more than the
+others. Examples are indexed by term in blocks with the largest weight of each block; a document
+visits the blocks whose bounds reach its nearest examples so far, so its neighbours are exact.
 Votes are weighted by cosine and by how much of its class an example stands for, and calibrated on
 the examples themselves, each without its own vote.
 """
@@ -22,10 +23,18 @@ from pyspark.sql import functions as F
 from ionweave.llm.shingles import BASE, PIECE, U64, _mix
 from ionweave.session import staged
 
-#: Labelled examples of each class, at most, and terms of the vocabulary, at most.
-EXAMPLES, TERMS = 3000, 4096
+#: Labelled examples of each class, at most, and distinct terms of all examples together, at most (in order of the sample).
+EXAMPLES, POSTINGS = 3000, 1 << 23
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks visited before the others are tested against the nearest examples found there.
+FIRST = 6
+#: Weight of a term that doesn't go with the label, beside 1.
+PLAIN = 0.1
+#: Hash buckets that hold the document frequencies of terms no example has.
+BUCKETS = 1 << 18
+#: Terms in a row of counts.
+CHUNK = 1024
 STARTS = (4, 5, 6)
 
 VALUES = _mix(np.arange(256, dtype=U64), 3)
@@ -73,40 +82,56 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield at, texts[at:]
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of every range lo..hi-1, one range after another, and their lengths."""
+    n = hi - lo
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + n, n), n
+
+
 class Lookup:
-    """Numbers of known term hashes; most others fail on a bit table."""
+    """Numbers of terms: those of an example in order of hash, then the buckets of all others."""
 
     def __init__(self, terms: np.ndarray):
-        self.order = np.argsort(terms)
-        self.sorted = terms[self.order]
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        self.bits[(terms & U64(0xFFFFF)).astype(np.int64)] = True
+        self.sorted = np.sort(terms)
+        self.size = len(terms) + BUCKETS
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        known = len(self.sorted)
+        other = known + (hashes >> U64(46)).astype(np.int64)
+        if not known:
+            return other
+        at = np.minimum(np.searchsorted(self.sorted, hashes), known - 1)
+        return np.where(self.sorted[at] == hashes, at, other)
 
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, term number, count), sorted."""
+        """(text number, term number, count) of all terms, sorted; distinct terms of one bucket stay apart."""
         owner, hashes = term_hashes(texts)
-        near = self.bits[(hashes & U64(0xFFFFF)).astype(np.int64)]
-        owner, hashes = owner[near], hashes[near]
-        at = np.minimum(np.searchsorted(self.sorted, hashes), max(0, len(self.sorted) - 1))
-        hit = self.sorted[at] == hashes if len(self.sorted) else np.zeros(len(at), bool)
-        size = max(1, len(self.sorted))
-        keys, n = np.unique(owner[hit] * size + self.order[at[hit]], return_counts=True)
-        return keys // size, keys % size, n
+        distinct, at = np.unique(hashes, return_inverse=True)
+        size = max(1, len(distinct))
+        keys, n = np.unique(owner * size + at, return_counts=True)
+        return keys // size, self.numbers(distinct)[keys % size], n
 
 
 @dataclass
 class Index:
-    """The labelled examples by blocks, and the two numbers of the calibration."""
+    """The labelled examples by term and block, and the two numbers of the calibration.
+
+    ``runs[t] .. runs[t + 1]`` are the runs of term t, one for each block of examples that holds it, with
+    its block and largest value; ``posts[r] .. posts[r + 1]`` are the postings of run r.
+    """
 
     lookup: Lookup
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
-    starts: np.ndarray
-    terms: np.ndarray
+    runs: np.ndarray
+    run_block: np.ndarray
+    run_max: np.ndarray
+    posts: np.ndarray
+    examples: np.ndarray
     values: np.ndarray
-    block_max: np.ndarray
     prior: float
     slope: float = 1.0
     shift: float = 0.0
@@ -117,19 +142,23 @@ class Index:
 
     def nearest(self, terms: np.ndarray, vector: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines) of the nearest examples with a common term, ties to the smaller number."""
-        dense = np.zeros(len(self.idf))
-        dense[terms] = vector
-        bounds = vector @ self.block_max[terms]
+        known = terms < len(self.runs) - 1
+        terms, vector = terms[known], vector[known]
+        run, n = _ranges(self.runs[terms], self.runs[terms + 1])
+        weight, block = np.repeat(vector, n), self.run_block[run]
+        bounds = np.bincount(block, weight * self.run_max[run], minlength=-(-len(self.ids) // BLOCK))
         held_i, held_c, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] * (1 + 1e-6) < least:
-                break
-            a, z = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-            lo, hi = self.starts[a], self.starts[z]
-            sums = np.add.reduceat(dense[self.terms[lo:hi]] * self.values[lo:hi], self.starts[a:z] - lo)
-            i = np.arange(a, z)
-            keep = (sums > 0) & (i != without)
-            i, c = np.append(held_i, i[keep]), np.append(held_c, sums[keep])
+        order = np.argsort(-bounds, kind="stable")
+        for part in (order[:FIRST], order[FIRST:]):
+            visit = np.zeros(len(bounds), dtype=bool)
+            visit[part] = (bounds[part] > 0) & (bounds[part] * (1 + 1e-6) >= least)
+            own = visit[block]
+            post, n = _ranges(self.posts[run[own]], self.posts[run[own] + 1])
+            sums = np.bincount(self.examples[post], np.repeat(weight[own], n) * self.values[post], minlength=len(self.ids))
+            if without >= 0:
+                sums[without] = 0
+            i = np.flatnonzero((sums > 0) & (sums >= least))
+            i, c = np.append(held_i, i), np.append(held_c, sums[i])
             best = np.lexsort((i, -c))[:NEIGHBOURS]
             held_i, held_c = i[best], c[best]
             if len(best) == NEIGHBOURS:
@@ -157,7 +186,12 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
 
 
-def _examples(documents: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, dict[int, int]]:
+def _examples(documents: DataFrame, labels: DataFrame, limit: int, postings: int) -> tuple[list, dict[int, int]]:
+    """(doc_id, toxic, hashes, counts) of the sampled documents in order of id, and the labelled documents of each class.
+
+    Of several rows of one id, that with the fewest terms is taken. The sample ends where its documents
+    have ``postings`` distinct terms together, so the driver holds no more than that.
+    """
     train = staged(training_labels(labels), "train_labels")
     totals = {r[0]: r[1] for r in train.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
     picked = [train.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for t in (0, 1)]
@@ -167,106 +201,138 @@ def _examples(documents: DataFrame, labels: DataFrame, limit: int) -> tuple[Data
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
-            for at, part in _pieces(texts):
-                owner, hashes = term_hashes(part)
-                order = np.lexsort((hashes, owner))
-                owner, hashes = owner[order], hashes[order]
-                lists = []
-                for own in np.split(hashes, np.searchsorted(owner, np.arange(1, len(part)))):
-                    found, n = np.unique(own, return_counts=True)
-                    lists.append([{"h": int(h), "n": int(c)} for h, c in zip(found.view(np.int64), n)])
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(lists, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])))],
-                    names=["doc_id", "toxic", "terms"],
-                )
-
-    return staged(rows.mapInArrow(terms, "doc_id long, toxic int, terms array<struct<h: bigint, n: int>>"), "examples"), totals
-
-
-def _telling_terms(examples: DataFrame, limit: int) -> np.ndarray:
-    """Hashes of the terms that go with the label: the likelihood ratio beats what chance gives among so many terms."""
-    n = {r[0]: r[1] for r in examples.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
-    if not n.get(0) or not n.get(1):
-        return np.empty(0, U64)
-    held = examples.select("toxic", F.explode("terms.h").alias("h")).groupBy("h").agg(
-        F.count(F.when(F.col("toxic") == 1, 1)).alias("p"), F.count(F.when(F.col("toxic") == 0, 1)).alias("c")
-    )
-    held = staged(held.filter(F.col("p") + F.col("c") >= 3), "term_counts")
-    total = held.count()
-    share = F.lit(n[1] / (n[0] + n[1]))
-
-    def part(k: Column, expected: Column) -> Column:
-        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
-
-    def ratio(p: Column, all_: Column, rate: Column) -> Column:
-        return part(p, all_ * rate) + part(all_ - p, all_ * (1 - rate))
-
-    both = F.col("p") + F.col("c")
-    rest, absent = F.lit(n[1]) - F.col("p"), F.lit(n[0] + n[1]) - both
-    g = 2 * (ratio(F.col("p"), both, share) + ratio(rest, absent, share))
-    best = held.select("h", g.alias("g")).filter(F.col("g") >= 2 * np.log(total + 1)).orderBy(F.desc("g"), "h").limit(limit)
-    return np.array([r[0] for r in best.select("h").collect()], dtype=np.int64).view(U64)
-
-
-def _document_frequencies(documents: DataFrame, lookup: Lookup, size: int) -> tuple[np.ndarray, int]:
-    """Documents that hold each term, over all documents; every task sends one number per term."""
+            size, packed = [], []
+            for text in batch.column(2).to_pylist():
+                hashes, n = np.unique(term_hashes([text.encode()])[1], return_counts=True)
+                size.append(len(hashes))
+                packed.append(hashes.astype("<u8").tobytes() + n.astype("<u4").tobytes())
+            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "n", "packed"])
+
+    rows = rows.mapInArrow(terms, "doc_id long, toxic int, n long, packed binary")
+    least = F.min(F.struct("n", "packed")).alias("least")
+    rows = staged(rows.groupBy("doc_id", "toxic").agg(least).select("doc_id", "toxic", "least.*", F.xxhash64("doc_id").alias("place")), "examples")
+    ordered = sorted(rows.select("place", "doc_id", "n").collect())
+    whole = np.cumsum([r[2] for r in ordered]) <= postings
+    kept = rows if whole.all() else rows.join(rows.sparkSession.createDataFrame([(r[1],) for r, k in zip(ordered, whole) if k], "doc_id long"), "doc_id", "left_semi")
+    found = []
+    for doc_id, toxic, n, packed in kept.select("doc_id", "toxic", "n", "packed").toLocalIterator():
+        found.append((doc_id, toxic, np.frombuffer(packed, "<u8", n), np.frombuffer(packed, "<u4", n, 8 * n)))
+    return sorted(found, key=lambda r: r[0]), totals
+
+
+def _telling(p: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Whether presence in ``p`` toxic and ``c`` clean examples goes with the label: the likelihood ratio beats what chance gives."""
+    if not toxic or not clean:
+        return np.zeros(len(p), dtype=bool)
+    share = toxic / (toxic + clean)
+
+    def part(k: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(expected, 1e-12)), 0.0)
+
+    def ratio(k: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return part(k, of * share) + part(of - k, of * (1 - share))
+
+    g = 2 * (ratio(p, p + c) + ratio(toxic - p, toxic + clean - p - c))
+    return (p + c >= 3) & (g >= 2 * np.log((p + c >= 3).sum() + 1))
+
+
+def _document_frequencies(documents: DataFrame, lookup: Lookup) -> tuple[np.ndarray, int]:
+    """Documents that hold each term, over all documents, and their number; tasks send packed counts, summed as they arrive."""
+
+    def rows_of(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "chunk": pa.array(list(held), pa.int32()), "counts": pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary()),
+        })
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros(size, np.int64), 0
+        held, n = np.zeros(-(-lookup.size // CHUNK) * CHUNK, np.int64), 0
         for batch in batches:
             texts = [t.encode() for t in batch.column(0).to_pylist()]
             n += len(texts)
             for _, part in _pieces(texts):
-                held += np.bincount(lookup.counts(part)[1], minlength=size)[:size]
-        yield pa.RecordBatch.from_pydict({"term": np.arange(-1, size), "n": np.append([n], held)})
-
-    rows = documents.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "term long, n long")
-    sums = {r[0]: r[1] for r in rows.groupBy("term").agg(F.sum("n")).collect()}
-    return np.array([sums.get(t, 0) for t in range(size)], dtype=float), sums.get(-1, 0)
-
+                held += np.bincount(lookup.counts(part)[1], minlength=len(held))
+        chunks = {i: c for i, c in enumerate(held.reshape(-1, CHUNK)) if c.any()}
+        yield rows_of(chunks | {-1: np.array([n])})
 
-def build_index(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = np.frombuffer(counts.as_buffer(), "<i8")
+                held[chunk] = held[chunk] + more if chunk in held else more.copy()
+        yield rows_of(held)
+
+    kind = "chunk int, counts binary"
+    rows = documents.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, kind)
+    df, n = np.zeros(-(-lookup.size // CHUNK) * CHUNK), 0
+    for chunk, counts in rows.repartition(8, "chunk").mapInArrow(add, kind).collect():
+        counts = np.frombuffer(counts, "<i8")
+        if chunk < 0:
+            n = int(counts[0])
+        else:
+            df[chunk * CHUNK : (chunk + 1) * CHUNK] = counts
+    return df[: lookup.size], n
+
+
+def build_index(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, postings: int = POSTINGS) -> Index:
     """The calibrated index; its size is bounded by the two parameters. Without labels of both classes it holds no example."""
-    rows, totals = _examples(documents, labels, examples)
-    known = _telling_terms(rows, terms)
-    lookup = Lookup(known)
+    rows, totals = _examples(documents, labels, examples, postings)
+    sampled = {t: sum(r[1] == t for r in rows) for t in (0, 1)}
     prior = min(max((totals.get(1, 0) + 0.01) / (sum(totals.values()) + 1.0), 1e-6), 1 - 1e-6)
-    none = np.empty(0, np.int64)
-    empty = Index(lookup, np.ones(max(1, len(known))), none, none, none.astype(float), np.zeros(1, np.int64), none, none.astype(float), np.zeros((1, 0)), prior)
-    if not len(known):
-        return empty
-    df, n_docs = _document_frequencies(documents, lookup, len(known))
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    place = {int(h): i for i, h in enumerate(known.view(np.int64))}
-    kept = rows.select("doc_id", "toxic", F.filter("terms", lambda t: t["h"].isin([int(h) for h in known.view(np.int64)])).alias("terms"))
-    listed = sorted(((r[0], r[1], [(place[t["h"]], t["n"]) for t in r[2]]) for r in kept.collect()), key=lambda r: (r[0], r[2]))
-    sampled = {t: sum(r[1] == t for r in listed) for t in (0, 1)}
-    filled = [r for r in listed if r[2]]
+    if not sampled[0] or not sampled[1]:
+        rows = []
+    known = np.unique(np.concatenate([np.empty(0, U64), *[r[2] for r in rows]]))
+    lookup = Lookup(known)
+    texts = [(r[0], r[1], np.searchsorted(known, r[2]), r[3]) for r in rows]
+    sizes = np.array([len(r[2]) for r in texts], np.int64)
+    flat = np.concatenate([np.empty(0, np.int64), *[r[2] for r in texts]])
+    toxic = np.repeat(np.array([r[1] for r in texts], np.int64), sizes)
+    held = np.bincount(flat, minlength=len(known))
+    p = np.bincount(flat[toxic == 1], minlength=len(known))
+    idf = np.ones(lookup.size)
+    if rows:
+        df, n_docs = _document_frequencies(documents, lookup)
+        idf = (np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) + 1) * PLAIN
+        idf[: len(known)][_telling(p, held - p, sampled[1], sampled[0])] /= PLAIN
     # Examples with the same leading term share a block, which keeps the bounds of the others low.
-    filled.sort(key=lambda r: (max(r[2], key=lambda t: (idf[t[0]] * (1 + np.log(t[1])), -t[0]))[0], r[0]))
-    index = Index(
-        lookup, idf, np.array([r[0] for r in filled], np.int64), np.array([r[1] for r in filled], np.int64),
-        np.array([totals.get(r[1], 1) / max(1, sampled[r[1]]) for r in filled]), np.cumsum([0, *[len(r[2]) for r in filled]]),
-        np.array([t for r in filled for t, _ in r[2]], np.int64), np.empty(0), np.zeros((len(known), -(-len(filled) // BLOCK))), prior,
-    )
-    vectors = [index.vector(np.array([t for t, _ in r[2]]), np.array([c for _, c in r[2]])) for r in filled]
-    index.values = np.concatenate(vectors) if vectors else np.empty(0)
-    np.maximum.at(index.block_max, (index.terms, np.repeat(np.arange(len(filled)) // BLOCK, np.diff(index.starts))), index.values)
-    zero = index.vote(none, np.empty(0))
+    common = np.where(held * 50 >= len(texts), 1.0, 1e-3)
+    filled = [r for r in texts if len(r[2])]
+    lead = [int(r[2][np.argmax((1 + np.log(r[3])) * idf[r[2]] * common[r[2]])]) for r in filled]
+    filled = [r for _, _, r in sorted(zip(lead, range(len(filled)), filled), key=lambda x: x[:2])]
+    index = _postings(lookup, idf, filled, len(known), np.array([totals.get(r[1], 1) / max(1, sampled[r[1]]) for r in filled]), prior)
+    none = np.empty(0, np.int64)
     odds, truth, weights = [], [], []
-    for i in range(len(filled)):
-        own = slice(index.starts[i], index.starts[i + 1])
-        odds.append(index.vote(*index.nearest(index.terms[own], index.values[own], without=i)))
-        truth.append(index.toxic[i])
+    for i, r in enumerate(filled):
+        odds.append(index.vote(*index.nearest(r[2], index.vector(r[2], r[3]), without=i)))
+        truth.append(r[1])
         weights.append(index.weight[i])
     for t in (0, 1):
-        blank = sum(r[1] == t for r in listed if not r[2])
-        odds.append(zero)
+        odds.append(index.vote(none, np.empty(0)))
         truth.append(t)
-        weights.append(blank * totals.get(t, 1) / max(1, sampled[t]))
-    index.slope, index.shift = _logistic(np.array(odds), np.array(truth, float), np.array(weights))
+        weights.append((sampled[t] - sum(r[1] == t for r in filled)) * totals.get(t, 1) / max(1, sampled[t]) if rows else 0.0)
+    if rows:
+        index.slope, index.shift = _logistic(np.array(odds), np.array(truth, float), np.array(weights))
+    return index
+
+
+def _postings(lookup: Lookup, idf: np.ndarray, filled: list, known: int, weight: np.ndarray, prior: float) -> Index:
+    """The block-max inverted index of examples (doc_id, toxic, terms, counts), numbered in their order."""
+    ids, toxic = np.array([r[0] for r in filled], np.int64), np.array([r[1] for r in filled], np.int64)
+    none = np.empty(0, np.int64)
+    index = Index(lookup, idf, ids, toxic, weight, np.zeros(known + 1, np.int64), none, none, np.zeros(1, np.int64), none, none, prior)
+    if not filled:
+        return index
+    terms = np.concatenate([r[2] for r in filled])
+    examples = np.repeat(np.arange(len(filled), dtype=np.int32), [len(r[2]) for r in filled])
+    values = np.concatenate([index.vector(r[2], r[3]) for r in filled])
+    order = np.lexsort((examples, terms))
+    terms, index.examples, index.values = terms[order], examples[order], values[order]
+    block = index.examples // BLOCK
+    starts = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+    index.run_block, index.run_max = block[starts], np.maximum.reduceat(index.values, starts)
+    index.posts = np.append(starts, len(terms))
+    index.runs = np.searchsorted(terms[starts], np.arange(known + 1))
     return index
 
 
@@ -303,7 +369,7 @@ def _scores(model: Index, texts: list[str]) -> tuple[np.ndarray, list[list[int]]
 def score_toxicity(documents: DataFrame, labels: DataFrame, index: Index | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row: ``evidence`` lists up to three nearest examples' ids.
 
-    Defined cases: null and empty texts, and texts without a telling term, score by the prior alone; a
+    Defined cases: null and empty texts, and texts without a term of an example, score by the prior alone; a
     null doc_id is scored by its text; repeated rows score alike; without labels of both classes every
     row has the prior; an empty table gives an empty result; other columns, lang and source among
     them, are not read.
