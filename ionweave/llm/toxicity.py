@@ -24,7 +24,7 @@ from ionweave.llm.shingles import BASE, PIECE, U64, _mix
 from ionweave.session import staged
 
 #: Labelled examples of each class, at most, and distinct terms of all examples together, at most (in order of the sample).
-EXAMPLES, POSTINGS = 3000, 1 << 23
+EXAMPLES, POSTINGS = 1000, 1 << 22
 NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks visited before the others are tested against the nearest examples found there.
@@ -324,7 +324,7 @@ def _postings(lookup: Lookup, idf: np.ndarray, filled: list, known: int, weight:
     if not filled:
         return index
     terms = np.concatenate([r[2] for r in filled])
-    examples = np.repeat(np.arange(len(filled), dtype=np.int32), [len(r[2]) for r in filled])
+    examples = np.repeat(np.arange(len(filled)), [len(r[2]) for r in filled])
     values = np.concatenate([index.vector(r[2], r[3]) for r in filled])
     order = np.lexsort((examples, terms))
     terms, index.examples, index.values = terms[order], examples[order], values[order]
