@@ -141,7 +141,7 @@ def _packed(small: DataFrame, capacity: int, level: int) -> DataFrame:
         sizes = [len(b) for b in bins]
         return pd.DataFrame({
             "__id": group["__id"].to_numpy()[items], "length": lengths[items],
-            "sequence_id": (level << 60) + (int(key[0]) << 28) + np.repeat(np.arange(len(bins)), sizes),
+            "sequence_id": (level << 56) + (int(key[0]) << 28) + np.repeat(np.arange(len(bins)), sizes),
             "offset": np.concatenate([np.cumsum(lengths[b]) - lengths[b] for b in bins]),
             "fill": np.repeat([lengths[b].sum() for b in bins], sizes),
         })

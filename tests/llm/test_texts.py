@@ -4,9 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 from helpers import frame, sample, tokens, words
+from pyspark.sql import functions as F
 
 from ionweave.llm import fingerprints, graph, licenses, neardup, topk, toxicity
 from ionweave.llm.common import prepared
@@ -249,15 +252,47 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[0].evidence
     kept = {r.doc_id for r in toxicity.without_toxic(docs, labels, index).collect()}
     assert kept == {i for i, r in got.items() if not r.predicted}
+    # Cosines over the full vectors of all examples, by a second count of terms in plain loops.
+    texts = {r[0]: r[1] or "" for r in rows}
+    hold = Counter(h for _, t, *_ in rows + more for h in every_term(t or ""))
+    telling = dict(zip(index.lookup.sorted.tolist(), index.idf))
+    bucket = Counter()
+    for h, n in hold.items():
+        if h not in telling:
+            bucket[h >> 46] += n
+    size = len(rows) + len(more)
+    weight = lambda h: telling.get(h, toxicity.PLAIN * (np.log((1 + size) / (1 + min(size, bucket[h >> 46]))) + 1))
+    for h, w in telling.items():
+        assert np.isclose(w, np.log((1 + size) / (1 + hold[h])) + 1) or np.isclose(w, toxicity.PLAIN * (np.log((1 + size) / (1 + hold[h])) + 1))
+    vectors = {}
+    for i in {*index.ids.tolist(), *range(0, 40, 4)}:
+        v = {h: (1 + np.log(n)) * weight(h) for h, n in every_term(texts[i]).items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {h: x / norm for h, x in v.items()}
     for i in range(0, 40, 4):
-        terms, n = index.lookup.counts([rows[i][1].encode()])[1:]
-        vector = index.vector(terms, n)
-        found, cosines = index.nearest(terms, vector)
-        dense = np.zeros((len(index.ids), len(index.idf)))
-        dense[np.repeat(np.arange(len(index.ids)), np.diff(index.starts)), index.terms] = index.values
-        every = dense[:, terms] @ vector
-        order = np.lexsort((np.arange(len(every)), -every))[: toxicity.NEIGHBOURS]
-        assert np.allclose(cosines, every[order]) or np.allclose(np.sort(cosines), np.sort(every[order][every[order] > 0]))
+        owner, terms, n = index.lookup.counts([texts[i].encode()])
+        found, cosines = index.nearest(terms, index.vector(terms, n))
+        every = np.sort([sum(x * vectors[j].get(h, 0.0) for h, x in vectors[i].items()) for j in index.ids.tolist()])[::-1]
+        assert np.allclose(cosines, every[every > 0][: toxicity.NEIGHBOURS])
     none = toxicity.score_toxicity(docs, labels.filter("toxic = 5")).collect()
     assert len(none) == 403 and len({r.score for r in none}) == 1
     assert toxicity.score_toxicity(frame(spark, []), labels).count() == 0
+
+
+def every_term(text):
+    return Counter(toxicity.term_hashes([text.encode()])[1].tolist())
+
+
+def test_copy_of_a_toxic_example_of_words_seen_nowhere_else(spark):
+    rows, marks = labelled()
+    learnt = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5)
+    asked = next(i for i in range(1100, 1200) if zlib.crc32(str(i).encode()) % 5 == 0)
+    strange = "qorl zunt plevid harsk ombit"
+    long_text = " ".join(f"w{k}" for k in range(60000)) + " " + strange
+    more = [(i, t, None, None, 1, 1, None, 1) for i, t in ((learnt, strange), (asked, strange), (asked, strange), (asked + 1000, long_text))]
+    labels = prepared(spark).createDataFrame(marks + [(learnt, 1, 1, "x")], "doc_id bigint, quality int, toxic int, text string")
+    got = toxicity.score_toxicity(frame(spark, rows + more), labels).filter(F.col("doc_id") >= 1000).collect()
+    asked_rows = [r for r in got if r.doc_id == asked]
+    assert len(asked_rows) == 2 and asked_rows[0] == asked_rows[1]
+    assert asked_rows[0].held_out and asked_rows[0].score > 0.5 and asked_rows[0].evidence[0] == learnt
+    assert [r.predicted for r in got if r.doc_id == asked + 1000] == [0]
