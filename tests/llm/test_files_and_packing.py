@@ -89,7 +89,7 @@ def test_local_search_empties_bins_that_best_fit_leaves():
 
 def test_underfull_sequences_of_all_blocks_meet(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 64)
-    rows = [(i, n) for i, n in enumerate(np.random.default_rng(3).integers(1, 60, 400).tolist())] + [(None, 7), (3, 100)]
+    rows = [(i, n) for i, n in enumerate(np.random.default_rng(3).integers(1, 25, 900).tolist())] + [(None, 7), (3, 100)]
     got = packing.pack_pieces(prepared(spark).createDataFrame(rows, "doc_id bigint, length bigint"), 100).collect()
     assert sorted(((r.doc_id is None, r.doc_id, r.length) for r in got if r.doc_id is not None)) == sorted((False, *r) for r in rows if r[0] is not None)
     bins = defaultdict(list)
@@ -98,8 +98,11 @@ def test_underfull_sequences_of_all_blocks_meet(spark, monkeypatch):
     for items in bins.values():
         assert [o for o, _ in sorted(items)] == [sum(n for o, n in items if o < at) for at, _ in sorted(items)]
         assert sum(n for _, n in items) <= 100
-    # Seven blocks by themselves leave up to seven sequences nearly empty.
-    assert len(bins) <= -(-sum(n for _, n in rows) // 100) + 2
+    # Fifteen blocks by themselves leave a last sequence nearly empty each.
+    least = -(-sum(n for _, n in rows) // 100)
+    pieces = [(i, n, i % 15) for i, (_, n) in enumerate(rows)]
+    alone = packing._packed(spark.createDataFrame(pieces, "__id bigint, length bigint, __block bigint"), 100, 0).filter("offset = 0").count()
+    assert least <= len(bins) < alone
 
 
 PAGES = "page_id bigint, url string, html string, payload string"
