@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions.geometry import Vector, box_cell, cartesian, fractional, image_shift, vector
 from ionweave.functions.states import center_count_class, lifetime_class, safe_ratio, size_class
 from ionweave.operators.blocks import with_share
-from ionweave.operators.comotion import _cosine, _moves, body_pairs, ratio_curves
+from ionweave.operators.comotion import EPSILON, _cosine, _moves, body_pairs, ratio_curves, support_flag
 from ionweave.operators.components import label_anions
 from ionweave.operators.mobility import unwrap_bodies
 from ionweave.operators.ordered import accumulate, lag_pairs, ordinals, runs
@@ -118,6 +118,100 @@ def bridge_curves(lag_table: DataFrame, min_events: int = 20, min_origins: int =
     )
 
 
+# Sums over the members before the current one, in order of center id.
+_BEFORE = {
+    "k": "__one", "old": "__old", "p2": "__p2", "px": "__dx", "py": "__dy", "pz": "__dz",
+    "qx": "__ex", "qy": "__ey", "qz": "__ez", "kd": "__has",
+}
+
+
+def bridge_counts(edges: DataFrame) -> DataFrame:
+    """Centers and bridges of each anion and frame; bridges are counted, not listed."""
+    n = F.count(F.lit(1))
+    return edges.groupBy("frame", "anion_id").agg(n.alias("n_centers")).filter("n_centers > 1").withColumn(
+        "n_bridges", (F.col("n_centers") * (F.col("n_centers") - 1) / 2).cast("bigint")
+    )
+
+
+def bridge_moments(
+    rows: DataFrame, lags: Sequence[int], center_mass: float, anion_mass: float, first: Column, last: Column,
+    box: Sequence[str] = ("box",),
+) -> DataFrame:
+    """Three-body lag sums over all bridges, per scope and lag, without listing a bridge.
+
+    ``rows``: one contact per frame, center_id and anion_id with ``cx..cz``, ``ax..az`` and the box. A bridge holds
+    [t, t+lag] if both of its centers' contact runs do, so the bridges of (anion, t, lag) are the pairs of one set
+    of members. Every member, in order of center id, meets the sums of those before it: rows grow with contacts
+    and lags, also for an anion with thousands of centers. A bridge is open to the left (right) if both runs are,
+    which inclusion and exclusion over four running sums takes away for ``completed_only``. A bridge starts at t unless
+    both runs hold t-1, so ``n_events`` counts the events of at least lag + 1 frames. A body that moves less than the
+    square root of the shortest product has no direction. No rows give no rows; sums are 0 where a scope has none.
+    """
+    key = ["anion_id", "center_id", "run"]
+    member = runs(rows, key[:2], "frame")
+    walk = unwrap_bodies(member, key, "frame", {"uc": ("cx", "cy", "cz"), "ua": ("ax", "ay", "az")}, box=box, rule="mean")
+    edge = member.groupBy(*key).agg(F.min("frame").alias("__f0"), F.max("frame").alias("__f1")).select(
+        *key, "__f0", (F.col("__f0") == first).alias("__left"), (F.col("__f1") == last).alias("__right")
+    )
+    moved = body_pairs(walk, key, "frame", ("uc", "ua"), lags).join(edge, key)
+    m = _moves(("uc", "ua"))
+    c, t = m["uc"], m["ua"]
+    far = c.norm() > EPSILON
+    flat = moved.select(
+        "anion_id", "center_id", "frame", "lag", "__left", "__right", F.lit(1.0).alias("__one"),
+        (F.col("frame") > F.col("__f0")).cast("double").alias("__old"), far.cast("double").alias("__has"), c.norm2().alias("__p2"),
+        *[d.alias(f"__d{a}") for a, d in zip("xyz", c)], *[d.alias(f"__t{a}") for a, d in zip("xyz", t)],
+        *[F.when(far, d / c.norm()).otherwise(0.0).alias(f"__e{a}") for a, d in zip("xyz", c)],
+    )
+    w = Window.partitionBy("anion_id", "frame", "lag").orderBy("center_id").rowsBetween(Window.unboundedPreceding, -1)
+    left, right = F.col("__left"), F.col("__right")
+    sets = {"": F.lit(True), "l": left, "r": right, "lr": left & right}
+    before = flat.withColumns({
+        f"__{s}_{n}": F.coalesce(F.sum(F.when(is_in, F.col(v))).over(w), F.lit(0.0)) for s, is_in in sets.items() for n, v in _BEFORE.items()
+    })
+
+    def met(n: str, completed: bool) -> Column:
+        out = F.col(f"___{n}")
+        if completed:
+            out = out - F.when(left, F.col(f"__l_{n}")).otherwise(0.0) - F.when(right, F.col(f"__r_{n}")).otherwise(0.0)
+            out = out + F.when(left & right, F.col(f"__lr_{n}")).otherwise(0.0)
+        return out
+
+    own, anion = vector("__dx", "__dy", "__dz"), vector("__tx", "__ty", "__tz")
+
+    def sums(completed: bool) -> list[Column]:
+        v = {n: met(n, completed) for n in _BEFORE}
+        past, ways = Vector(v["px"], v["py"], v["pz"]), Vector(v["qx"], v["qy"], v["qz"])
+        cells = {
+            "n_events": v["k"] - F.col("__old") * v["old"], "n_origins": v["k"],
+            "sum_a2": v["p2"], "sum_b2": v["k"] * F.col("__p2"), "sum_t2": v["k"] * anion.norm2(),
+            "sum_ab": own.dot(past), "sum_at": anion.dot(past), "sum_bt": v["k"] * own.dot(anion),
+            "sum_cos": vector("__ex", "__ey", "__ez").dot(ways), "n_cos": F.col("__has") * v["kd"],
+        }
+        return [F.sum(x).alias(n) for n, x in cells.items()]
+
+    scopes = {"all_observed": False, "completed_only": True}
+    table = before.groupBy("lag").agg(F.array(*[
+        F.struct(F.lit(s).alias("scope"), F.struct(*sums(done)).alias("v")) for s, done in scopes.items()
+    ]).alias("s"))
+    flat_sums = table.select("lag", F.explode("s").alias("s")).select("s.scope", "lag", "s.v.*")
+    a2, b2, t2, ab, to = F.col("sum_a2"), F.col("sum_b2"), F.col("sum_t2"), F.col("sum_ab"), F.col("sum_at") + F.col("sum_bt")
+    mid, total = (a2 + b2 + 2 * ab) / 4, 2 * center_mass + anion_mass
+    return flat_sums.withColumns({
+        **{n: F.col(n).cast("bigint") for n in ("n_events", "n_origins", "n_cos")},
+        "sum_rel2": a2 + b2 - 2 * ab, "sum_mid2": mid, "sum_tmid2": t2 + mid - to,
+        "sum_com2": (4 * center_mass**2 * mid + anion_mass**2 * t2 + 2 * center_mass * anion_mass * to) / total**2,
+    })
+
+
+def bridge_moment_curves(moments: DataFrame, min_events: int = 20, min_origins: int = 200) -> DataFrame:
+    """The curves of all bridges from ``bridge_moments``; curves by persistence need the events themselves."""
+    return moments.filter("n_origins > 0").select(
+        "scope", "lag", "n_events", "n_origins", *[m.alias(n) for n, m in bridge_metrics().items()],
+        support_flag(F.col("n_events"), F.col("n_origins"), min_events, min_origins).alias("is_supported"),
+    )
+
+
 # --- aggregate geometry ---------------------------------------------------------------------
 
 

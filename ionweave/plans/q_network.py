@@ -180,14 +180,27 @@ define(
 register("bridge_lag_sums", _bridge_lags, "SELECT * FROM blag", ["blag"], {c: 5 for c in ag.BRIDGE_SUMS if c != "n_cos"})
 define("btab", "SELECT l.*, completed, persistence_class FROM blag l JOIN bevents USING (instance_id)", "blag", "bevents")
 _BM = ["center_a_msd", "center_b_msd", "anion_msd", "relative_msd", "midpoint_msd", "com_msd", "anion_midpoint_msd", "vector_correlation", "alignment", "relative_ratio", "mean_cosine", "anion_alignment"]
-register(
-    "bridge_curves",
-    lambda s, d: ag.bridge_curves(_bridge_lags(s, d).join(_bridge_events(s, d).select("instance_id", "completed", "persistence_class"), "instance_id"), 5, 10),
+define(
+    "bcurve",
     f"""SELECT scope, group_type, group_label, lag, n_events, CAST(n AS BIGINT) AS n_origins, a / n AS center_a_msd, b / n AS center_b_msd, t / n AS anion_msd, rel / n AS relative_msd, mid / n AS midpoint_msd, com / n AS com_msd, tm / n AS anion_midpoint_msd,
  (ab / n) / nullif(sqrt(a / n * b / n), 0) AS vector_correlation, 2 * ab / nullif(a + b, 0) AS alignment, rel / nullif(a + b, 0) AS relative_ratio, cs / nullif(nc, 0) AS mean_cosine, (2 * at_ / (a + t) + 2 * bt / (b + t)) / 2 AS anion_alignment,
  CAST(n_events >= 5 AND n >= 10 AS INTEGER) AS is_supported FROM (SELECT scope, group_type, group_label, lag, count(*) AS n_events, sum(n_origins) AS n, sum(sum_a2) AS a, sum(sum_b2) AS b, sum(sum_t2) AS t, sum(sum_rel2) AS rel, sum(sum_mid2) AS mid, sum(sum_com2) AS com,
- sum(sum_tmid2) AS tm, sum(sum_ab) AS ab, sum(sum_at) AS at_, sum(sum_bt) AS bt, sum(sum_cos) AS cs, sum(n_cos) AS nc FROM {scoped_sql('btab', {'all': None, 'persistence': 'persistence_class'})} GROUP BY 1, 2, 3, 4)""",
-    ["btab"], _BM, 5,
+ sum(sum_tmid2) AS tm, sum(sum_ab) AS ab, sum(sum_at) AS at_, sum(sum_bt) AS bt, sum(sum_cos) AS cs, sum(n_cos) AS nc FROM {scoped_sql('btab', {'all': None, 'persistence': 'persistence_class'})} GROUP BY 1, 2, 3, 4)""", "btab",
+)
+register(
+    "bridge_curves",
+    lambda s, d: ag.bridge_curves(_bridge_lags(s, d).join(_bridge_events(s, d).select("instance_id", "completed", "persistence_class"), "instance_id"), 5, 10),
+    "SELECT * FROM bcurve",
+    ["bcurve"], _BM, 5,
+)
+register(
+    "bridge_counts", lambda s, d: ag.bridge_counts(v.edges(s, d)),
+    "SELECT frame, anion_id, count(*) AS n_centers, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS n_bridges FROM edges GROUP BY 1, 2 HAVING count(*) > 1", ["edges"],
+)
+register(
+    "bridge_moment_curves",
+    lambda s, d: ag.bridge_moment_curves(ag.bridge_moments(v.pairs(s, d), LAGS, MC, MA, *bounds(s, d)), 5, 10),
+    "SELECT * EXCLUDE (group_type, group_label) FROM bcurve WHERE group_type = 'all'", ["bcurve"], _BM, 5,
 )
 
 # --- aggregate events ---

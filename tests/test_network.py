@@ -265,3 +265,60 @@ def test_correlations_decompose(spark):
 def test_conductivity_value(spark):
     got = spark.range(1).select(tr.conductivity(F.lit(1.0), 1000.0, 300.0)).first()[0]
     assert got == pytest.approx(1.602176634e-19**2 * 1e-8 / (6 * 1e-27 * 1.380649e-23 * 300) * 10)
+
+
+def contact_rows(seed, centers, frames, keep):
+    rng = random.Random(seed)
+    rows = []
+    for t in range(frames):
+        at = [rng.uniform(0, 20) for _ in range(3)]
+        for c in range(centers):
+            if rng.random() < keep:
+                rows.append((t, c, 0, *[rng.uniform(0, 20) for _ in range(3)], *at, 20.0))
+    return rows
+
+
+CONTACT = "frame bigint, center_id bigint, anion_id bigint, cx double, cy double, cz double, ax double, ay double, az double, box double"
+
+
+def test_bridge_moments_equal_the_listed_bridges(spark):
+    pairs = spark.createDataFrame(contact_rows(5, 6, 12, 0.75), CONTACT)
+    lags, first, last = [1, 2, 4], F.lit(0), F.lit(11)
+    listed = ag.bridge_rows(ag.bridge_pairs(pairs))
+    spot = lambda k, o: pairs.select("frame", "anion_id", F.col("center_id").alias(k), *[F.col(f"c{a}").alias(f"{o}{a}") for a in "xyz"])
+    where = pairs.select("frame", "anion_id", *[F.col(f"a{a}").alias(f"t{a}") for a in "xyz"], "box").distinct()
+    rows = listed.join(spot("center_a", "m1"), ["frame", "anion_id", "center_a"]).join(spot("center_b", "m2"), ["frame", "anion_id", "center_b"])
+    sums = ag.bridge_lag_sums(rows.join(where, ["frame", "anion_id"]), lags, 7.0, 280.0)
+    events = ag.bridge_events(listed, first, last, 30.0).select("instance_id", "completed", "persistence_class")
+    curves = ag.bridge_curves(sums.join(events, "instance_id"), 5, 10).filter("group_type = 'all'")
+    want = {(r.scope, r.lag): r.asDict() for r in curves.collect()}
+    got = ag.bridge_moment_curves(ag.bridge_moments(pairs, lags, 7.0, 280.0, first, last), 5, 10).collect()
+    assert {(r.scope, r.lag) for r in got} == set(want) and len(want) >= 5
+    for r in got:
+        for name, value in r.asDict().items():
+            assert value == (pytest.approx(want[r.scope, r.lag][name], rel=1e-9) if isinstance(value, float) else want[r.scope, r.lag][name]), name
+
+
+def test_bridge_moments_of_a_crowded_anion(spark):
+    """Ten thousand centers at one anion: fifty million bridges, thirty thousand rows."""
+    n, move = 10_000, 0.25
+    c = spark.range(3).withColumnRenamed("id", "frame").join(spark.range(n).withColumnRenamed("id", "center_id"))
+    turn = F.when(F.col("center_id") % 2 == 0, 1.0).otherwise(-1.0) * move * F.col("frame")
+    pairs = c.select(
+        "frame", "center_id", F.lit(0).cast("bigint").alias("anion_id"), (10.0 + turn).alias("cx"), F.lit(10.0).alias("cy"), F.lit(10.0).alias("cz"),
+        *[F.lit(10.0).alias(f"a{a}") for a in "xyz"], F.lit(20.0).alias("box"),
+    )
+    moments = ag.bridge_moments(pairs, [1], 7.0, 280.0, F.lit(0), F.lit(9)).filter("scope = 'all_observed'").first()
+    bridges = n * (n - 1) // 2
+    opposite = (n // 2) ** 2
+    assert (moments.n_events, moments.n_origins, moments.n_cos) == (bridges, 2 * bridges, 2 * bridges)
+    assert moments.sum_rel2 == pytest.approx(2 * opposite * (2 * move) ** 2)
+    assert moments.sum_cos == pytest.approx(2 * (bridges - 2 * opposite))
+    assert moments.sum_mid2 == pytest.approx(2 * (bridges - opposite) * move**2)
+    assert ag.bridge_counts(pairs).first().n_bridges == bridges
+
+
+def test_bridge_moments_of_no_rows(spark):
+    none = spark.createDataFrame([], CONTACT)
+    assert ag.bridge_moments(none, [1], 7.0, 280.0, F.lit(0), F.lit(9)).count() == 0
+    assert ag.bridge_counts(none).count() == 0
