@@ -84,6 +84,25 @@ def test_exact_quantile(spark):
             assert got[k] == pytest.approx(np.quantile(v, q))
 
 
+def test_exact_quantile_narrows_until_few_values_are_left(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    data = {
+        "wide": np.exp(rng.normal(scale=20, size=900)), "ties": rng.integers(0, 3, size=900).astype(float), "same": np.full(400, 7.0),
+        "signed": rng.normal(size=700), "gap": np.array([-1e9] * 50 + [1e9] * 50), "one": np.array([3.5]),
+    }
+    df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [("none", None)], "k string, v double")
+    for q in (0.0, 0.37, 0.5, 1.0):
+        got = {r.k: r.quantile for r in exact_quantile(df, ["k"], "v", q, accuracy=8, limit=5, cells=4).collect()}
+        assert set(got) == set(data)
+        for k, v in data.items():
+            assert got[k] == pytest.approx(np.quantile(v, q)), (k, q)
+    alone = exact_quantile(df.filter("k = 'signed'"), [], "v", 0.5, accuracy=8, limit=5, cells=4).first().quantile
+    assert alone == pytest.approx(np.median(data["signed"]))
+    assert exact_quantile(df.filter("v is null"), ["k"], "v", 0.5).count() == 0
+
+
 def test_lag_lists():
     assert lg.linear_then_log(100, 10.0, 1.0, 5, 10)[:10] == list(range(1, 11))
     assert lg.linear_then_log(100, 10.0, 1.0, 5, 10)[-1] == 99
