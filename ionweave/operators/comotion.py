@@ -8,6 +8,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,38 +197,87 @@ def poisson_weight(uniform: Column) -> Column:
     return sum(((uniform >= e).cast("int") for e in POISSON_EDGES), F.lit(0))
 
 
+def event_weights(event: Column, replicates: int, seed: int) -> Column:
+    """One Poisson(1) count per replicate, drawn from hashes of (seed, replicate, event); one digest serves four replicates."""
+
+    def quarters(q: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), q.cast("string"), event.cast("string")))
+        words = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double") for k in range(4)]
+        return F.array(*[word / 4294967296.0 for word in words])
+
+    uniform = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1)), quarters))
+    return F.transform(F.slice(uniform, 1, replicates), lambda u: poisson_weight(u).cast("tinyint"))
+
+
+#: Numbers of partial sums that a task holds before it puts them out.
+PARTIAL = 1 << 23
+
+
+def _weighted_partials(classes: Sequence[str], sums: Sequence[str], replicates: int):
+    """Arrow function: rows (classes, cells, weights) to weighted sums per classes and lag, one array of replicates per sum."""
+    room = max(1, PARTIAL // (replicates * len(sums)))
+
+    def batch_of(held: dict, types: list) -> pa.RecordBatch:
+        keys, values = list(held), list(held.values())
+        columns = [pa.array([k[i] for k in keys], type=t) for i, t in enumerate(types)]
+        columns += [pa.array([k[-1] for k in keys], type=pa.int64()), pa.array([n for n, _ in values], type=pa.int64())]
+        columns += [pa.array([list(block[:, i]) for _, block in values], type=pa.list_(pa.float64())) for i in range(len(sums))]
+        return pa.RecordBatch.from_arrays(columns, names=[*classes, "lag", "n_events", *sums])
+
+    def work(batches):
+        held, types = {}, []
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in classes]
+            owners = list(zip(*[batch.column(c).to_pylist() for c in classes]))
+            numbers = {k: i for i, k in enumerate(dict.fromkeys(owners))}
+            label = list(numbers)
+            weights = batch.column("weights").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, replicates)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("cells")).to_numpy(zero_copy_only=False))
+            lag, *values = [f.to_numpy(zero_copy_only=False) for f in batch.column("cells").flatten().flatten()]
+            table = np.column_stack([v.astype(np.float64) for v in values])
+            code = np.array([numbers[o] for o in owners], dtype=np.int64)[row]
+            found, place = np.unique(np.column_stack([code, lag]), axis=0, return_inverse=True)
+            order = np.argsort(place.ravel(), kind="stable")
+            ends = np.searchsorted(place.ravel()[order], np.arange(len(found) + 1))
+            for k, (owner, at) in enumerate(found):
+                members = order[ends[k]:ends[k + 1]]
+                key = (*label[owner], int(at))
+                n, block = held.get(key, (0, 0.0))
+                for i in range(0, len(members), 1024):
+                    some = members[i:i + 1024]
+                    block = block + weights[row[some]].astype(np.float64).T @ table[some]
+                held[key] = (n + len(members), block)
+                if len(held) >= room:
+                    yield batch_of(held, types)
+                    held = {}
+        if held:
+            yield batch_of(held, types)
+
+    return work
+
+
 def bootstrap_ci(
     lag_sums: DataFrame, groups: Mapping[str, str | None], sums: Sequence[str], metrics: Mapping[str, Column],
     event: str, replicates: int, seed: int = 0, level: float = 0.95,
 ) -> DataFrame:
     """Event-level bootstrap percentile interval of each metric; fewer than two events give NULLs.
 
-    A replicate weights every event by a Poisson(1) count drawn from a hash of (seed,
-    replicate, event), so results do not depend on partitioning and the weighted sums combine
-    map-side: the shuffle carries one row per (replicate, group, lag), not per event.
-    One digest serves four replicates.
+    A replicate weights every event by a Poisson(1) count drawn from a hash of (seed, replicate, event), so results
+    do not depend on partitioning. The lags of an event come together and its weights are drawn once, as an array; each
+    task multiplies weights and sums as matrices, one block per class and lag. No event row is copied: scopes, groups and
+    replicates become rows after that. NULL sums count as 0; no rows give no rows.
     """
-    rounds = -(-replicates // 4)
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__q").cast("string"), F.col(event).cast("string")))
-    quarters = F.array(
-        *[
-            F.struct(
-                (F.col("__q") * 4 + k).alias("replicate"),
-                (F.conv(F.substring("__d", 8 * k + 1, 8), 16, 10).cast("double") / 4294967296.0).alias("u"),
-            )
-            for k in range(4)
-        ]
-    )
-    drawn = (
-        lag_sums.withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-        .withColumn("__d", digest)
-        .withColumn("__r", F.explode(quarters))
-        .withColumns({"replicate": F.col("__r.replicate"), "weight": poisson_weight(F.col("__r.u"))})
-        .filter(F.col("replicate") < replicates)
-    )
     every = ("n_origins", *sums)
-    weighted = scoped(drawn, groups).groupBy(*CURVE_KEY, "replicate").agg(
-        F.count(F.lit(1)).alias("n_events"), *[F.sum(F.col(s) * F.col("weight")).alias(s) for s in every]
+    classes = list(dict.fromkeys(["completed", *[c for c in groups.values() if c is not None]]))
+    cell = F.struct(F.col("lag").cast("bigint").alias("lag"), *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in every])
+    events = lag_sums.groupBy(event, *classes).agg(F.collect_list(cell).alias("cells"))
+    drawn = events.select(*classes, "cells", event_weights(F.col(event), replicates, seed).alias("weights"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in drawn.schema if f.name in classes)
+    schema = f"{kept}, lag bigint, n_events bigint, " + ", ".join(f"`{s}` array<double>" for s in every)
+    partial = drawn.mapInArrow(_weighted_partials(classes, every, replicates), schema)
+    spread = scoped(partial, groups).select(*CURVE_KEY, "n_events", F.posexplode(F.arrays_zip(*every)).alias("replicate", "__s"))
+    weighted = spread.groupBy(*CURVE_KEY, "replicate").agg(
+        F.sum("n_events").alias("n_events"), *[F.sum(f"__s.{s}").alias(s) for s in every]
     )
     ok = F.col("n_origins") > 0
     values = weighted.select(

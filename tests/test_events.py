@@ -1,5 +1,6 @@
 """Runs, censoring, survival, transitions and exchange on hand data."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -160,3 +161,45 @@ def test_shell_retention_shuffles_members_once_for_all_lags(spark):
     df = spark.createDataFrame([("anion", 0, 1, 2, -1)], "shell string, frame bigint, center_id bigint, member bigint, site_index bigint")
     counts = [ex.shell_retention(df, lags)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for lags in ([1], [1, 2, 3, 5, 8])]
     assert counts[0] == counts[1] <= 3
+
+
+def test_bootstrap_interval_equals_a_loop_over_replicates(spark, monkeypatch):
+
+    from ionweave.operators import comotion as cm
+
+    rng = np.random.default_rng(3)
+    rows = [(f"e{i}", lag, i % 3 != 0, ["x", "y", None][i % 3 if i else 2], int(rng.integers(1, 5)), float(rng.uniform(1, 9)))
+            for i in range(40) for lag in (1, 2, 5) if (i + lag) % 4]
+    rows += [("lonely", 9, False, "x", 3, 6.0), ("lonely", 5, False, "x", 2, None)]
+    df = spark.createDataFrame([(e, lag, int(c), k, n, v) for e, lag, c, k, n, v in rows], "e string, lag bigint, completed int, kind string, n_origins bigint, s double")
+    replicates = 10
+    metric = {"m": F.col("s") / F.col("n_origins")}
+
+    def weight(event, r):
+        word = hashlib.md5(f"5|{r // 4}|{event}".encode()).hexdigest()[8 * (r % 4):8 * (r % 4) + 8]
+        return sum(int(word, 16) / 2**32 >= edge for edge in cm.POISSON_EDGES)
+
+    want = {}
+    for scope in ("all_observed", "completed_only"):
+        for kind in ("all", "kind"):
+            cells = {}
+            for e, lag, c, k, n, v in rows:
+                if c or scope == "all_observed":
+                    cells.setdefault((scope, kind, "all" if kind == "all" else k, lag), []).append((e, n, v or 0.0))
+            for at, members in cells.items():
+                ratios = []
+                for r in range(replicates):
+                    n = sum(weight(e, r) * n for e, n, _ in members)
+                    if n and len(members) > 1:
+                        ratios.append(sum(weight(e, r) * v for e, _, v in members) / n)
+                ends = (np.quantile(ratios, 0.025), np.quantile(ratios, 0.975)) if ratios else (None, None)
+                want[at] = (len(members), *ends)
+    for partial in (1 << 23, 1):
+        monkeypatch.setattr(cm, "PARTIAL", partial)
+        got = cm.bootstrap_ci(df, {"all": None, "kind": "kind"}, ["s"], metric, "e", replicates, seed=5).collect()
+        assert {(r.scope, r.group_type, r.group_label, r.lag) for r in got} == set(want)
+        for r in got:
+            n, low, high = want[r.scope, r.group_type, r.group_label, r.lag]
+            assert r.n_events == n
+            assert (r.m_low, r.m_high) == ((None, None) if low is None else (pytest.approx(low), pytest.approx(high)))
+    assert cm.bootstrap_ci(df.limit(0), {"all": None}, ["s"], metric, "e", replicates).count() == 0
