@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,24 @@ def denticity_check(denticity: DataFrame, numbers: DataFrame, limit: int = MAX_D
     )
 
 
+def denticity_text_check(rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Texts of denticities per ligand that are no JSON object of whole numbers, and denticities below one, per kind.
+
+    ``columns`` maps a kind to its text column. A blank or NULL text is an empty object; a value that is no whole
+    number makes its text a bad one. Bad texts don't add to the denticities. No rows give counts of 0.
+    """
+    counts = {}
+    for kind, column in columns.items():
+        text = F.trim(F.coalesce(F.col(column), F.lit("")))
+        values = F.map_values(F.from_json(F.when(text != "", text), "map<string,string>"))
+        whole = F.transform(values, lambda v: v.try_cast("int"))
+        bad = (text != "") & (values.isNull() | F.exists(whole, lambda v: v.isNull()))
+        low = F.when(~bad & values.isNotNull(), F.size(F.filter(whole, lambda v: v <= 0))).otherwise(0)
+        counts |= {f"bad_text_{kind}": F.sum(bad.cast("bigint")), f"nonpositive_{kind}": F.sum(low.cast("bigint"))}
+    one = rows.agg(*[F.coalesce(v, F.lit(0).cast("bigint")).alias(n) for n, v in counts.items()])
+    return check_rows(one, {n: (F.col(n) == 0, F.col(n)) for n in counts})
+
+
 def _kind_counts(denticity: DataFrame, block_of: Column) -> DataFrame:
     """Counts per (kind, block, denticity): a few hundred rows that every table below shares."""
     return denticity.groupBy(F.col("ligand_kind").alias("kind"), block_of.alias("block"), "denticity").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ionweave.operators import components as cp
 from ionweave.operators import contacts as ct
 from ionweave.operators import ligands as li
@@ -32,6 +34,21 @@ register(
  UNION ALL SELECT 'high_denticity', CAST(count(*) = 0 AS INTEGER), count(*) FROM (SELECT frame, center_id FROM lig GROUP BY 1, 2 HAVING max(denticity) > 4) UNION ALL SELECT 'rows', 1, count(*) FROM grid""",
     ["lig", "grid"], ["value"],
 )
+
+
+def _denticity_texts(s, d):
+    """Texts made of events; every fifth lacks its end and every seventh is blank."""
+    whole = F.concat(F.lit('{"'), F.col("user_id").cast("string"), F.lit('":'), (F.col("event_id") % 4).cast("string"))
+    text = F.when(F.col("event_id") % 7 == 0, " ").when(F.col("event_id") % 5 == 0, whole).otherwise(F.concat(whole, F.lit("}")))
+    return v.table(s, d, "events").select(text.alias("denticity_json"))
+
+
+register(
+    "denticity_text_check", lambda s, d: li.denticity_text_check(_denticity_texts(s, d), {"polymer": "denticity_json"}),
+    """SELECT 'bad_text_polymer' AS "check", CAST(count(*) = 0 AS INTEGER) AS passed, CAST(count(*) AS DOUBLE) AS value FROM events WHERE event_id % 5 = 0 AND event_id % 7 <> 0
+ UNION ALL SELECT 'nonpositive_polymer', CAST(count(*) = 0 AS INTEGER), count(*) FROM events WHERE event_id % 4 = 0 AND event_id % 5 <> 0 AND event_id % 7 <> 0""",
+    [], ["value"],
+)
 define("dcount", f"SELECT ligand_kind AS kind, {BLOCK} AS block, denticity, count(*) AS count FROM lig GROUP BY 1, 2, 3", "lig")
 define(
     "dblock",

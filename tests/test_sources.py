@@ -133,3 +133,13 @@ def test_tilted_box(spark):
     r = dump.parse_dump(spark.createDataFrame([(text,)], "value string")).first()
     assert (r.x, r.y, r.z, r.box_a, r.box_c, r.alpha, r.beta) == (6.5, 5.0, 5.0, 10.0, 10.0, 90.0, 90.0)
     assert abs(r.box_b - 109**0.5) < 1e-12 and abs(r.gamma - 73.30075576600639) < 1e-9
+
+
+def test_denticity_texts(spark):
+    from ionweave.operators.ligands import denticity_text_check
+
+    texts = ['{"1":2,"4":1}', "", None, "  ", "{}", '{"1":0,"2":-1}', '{"1":2', '{"1":"x"}', "[1]", "word", '{"1":1.5}', '{"1":null}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.check: (r.passed, r.value) for r in denticity_text_check(rows, {"polymer": "t"}).collect()}
+    assert got == {"bad_text_polymer": (0, 6.0), "nonpositive_polymer": (0, 2.0)}
+    assert {r.value for r in denticity_text_check(rows.limit(0), {"polymer": "t"}).collect()} == {0.0}
