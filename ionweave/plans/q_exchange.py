@@ -17,7 +17,9 @@ def shells(s, d):
 
 
 def samples(s, d):
-    return v.shared(s, d, "samples", lambda: ex.exchange_samples(shells(s, d), center_walk(s, d), LAGS, v.DT_PS, BLOCK_NS))
+    """Sixteen samples a cell are made where they are summed; only the cells are written."""
+    cells = v.shared(s, d, "exchange_cells", lambda: ex.exchange_cells(shells(s, d), center_walk(s, d), LAGS))
+    return ex.samples_of_cells(cells, LAGS, v.DT_PS, BLOCK_NS)
 
 
 define(
