@@ -14,6 +14,7 @@ from ionweave.operators.ordered import neighbours, runs
 from ionweave.session import cut
 
 UNBOUND = -1
+FINE = 1.0e9  # distances and coordinates are compared in billionths: the last bits of a sum decide no tie
 TRANSITIONS = ("attachment", "detachment", "interchain_hop", "neighbour_slide", "large_jump")
 
 
@@ -21,16 +22,18 @@ def dominant_chain(contacts: DataFrame, n_sites: int, step: int = 1) -> DataFram
     """(frame, center_id, chain, site, coordinate) of bound centers.
 
     The chain with most contacts wins; on a tie the previous frame's chain stays if it is
-    among the tied ones, else the closest on average.  The rule looks back only through
+    among the tied ones, else the closest on average (in billionths; smaller chain on a tie).  The rule looks back only through
     ties, so each tied chain has one successor in the next frame.  The chosen chains are those
     reachable from frames whose choice needs no history, and pointer doubling finds them in a
     number of rounds logarithmic in the longest run of ties.
     """
     d = F.greatest(F.col("distance"), F.lit(1.0e-8))
+    # Tied chains have equally many contacts, so whole sums compare their means, in whatever order they are added.
+    units = F.rint(F.col("distance") * FINE).cast("bigint")
     per_chain = contacts.filter(F.col("ligand_kind") == POLYMER).groupBy(
         "center_id", "frame", F.col("ligand_id").alias("chain")
     ).agg(
-        F.count(F.lit(1)).alias("__n"), F.avg("distance").alias("__d"),
+        F.count(F.lit(1)).alias("__n"), F.sum(units).alias("__d"),
         (F.sum(F.col("site_index") / (d * d)) / F.sum(1.0 / (d * d))).alias("coordinate"),
     )
     most = per_chain.groupBy("center_id", "frame").agg(F.max("__n").alias("__n"))
@@ -71,7 +74,7 @@ def dominant_chain(contacts: DataFrame, n_sites: int, step: int = 1) -> DataFram
                 *key, "chain", F.col("__f").alias("to_frame"), F.col("__c").alias("to_chain")
             )
         )
-    site = F.greatest(F.lit(1), F.least(F.lit(n_sites), F.rint("coordinate"))).cast("bigint")
+    site = F.greatest(F.lit(1), F.least(F.lit(n_sites), F.rint(F.rint(F.col("coordinate") * FINE) / FINE))).cast("bigint")
     return chosen.join(nodes, [*key, "chain"]).select("frame", "center_id", "chain", site.alias("site"), "coordinate")
 
 

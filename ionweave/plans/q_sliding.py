@@ -48,7 +48,7 @@ def _transitions(s, d):
 define(
     "tied",
     """SELECT center_id, frame, chain, coordinate, count(*) OVER (PARTITION BY center_id, frame) AS k, first_value(chain) OVER (PARTITION BY center_id, frame ORDER BY d, chain) AS dflt FROM
- (SELECT *, rank() OVER (PARTITION BY center_id, frame ORDER BY n DESC) AS rk FROM (SELECT center_id, frame, ligand_id AS chain, count(*) AS n, avg(distance) AS d, sum(site_index / (distance * distance)) / sum(1 / (distance * distance)) AS coordinate
+ (SELECT *, rank() OVER (PARTITION BY center_id, frame ORDER BY n DESC) AS rk FROM (SELECT center_id, frame, ligand_id AS chain, count(*) AS n, sum(CAST(round_even(distance * 1e9, 0) AS BIGINT)) AS d, sum(site_index / (distance * distance)) / sum(1 / (distance * distance)) AS coordinate
  FROM contacts WHERE ligand_kind = 'polymer' GROUP BY 1, 2, 3)) WHERE rk = 1""", "contacts",
 )
 define("onef", "SELECT DISTINCT center_id, frame, dflt FROM tied", "tied")
@@ -57,7 +57,7 @@ define(
     """SELECT a.center_id, a.frame, a.dflt AS chain FROM onef a LEFT JOIN onef b ON b.center_id = a.center_id AND b.frame = a.frame - 1 WHERE b.frame IS NULL
  UNION ALL SELECT o.center_id, o.frame, coalesce(t.chain, o.dflt) FROM pick p JOIN onef o ON o.center_id = p.center_id AND o.frame = p.frame + 1 LEFT JOIN tied t ON t.center_id = o.center_id AND t.frame = o.frame AND t.chain = p.chain""", "onef", "tied",
 )
-define("dom", f"SELECT frame, center_id, chain, CAST(greatest(1, least({N_SITES}, round_even(coordinate, 0))) AS BIGINT) AS site, coordinate FROM pick JOIN tied USING (center_id, frame, chain)", "pick", "tied")
+define("dom", f"SELECT frame, center_id, chain, CAST(greatest(1, least({N_SITES}, round_even(round_even(coordinate * 1e9, 0) / 1e9, 0))) AS BIGINT) AS site, coordinate FROM pick JOIN tied USING (center_id, frame, chain)", "pick", "tied")
 define("cstate", "SELECT frame, center_id, coalesce(chain, -1) AS chain, coalesce(site, -1) AS site, coordinate FROM grid LEFT JOIN dom USING (frame, center_id)", "grid", "dom")
 define(
     "smooth",
