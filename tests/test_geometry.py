@@ -154,3 +154,11 @@ def test_alpha2_of_equal_displacements(spark):
     df = spark.createDataFrame(rows, "entity_id int, frame bigint, ux double, uy double, uz double, species string")
     r = mo.msd_ngp(df, [1]).first()
     assert r.msd == 1.0 and r.n == 9 and r.alpha2 == pytest.approx(-0.4)
+
+
+def test_van_hove_bins_hold_their_lower_edge(spark):
+    # 0.1 + 0.2 a step is 0.3 and belongs to the bin from 0.3 on, as 3 * 0.1 does.
+    rows = [(e, "metal", f, x * f, 0.0, 0.0) for e, x in ((1, 0.1 + 0.2), (2, 0.3)) for f in (0, 1)]
+    df = spark.createDataFrame(rows, "entity_id bigint, species string, frame bigint, ux double, uy double, uz double")
+    got = mo.self_van_hove(df, [1]).filter("density > 0").collect()
+    assert [(round(r.r, 6), r.n_samples) for r in got] == [(0.35, 2)]
