@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ionweave.operators import components as cp
 from ionweave.operators import contacts as ct
 from ionweave.operators import sliding as sl
 from ionweave.operators import transport as tr
+from ionweave.plans import catalog, q_network, registry  # noqa: F401
 
 
 def test_components_and_ids(spark):
@@ -322,3 +324,32 @@ def test_bridge_moments_of_no_rows(spark):
     none = spark.createDataFrame([], CONTACT)
     assert ag.bridge_moments(none, [1], 7.0, 280.0, F.lit(0), F.lit(9)).count() == 0
     assert ag.bridge_counts(none).count() == 0
+
+
+def test_dominant_chain_ties_on_equal_means(spark):
+    # 0.1 + 0.2 and 0.15 + 0.15 are equal distances, though not as sums of doubles.
+    rows = [(0, 1, "polymer", 0, 3, 0.1), (0, 1, "polymer", 0, 4, 0.2), (0, 1, "polymer", 1, 3, 0.15), (0, 1, "polymer", 1, 4, 0.15)]
+    df = spark.createDataFrame(rows, "frame bigint, center_id bigint, ligand_kind string, ligand_id bigint, site_index bigint, distance double")
+    assert [r.chain for r in sl.dominant_chain(df, 50).collect()] == [0]
+
+
+def test_components_many_boxes_long_match_their_sql(spark, monkeypatch):
+    # Twelve centers on a line of ten boxes, and a ring through the boundary.
+    line = [(0, i + k, i, 18.0 * (i + k) % 20, (18.0 * i + 9) % 20) for i in range(11) for k in (0, 1)]
+    ring = [(1, i, a, 7.0 * i % 20, (7.0 * a + 3.5) % 20 if a < 2 else 17.0) for i, a in ((0, 0), (1, 0), (1, 1), (2, 1), (2, 2), (0, 2))]
+    rows = [(f, c, a, cx, 1.0, 1.0, ax, 1.0, 1.0, 20.0) for f, c, a, cx, ax in line + ring]
+    names = "frame center_id anion_id cx cy cz ax ay az box".split()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (" + ", ".join(f"{n} {'BIGINT' if i < 3 else 'DOUBLE'}" for i, n in enumerate(names)) + ")")
+    con.executemany("INSERT INTO given VALUES (" + ", ".join("?" * 10) + ")", rows)
+    for name in ("pairs", "edges"):
+        monkeypatch.setitem(registry.CTES, name, "SELECT * FROM given")
+        monkeypatch.setitem(registry.NEEDS, name, [])
+    cols = "frame, root, n_nodes, round(rg, 6), is_percolating, winding_rank, winding_axes"
+    want = con.execute(registry.with_tables(f"SELECT {cols} FROM geo ORDER BY frame", "geo")).fetchall()
+    edges = ag.image_gains(spark.createDataFrame(rows, ", ".join(f"{n} {'bigint' if i < 3 else 'double'}" for i, n in enumerate(names))))
+    labels = cp.label_centers(edges, ag.GAINS)
+    got = ag.component_geometry(edges, labels, ag.aggregate_nodes(edges, labels, q_network.MC, q_network.MA), 2)
+    got = got.withColumn("rg", F.round("rg", 6)).orderBy("frame").select("frame", "root", "n_nodes", "rg", "is_percolating", "winding_rank", "winding_axes")
+    assert [tuple(r) for r in got.collect()] == want
+    assert [(r[2], r[4], r[6]) for r in want] == [(23, 0, "none"), (6, 1, "x")]
