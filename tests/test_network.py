@@ -353,3 +353,22 @@ def test_components_many_boxes_long_match_their_sql(spark, monkeypatch):
     got = got.withColumn("rg", F.round("rg", 6)).orderBy("frame").select("frame", "root", "n_nodes", "rg", "is_percolating", "winding_rank", "winding_axes")
     assert [tuple(r) for r in got.collect()] == want
     assert [(r[2], r[4], r[6]) for r in want] == [(23, 0, "none"), (6, 1, "x")]
+
+
+def test_finished_components_leave_the_rounds(spark, monkeypatch):
+    written = []
+    for name in ("cut", "staged"):
+        keep = getattr(cp, name, None)
+        if keep is not None:
+            def counted(df, *rest, keep=keep):
+                out = keep(df, *rest)
+                written.append(out.count())
+                return out
+
+            monkeypatch.setattr(cp, name, counted)
+    path = [(c, c + d) for c in range(60) for d in (0, 1)]
+    pairs = path + [(c, c + 10) for c in range(1000, 1400)]
+    df = spark.createDataFrame([(0, c, a) for c, a in pairs], "frame bigint, center_id bigint, anion_id bigint")
+    got = {r.center_id: r.root for r in cp.label_centers(df).collect()}
+    assert got == {c: 0 if c < 60 else c for c, _ in pairs}
+    assert sum(written) < 2 * len(pairs)
