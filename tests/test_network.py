@@ -372,3 +372,18 @@ def test_finished_components_leave_the_rounds(spark, monkeypatch):
     got = {r.center_id: r.root for r in cp.label_centers(df).collect()}
     assert got == {c: 0 if c < 60 else c for c, _ in pairs}
     assert sum(written) < 2 * len(pairs)
+
+
+def test_chain_bridges_copy_a_site_to_few_stretches(spark):
+    rng = random.Random(3)
+    rows = sorted({(0, rng.randrange(12), "polymer", 1, rng.randrange(-40, 60)) for _ in range(150)})
+    df = spark.createDataFrame([(*r, 2.0) for r in rows], "frame bigint, center_id bigint, ligand_kind string, ligand_id bigint, site_index bigint, distance double")
+    best = {}
+    for a in rows:
+        for b in rows:
+            if a[1] < b[1] and abs(a[4] - b[4]) <= 4:
+                best[a[1], b[1]] = min(best.get((a[1], b[1]), 99), abs(a[4] - b[4]))
+    bridges = ct.chain_bridges(df)
+    assert {(r.center_a, r.center_b): r.separation for r in bridges.collect()} == best
+    # Every site was copied to each site of its band.
+    assert "sequence((site_index" not in bridges._jdf.queryExecution().optimizedPlan().toString()
