@@ -143,3 +143,14 @@ def test_denticity_texts(spark):
     got = {r.check: (r.passed, r.value) for r in denticity_text_check(rows, {"polymer": "t"}).collect()}
     assert got == {"bad_text_polymer": (0, 6.0), "nonpositive_polymer": (0, 2.0)}
     assert {r.value for r in denticity_text_check(rows.limit(0), {"polymer": "t"}).collect()} == {0.0}
+
+
+def test_contacts_from_master_reads_each_row_once(spark):
+    rows = [(0, 1, '{"7":[1,2],"x":[4]}', '{"3":2,"4":0}'), (0, 2, None, '{"5":1}'), (1, 2, "{}", None), (1, 3, '{"8":2}', "nan")]
+    master = spark.createDataFrame(rows, "frame bigint, center_id bigint, chain_sites string, anion_counts string")
+    contacts = tables.contacts_from_master(master)
+    assert sorted(tuple(r) for r in contacts.collect()) == [
+        (0, 1, "anion", 3, 1), (0, 1, "anion", 3, 2), (0, 1, "polymer", 7, 1), (0, 1, "polymer", 7, 2), (0, 2, "anion", 5, 1),
+        (1, 3, "polymer", 8, 0), (1, 3, "polymer", 8, 1),
+    ]
+    assert "Union" not in contacts._jdf.queryExecution().optimizedPlan().toString()
