@@ -124,6 +124,23 @@ def test_contact_join_in_any_box_matches_all_images(spark, box, cutoff):
     assert np.allclose([r.distance for r in rows], [want[r.center_id, r.site_id] for r in rows])
 
 
+def test_contact_join_meets_a_site_once_in_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(ct, "PART", 16)
+    rng = np.random.default_rng(8)
+    box, cutoff = (20.0, 22.0, 18.0, 80.0, 95.0, 70.0), 9.0
+    m = matrix(box)
+    c, s = rng.uniform(0, 1, (12, 3)) @ m, rng.uniform(0, 1, (90, 3)) @ m
+    cdf = spark.createDataFrame([(0, i, *map(float, r), *box) for i, r in enumerate(c)], f"frame bigint, center_id int, x double, y double, z double, {SIX}")
+    sdf = spark.createDataFrame([(0, i, *map(float, r), *box) for i, r in enumerate(s)], f"frame bigint, site_id int, x double, y double, z double, {SIX}")
+    shifts = np.array([(i, j, k) for i in range(-3, 4) for j in range(-3, 4) for k in range(-3, 4)]) @ m
+    dist = np.sqrt(((s[None, :, None] - c[:, None, None] + shifts) ** 2).sum(-1)).min(-1)
+    got = ct.contact_join_cell(cdf, sdf, cutoff).collect()
+    assert {(r.center_id, r.site_id): round(r.distance, 9) for r in got} == {(i, j): round(float(dist[i, j]), 9) for i, j in zip(*np.where(dist <= cutoff))}
+    assert len(got) == (dist <= cutoff).sum()
+    # Beyond every distance all rows that meet stay: each center and site once.
+    assert ct.contact_join_cell(cdf, sdf, 40.0).count() == 12 * 90
+
+
 def test_missing_angle_is_an_error(spark):
     rows = spark.createDataFrame([(0, 1, 1.0, 1.0, 1.0, 9.0, 9.0, 9.0, 90.0, None, 90.0)], f"frame bigint, center_id int, x double, y double, z double, {SIX}")
     with pytest.raises(Exception, match="box number missing"):
