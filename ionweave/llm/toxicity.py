@@ -5,7 +5,8 @@ and their beginnings of 4 to 6 bytes, all of them: every term of an example has
 frequency counted over all documents, every other term shares that of its hash bucket, so that vectors
 and norms cover whole texts. Terms whose presence goes with the label in the sample weigh more than the
 others. Examples are indexed by term in blocks with the largest weight of each block; a document
-visits the blocks whose bounds reach its nearest examples so far, so its neighbours are exact.
+visits the blocks whose bounds reach its nearest examples so far, so its neighbours are exact. Terms that
+many examples hold stand as full rows of weights, which cost less to add than their postings and are added first.
 Votes are weighted by cosine and by how much of its class an example stands for, and calibrated on
 the examples themselves, each without its own vote.
 """
@@ -27,8 +28,8 @@ from ionweave.session import staged
 EXAMPLES, POSTINGS = 1000, 1 << 22
 NEIGHBOURS = 15
 BLOCK = 64
-#: Blocks visited before the others are tested against the nearest examples found there.
-FIRST = 6
+#: Terms that at least one example of so many holds are full rows; these take at most so many times the room of their postings.
+OFTEN = 12
 #: Weight of a term that doesn't go with the label, beside 1.
 PLAIN = 0.1
 #: Hash buckets that hold the document frequencies of terms no example has.
@@ -118,7 +119,8 @@ class Index:
     """The labelled examples by term and block, and the two numbers of the calibration.
 
     ``runs[t] .. runs[t + 1]`` are the runs of term t, one for each block of examples that holds it, with
-    its block and largest value; ``posts[r] .. posts[r + 1]`` are the postings of run r.
+    its block and largest value; ``posts[r] .. posts[r + 1]`` are the postings of run r. A term of many
+    examples has no runs: ``full[row[t]]`` are its values in all examples (``row`` is -1 for the others).
     """
 
     lookup: Lookup
@@ -132,6 +134,8 @@ class Index:
     posts: np.ndarray
     examples: np.ndarray
     values: np.ndarray
+    row: np.ndarray
+    full: np.ndarray
     prior: float
     slope: float = 1.0
     shift: float = 0.0
@@ -144,26 +148,29 @@ class Index:
         """(example numbers, cosines) of the nearest examples with a common term, ties to the smaller number."""
         known = terms < len(self.runs) - 1
         terms, vector = terms[known], vector[known]
+        often = self.row[terms] >= 0
+        part = vector[often] @ self.full[self.row[terms[often]]]
+        if without >= 0:
+            part[without] = 0
+        # Postings only add to these sums, so that the nearest examples have at least this.
+        least = np.partition(part, -NEIGHBOURS)[-NEIGHBOURS] if len(part) > NEIGHBOURS else 0.0
+        terms, vector = terms[~often], vector[~often]
         run, n = _ranges(self.runs[terms], self.runs[terms + 1])
         weight, block = np.repeat(vector, n), self.run_block[run]
         bounds = np.bincount(block, weight * self.run_max[run], minlength=-(-len(self.ids) // BLOCK))
-        held_i, held_c, least = np.empty(0, np.int64), np.empty(0), 0.0
-        order = np.argsort(-bounds, kind="stable")
-        for part in (order[:FIRST], order[FIRST:]):
-            visit = np.zeros(len(bounds), dtype=bool)
-            visit[part] = (bounds[part] > 0) & (bounds[part] * (1 + 1e-6) >= least)
+        if len(part):
+            bounds = bounds + np.maximum.reduceat(part, np.arange(0, len(part), BLOCK))
+        visit = (bounds > 0) & (bounds * (1 + 1e-6) >= least)
+        if not visit.all():
             own = visit[block]
-            post, n = _ranges(self.posts[run[own]], self.posts[run[own] + 1])
-            sums = np.bincount(self.examples[post], np.repeat(weight[own], n) * self.values[post], minlength=len(self.ids))
-            if without >= 0:
-                sums[without] = 0
-            i = np.flatnonzero((sums > 0) & (sums >= least))
-            i, c = np.append(held_i, i), np.append(held_c, sums[i])
-            best = np.lexsort((i, -c))[:NEIGHBOURS]
-            held_i, held_c = i[best], c[best]
-            if len(best) == NEIGHBOURS:
-                least = held_c[-1]
-        return held_i, held_c
+            run, weight = run[own], weight[own]
+        post, n = _ranges(self.posts[run], self.posts[run + 1])
+        sums = part + np.bincount(self.examples[post], np.repeat(weight, n) * self.values[post], minlength=len(self.ids))
+        if without >= 0:
+            sums[without] = 0
+        i = np.flatnonzero((sums > 0) & (sums >= least) & np.repeat(visit, BLOCK)[: len(sums)])
+        best = np.lexsort((i, -sums[i]))[:NEIGHBOURS]
+        return i[best], sums[i[best]]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Log odds of the cosine-weighted votes, with the prior as one weak vote."""
@@ -320,17 +327,26 @@ def _postings(lookup: Lookup, idf: np.ndarray, filled: list, known: int, weight:
     """The block-max inverted index of examples (doc_id, toxic, terms, counts), numbered in their order."""
     ids, toxic = np.array([r[0] for r in filled], np.int64), np.array([r[1] for r in filled], np.int64)
     none = np.empty(0, np.int64)
-    index = Index(lookup, idf, ids, toxic, weight, np.zeros(known + 1, np.int64), none, none, np.zeros(1, np.int64), none, none, prior)
+    index = Index(
+        lookup, idf, ids, toxic, weight, np.zeros(known + 1, np.int64), none, none, np.zeros(1, np.int64), none, none,
+        np.full(known, -1), np.empty((0, len(ids))), prior,
+    )
     if not filled:
         return index
     terms = np.concatenate([r[2] for r in filled])
     examples = np.repeat(np.arange(len(filled)), [len(r[2]) for r in filled])
     values = np.concatenate([index.vector(r[2], r[3]) for r in filled])
+    often = np.flatnonzero(np.bincount(terms, minlength=known) * OFTEN >= len(filled))
+    index.row[often] = np.arange(len(often))
+    index.full = np.zeros((len(often), len(filled)))
+    here = index.row[terms] >= 0
+    index.full[index.row[terms[here]], examples[here]] = values[here]
+    terms, examples, values = terms[~here], examples[~here], values[~here]
     order = np.lexsort((examples, terms))
     terms, index.examples, index.values = terms[order], examples[order], values[order]
     block = index.examples // BLOCK
     starts = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-    index.run_block, index.run_max = block[starts], np.maximum.reduceat(index.values, starts)
+    index.run_block, index.run_max = block[starts], np.maximum.reduceat(index.values, starts) if len(starts) else none
     index.posts = np.append(starts, len(terms))
     index.runs = np.searchsorted(terms[starts], np.arange(known + 1))
     return index

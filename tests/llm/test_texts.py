@@ -279,6 +279,19 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(frame(spark, []), labels).count() == 0
 
 
+def test_frequent_terms_add_as_rows_what_their_postings_would(spark, monkeypatch):
+    rows, marks = labelled()
+    docs, labels = frame(spark, rows), prepared(spark).createDataFrame(marks, "doc_id bigint, quality int, toxic int, text string")
+    index = toxicity.build_index(docs, labels)
+    monkeypatch.setattr(toxicity, "OFTEN", 0)
+    plain = toxicity.build_index(docs, labels)
+    assert len(index.full) and not len(plain.full) and len(plain.examples) == len(index.examples) + (index.full > 0).sum()
+    for r in rows[:60]:
+        _, terms, n = index.lookup.counts([r[1].encode()])
+        (_, one), (_, two) = index.nearest(terms, index.vector(terms, n)), plain.nearest(terms, plain.vector(terms, n))
+        assert np.allclose(one, two, rtol=0, atol=1e-12)
+
+
 def every_term(text):
     return Counter(toxicity.term_hashes([text.encode()])[1].tolist())
 
