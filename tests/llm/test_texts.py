@@ -12,7 +12,7 @@ from helpers import frame, sample, tokens, words
 from pyspark.sql import functions as F
 
 from ionweave.llm import fingerprints, graph, licenses, neardup, topk, toxicity
-from ionweave.llm.common import prepared
+from ionweave.llm.common import possible, prepared
 from ionweave.llm.shingles import shingle_set, word_hashes
 
 
@@ -93,6 +93,35 @@ def test_near_duplicates_among_many_that_look_as_near(spark, monkeypatch):
     check_groups(spark, rows)
 
 
+def test_near_copies_that_are_joined_are_not_compared(spark, monkeypatch):
+    rng = random.Random(9)
+    base, rows, compared = words(rng, 150).split(), [], []
+    for i in range(200):
+        copy = list(base)
+        copy[rng.randrange(150)] = words(rng, 1)
+        rows.append((i, " ".join(copy), "s", "en", 1, 1, None, 1))
+
+    def counting(sets, pairs, percent, confirmed=neardup.confirmed):
+        compared.append(pairs.count())
+        return confirmed(sets, pairs, percent)
+
+    # One neighbour in two trees would leave nothing of so small a group to the next pass.
+    monkeypatch.setattr(neardup, "confirmed", counting)
+    monkeypatch.setattr(neardup, "FIRST_PASS", (1, 1))
+    check_groups(spark, rows)
+    assert sum(compared) < 4 * len(rows)
+
+
+def test_possible_keeps_all_keys_and_few_others(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("text"))
+    keys = spark.range(7, 20_000, 13).select(F.col("id").alias("k"))
+    held = {r.k for r in possible(rows, keys, "k").collect()}
+    wanted = set(range(7, 20_000, 13))
+    assert wanted <= held and len(held) < len(wanted) + 20
+    left = [r.k for r in possible(rows, keys, "k", "left_anti").collect()]
+    assert len(left) + len(held) == 20_000 and None in left and not wanted & set(left)
+
+
 def test_word_hashes_do_not_depend_on_the_batch(monkeypatch):
     texts = [(t or "").encode() for _, t, *_ in sample()]
     whole = [shingle_set(w).tolist() for w in word_hashes(texts)]
