@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import frame, sample, tokens, words
 from pyspark.sql import functions as F
 
@@ -122,6 +123,11 @@ def test_possible_keeps_all_keys_and_few_others(spark):
     assert len(left) + len(held) == 20_000 and None in left and not wanted & set(left)
 
 
+def test_batches_of_texts_are_small(spark):
+    sizes = prepared(spark).range(9000, numPartitions=1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows])}) for b in bs), "n long")
+    assert max(r.n for r in sizes.collect()) <= 2000
+
+
 def test_word_hashes_do_not_depend_on_the_batch(monkeypatch):
     texts = [(t or "").encode() for _, t, *_ in sample()]
     whole = [shingle_set(w).tolist() for w in word_hashes(texts)]
