@@ -387,3 +387,27 @@ def test_chain_bridges_copy_a_site_to_few_stretches(spark):
     assert {(r.center_a, r.center_b): r.separation for r in bridges.collect()} == best
     # Every site was copied to each site of its band.
     assert "sequence((site_index" not in bridges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_shorter_than_the_smallest_lag_meet_no_nodes(spark, monkeypatch):
+    # Event A lasts three frames, B two, every C one; P percolates.
+    spans = {"A": (0, 3), "B": (5, 7), "P": (0, 3)} | {f"C{i}": (i, i + 1) for i in range(20)}
+    rows = [(f, root, name, 1.0 + f, 2.0, 3.0, 20.0, 1.0 + f) for root, (name, (a, b)) in enumerate(spans.items()) for f in range(a, b)]
+    nodes = [(r[0], r[1], "center", r[1] * 10 + k, 2.0, r[3] + k * r[0], r[4], r[5]) for r in rows for k in (0, 1)]
+    events = [(name, int(name == "P"), a, b - 1) for name, (a, b) in spans.items()]
+    given = []
+
+    def counting(df, *args, lag_pairs=ag.lag_pairs, **more):
+        given.append(df.select("instance_id").distinct().count())
+        return lag_pairs(df, *args, **more)
+
+    monkeypatch.setattr(ag, "lag_pairs", counting)
+    got = ag.aggregate_lag_sums(
+        spark.createDataFrame(rows, "frame bigint, root bigint, instance_id string, com_x double, com_y double, com_z double, box double, rg double"),
+        spark.createDataFrame(events, "instance_id string, is_percolating int, start_frame bigint, end_frame bigint"),
+        spark.createDataFrame(nodes, "frame bigint, root bigint, kind string, node_id bigint, mass double, x double, y double, z double"), [1, 2],
+    ).collect()
+    # One node of two stands still beside the center of mass, the other moves by one length a frame.
+    want = [("A", 1, 2, 2.0, 2.0, 1.0, 2), ("A", 2, 1, 4.0, 4.0, 2.0, 1), ("B", 1, 1, 1.0, 1.0, 0.5, 1)]
+    assert sorted(tuple(r) for r in got) == want
+    assert given == [2, 2]
