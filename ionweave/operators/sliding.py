@@ -2,64 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ionweave.functions.states import safe_ratio
 from ionweave.operators.blocks import proportional_block
 from ionweave.operators.comotion import _moves, body_pairs, support_flag
-from ionweave.operators.contacts import POLYMER
+from ionweave.operators.contacts import ANION, POLYMER
 from ionweave.operators.mobility import unwrap_bodies
-from ionweave.operators.ordered import neighbours, runs
-from ionweave.session import cut
+from ionweave.operators.ordered import _CHUNK, CHUNK, _chunked, _dealt, _with_ghosts, neighbours, runs
+from ionweave.session import cut, staged
 
 UNBOUND = -1
 FINE = 1.0e9  # distances and coordinates are compared in billionths: the last bits of a sum decide no tie
 TRANSITIONS = ("attachment", "detachment", "interchain_hop", "neighbour_slide", "large_jump")
 
 
-def dominant_chain(contacts: DataFrame, n_sites: int, step: int = 1) -> DataFrame:
-    """(frame, center_id, chain, site, coordinate) of bound centers.
+def _settled(step: int, chunk: int, columns: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Choice of each cell from rows in order of (center, chunk, frame), the default first.
 
-    The chain with most contacts wins; on a tie the previous frame's chain stays if it is
-    among the tied ones, else the closest on average (in billionths; smaller chain on a tie).  The rule looks back only through
-    ties, so each tied chain has one successor in the next frame.  The chosen chains are those
-    reachable from frames whose choice needs no history, and pointer doubling finds them in a
-    number of rounds logarithmic in the longest run of ties.
+    A cell looks at the one before it in its chunk; cells whose choice hangs on the chunk before stay open, with all their rows.
     """
-    d = F.greatest(F.col("distance"), F.lit(1.0e-8))
-    # Tied chains have equally many contacts, so whole sums compare their means, in whatever order they are added.
-    units = F.rint(F.col("distance") * FINE).cast("bigint")
-    per_chain = contacts.filter(F.col("ligand_kind") == POLYMER).groupBy(
-        "center_id", "frame", F.col("ligand_id").alias("chain")
-    ).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(units).alias("__d"),
-        (F.sum(F.col("site_index") / (d * d)) / F.sum(1.0 / (d * d))).alias("coordinate"),
-    )
-    most = per_chain.groupBy("center_id", "frame").agg(F.max("__n").alias("__n"))
-    tied = per_chain.join(most, ["center_id", "frame", "__n"])
-    per_frame = tied.groupBy("center_id", "frame").agg(
-        F.min_by("chain", F.struct("__d", "chain")).alias("default"), F.count(F.lit(1)).alias("__k")
-    )
-    nodes = cut(
-        tied.join(per_frame, ["center_id", "frame"]).select("center_id", "frame", "chain", "coordinate", "default", "__k")
-    )
+
+    def choose(rows: pa.Table, past: tuple) -> tuple[pa.Table, tuple]:
+        center, part, frame, chain = (rows.column(c).to_numpy() for c in ("center_id", _CHUNK, "frame", "chain"))
+        new = np.ones(len(chain), bool)
+        new[1:] = (center[1:] != center[:-1]) | (part[1:] != part[:-1]) | (frame[1:] != frame[:-1])
+        start = np.flatnonzero(new)
+        many = np.diff(start, append=len(chain))
+        center, part, frame = center[start], part[start], frame[start]
+        same, linked = np.zeros(len(start), bool), np.zeros(len(start), bool)
+        same[1:] = (center[1:] == center[:-1]) & (part[1:] == part[:-1])
+        linked[1:] = same[1:] & (frame[1:] - frame[:-1] == step)
+        if past and past[:2] == (center[0], part[0]):
+            same[0], linked[0] = True, frame[0] - past[2] == step
+        unknown = (many > 1) & ~same & ((frame - step + chunk // 2) // chunk != part)
+        pick = start.copy()
+        for i in np.flatnonzero((many > 1) & linked):
+            # Of the cell before: its chain, or that it is open.
+            was, hangs = (chain[pick[i - 1]], unknown[i - 1]) if i else past[3:]
+            unknown[i] = hangs
+            tied = np.flatnonzero(chain[start[i] : start[i] + many[i]] == was)
+            if len(tied) and not hangs:
+                pick[i] = start[i] + tied[0]
+        kept = np.repeat(unknown, many)
+        opened = kept.copy()
+        kept[pick] = True
+        out = rows.append_column("__open", pa.array(opened)).append_column("__default", pa.array(new)).filter(pa.array(kept))
+        return out.select([*columns, "__open", "__default"]), (center[-1], part[-1], frame[-1], chain[pick[-1]], unknown[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, past = None, ()
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows]).combine_chunks()
+            # The last cell may go on in the next batch.
+            center, part, frame = (rows.column(c).to_numpy() for c in ("center_id", _CHUNK, "frame"))
+            other = np.flatnonzero((center != center[-1:]) | (part != part[-1:]) | (frame != frame[-1:]))
+            whole = int(other[-1]) + 1 if len(other) else 0
+            held = rows.slice(whole)
+            if whole:
+                out, past = choose(rows.slice(0, whole), past)
+                yield from out.combine_chunks().to_batches()
+        if held is not None and held.num_rows:
+            yield from choose(held, past)[0].combine_chunks().to_batches()
+
+    return run
+
+
+def _resolved(rows: DataFrame, step: int) -> DataFrame:
+    """Choice of the open cells: pointer doubling from the settled cells before them, or from none, along their chains."""
     key = ["center_id", "frame"]
-    after = nodes.select("center_id", (F.col("frame") - step).alias("frame"), F.col("default").alias("__nd")).distinct()
+    nodes = cut(rows.filter("__open").select(*key, "chain", "__default"))
+    at = nodes.select(*key).distinct()
+    earlier = at.select("center_id", (F.col("frame") - step).alias("frame"))
+    settled = cut(rows.filter("not __open").join(earlier, key, "left_semi").select(*key, "chain"))
+    after = nodes.filter("__default").select("center_id", (F.col("frame") - step).alias("frame"), F.col("chain").alias("__nd"))
     same = nodes.select("center_id", (F.col("frame") - step).alias("frame"), "chain", F.lit(1).alias("__same"))
-    jump = nodes.select(*key, "chain").join(after, key).join(same, [*key, "chain"], "left").select(
-        *key, "chain", (F.col("frame") + step).alias("to_frame"),
-        F.when(F.col("__same") == 1, F.col("chain")).otherwise(F.col("__nd")).alias("to_chain"),
+    origins = nodes.select(*key, "chain").unionByName(settled)
+    jump = cut(
+        origins.join(after, key).join(same, [*key, "chain"], "left").select(
+            *key, "chain", (F.col("frame") + step).alias("to_frame"),
+            F.when(F.col("__same") == 1, F.col("chain")).otherwise(F.col("__nd")).alias("to_chain"),
+        )
     )
-    before = nodes.select("center_id", (F.col("frame") + step).alias("frame")).distinct().withColumn("__p", F.lit(1))
-    # No history needed: a single candidate, or nothing bound in the frame before.
-    sure = nodes.join(before, key, "left").filter(
-        (F.col("__k") == 1) | (F.col("__p").isNull() & (F.col("chain") == F.col("default")))
-    ).select(*key, "chain")
-    chosen = cut(sure)
-    open_frames = cut(per_frame.select(*key).join(chosen.select(*key), key, "left_anti"))
-    # Only steps that end in an undecided frame matter.
-    jump = cut(jump.join(open_frames.select("center_id", F.col("frame").alias("to_frame")), ["center_id", "to_frame"], "left_semi"))
+    before = origins.select("center_id", (F.col("frame") + step).alias("frame")).distinct()
+    # Nothing bound in the frame before: no history needed.
+    chosen = cut(settled.unionByName(nodes.filter("__default").join(before, key, "left_anti").select(*key, "chain")))
     while jump.limit(1).count() > 0:
         found = chosen.join(jump, [*key, "chain"]).select(
             "center_id", F.col("to_frame").alias("frame"), F.col("to_chain").alias("chain")
@@ -74,8 +109,43 @@ def dominant_chain(contacts: DataFrame, n_sites: int, step: int = 1) -> DataFram
                 *key, "chain", F.col("__f").alias("to_frame"), F.col("__c").alias("to_chain")
             )
         )
+    return chosen.join(at, key, "left_semi")
+
+
+def dominant_chain(contacts: DataFrame, n_sites: int, step: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """(frame, center_id, chain, site, coordinate) of bound centers.
+
+    The chain with most contacts wins; on a tie the previous frame's chain stays if it is
+    among the tied ones, else the closest on average (in billionths; smaller chain on a tie).  Contacts are exchanged
+    once, by center and chunk of frames, and a chunk is settled in the order of its frames.  The rule looks back only through
+    ties, so only ties that open a chunk hang on the chunk before; pointer doubling settles those, in a
+    number of rounds logarithmic in the longest run of them.
+    """
+    d = F.greatest(F.col("distance"), F.lit(1.0e-8))
+    # Tied chains have equally many contacts, so whole sums compare their means, in whatever order they are added.
+    units = F.rint(F.col("distance") * FINE).cast("bigint")
+    bound = contacts.filter(F.col("ligand_kind") == POLYMER).select(
+        "center_id", "frame", F.col("ligand_id").alias("chain"), "site_index", "distance"
+    )
+    cell = ["center_id", _CHUNK, "frame"]
+    # No chunk begins at frame 0, where every center would be open.
+    part = F.floor((F.col("frame") + chunk // 2) / F.lit(chunk)).cast("long")
+    per_chain = bound.withColumn(_CHUNK, part).repartition("center_id", _CHUNK).groupBy(*cell, "chain").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(units).alias("__d"),
+        (F.sum(F.col("site_index") / (d * d)) / F.sum(1.0 / (d * d))).alias("coordinate"),
+    )
+    order = [F.col("__n").desc(), F.col("__d"), F.col("chain")]
+    most = F.first("__n").over(Window.partitionBy(*cell).orderBy(*order))
+    tied = per_chain.withColumn("__most", most).filter("__n = __most").sortWithinPartitions(*cell, *order).select(*cell, "chain", "coordinate")
+    kept = ["frame", "center_id", "chain", "coordinate"]
+    flags = [StructField(c, BooleanType()) for c in ("__open", "__default")]
+    rows = staged(tied.mapInArrow(_settled(step, chunk, kept), StructType([*tied.select(*kept).schema.fields, *flags])), "tied")
+    chosen = rows.filter("not __open")
+    if not rows.filter("__open").isEmpty():
+        found = _resolved(rows, step)
+        chosen = chosen.unionByName(rows.filter("__open").join(found, ["center_id", "frame", "chain"], "left_semi"))
     site = F.greatest(F.lit(1), F.least(F.lit(n_sites), F.rint(F.rint(F.col("coordinate") * FINE) / FINE))).cast("bigint")
-    return chosen.join(nodes, [*key, "chain"]).select("frame", "center_id", "chain", site.alias("site"), "coordinate")
+    return chosen.select("frame", "center_id", "chain", site.alias("site"), "coordinate")
 
 
 def chain_states(chosen: DataFrame, grid: DataFrame) -> DataFrame:
@@ -86,9 +156,8 @@ def chain_states(chosen: DataFrame, grid: DataFrame) -> DataFrame:
     )
 
 
-def smooth_states(states: DataFrame, step: int = 1) -> DataFrame:
-    """Three-frame filter: agreeing neighbours overrule the middle; site = median of matching sites."""
-    near = neighbours(states, ["center_id"], "frame", {"__l": -step, "__r": step}, ["chain", "site"])
+def _smoothed(near: DataFrame) -> DataFrame:
+    """``smooth_chain`` and ``smooth_site`` of rows that hold the states before and after as ``__l`` and ``__r``."""
     left, right = (F.coalesce(F.col(f"{s}.chain"), F.col("chain")) for s in ("__l", "__r"))
     ls, rs = (F.coalesce(F.col(f"{s}.site"), F.col("site")) for s in ("__l", "__r"))
     smooth = F.when(left == right, left).otherwise(F.col("chain"))
@@ -105,24 +174,100 @@ def smooth_states(states: DataFrame, step: int = 1) -> DataFrame:
     )
 
 
-def dwell_events(smoothed: DataFrame, flags: DataFrame, first: Column, last: Column, dt_ps: float, step: int = 1) -> DataFrame:
-    """Runs of one (chain, site), unbound runs included.
+def smooth_states(states: DataFrame, step: int = 1) -> DataFrame:
+    """Three-frame filter: agreeing neighbours overrule the middle; site = median of matching sites."""
+    return _smoothed(neighbours(states, ["center_id"], "frame", {"__l": -step, "__r": step}, ["chain", "site"]))
+
+
+def smooth_chosen(chosen: DataFrame, grid: DataFrame, step: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """``smooth_states`` of ``chain_states``: choices and grid meet and see their neighbours in one exchange."""
+    none = F.lit(UNBOUND).cast("bigint")
+    named = ["frame", "center_id", "chain", "site", "coordinate", "__cell"]
+    empty = [F.lit(None).cast(chosen.schema[c].dataType).alias(c) for c in ("chain", "site", "coordinate")]
+    rows = grid.select("frame", "center_id", *empty, F.lit(True).alias("__cell")).unionByName(chosen.withColumn("__cell", F.lit(False)).select(named))
+    dealt = _dealt(_with_ghosts(rows, ["center_id"], "frame", step, step, chunk), ["center_id"])
+    cells = dealt.groupBy("center_id", _CHUNK, "frame").agg(
+        F.coalesce(F.max("chain"), none).alias("chain"), F.coalesce(F.max("site"), none).alias("site"),
+        F.max("coordinate").alias("coordinate"), F.bool_or("__cell").alias("__cell"),
+    ).filter("__cell")
+    w = Window.partitionBy("center_id", _CHUNK).orderBy("frame")
+    near = cells.withColumn("__at", F.struct("chain", "site")).withColumns(
+        {n: F.first("__at").over(w.rangeBetween(o, o)) for n, o in (("__l", -step), ("__r", step))}
+    )
+    return _smoothed(near.filter(F.floor(F.col("frame") / F.lit(chunk)) == F.col(_CHUNK)))
+
 
-    ``flags``: frame, center_id, anion_present, multichain, n_site, n_chain.
+def dwell_cells(smoothed: DataFrame, contacts: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Smoothed states with the coordination numbers of their cell; both are exchanged once, by center and chunk of frames.
+
+    Gives ``center_id, __chunk, frame, chain, site, n_site, n_chain, n_anion`` and leaves rows where they were dealt.
+    """
+    polymer, anion = F.col("ligand_kind") == POLYMER, F.col("ligand_kind") == ANION
+    state = smoothed.select(
+        "center_id", "frame", F.col("smooth_chain").alias("chain"), F.col("smooth_site").alias("site"),
+        F.lit(None).cast("boolean").alias("__polymer"), F.lit(None).cast("bigint").alias("__ligand"),
+    )
+    none = F.lit(None).cast("bigint")
+    bound = contacts.filter(polymer | anion).select(
+        "center_id", "frame", none.alias("chain"), none.alias("site"), polymer.alias("__polymer"), F.col("ligand_id").alias("__ligand")
+    )
+    cell = ["center_id", _CHUNK, "frame"]
+    dealt = _chunked(state.unionByName(bound), ["center_id"], "frame", chunk)
+    one = F.max("chain").alias("chain"), F.max("site").alias("site")
+    ligands = dealt.groupBy(*cell, "__polymer", "__ligand").agg(*one, F.count(F.lit(1)).alias("__n"))
+    return ligands.groupBy(*cell).agg(
+        *one, F.coalesce(F.sum(F.when(F.col("__polymer"), F.col("__n"))), F.lit(0)).alias("n_site"),
+        F.count(F.when(F.col("__polymer"), 1)).alias("n_chain"), F.count(F.when(~F.col("__polymer"), 1)).alias("n_anion"),
+    ).filter("chain IS NOT NULL")
+
+
+def dwell_events(
+    smoothed: DataFrame, contacts: DataFrame, first: Column, last: Column, dt_ps: float, step: int = 1, chunk: int = CHUNK
+) -> DataFrame:
+    """Runs of one (chain, site), unbound runs included, with the contacts met in them.
+
+    Runs are summed where the rows were dealt and written as pieces; those at the edges of a chunk, two at most, are then put together.
     """
-    rows = smoothed.join(flags, ["frame", "center_id"])
-    numbered = runs(rows, ["center_id"], "frame", step=step, value=["smooth_chain", "smooth_site"])
-    n = F.count(F.lit(1))
-    return numbered.groupBy(
-        "center_id", F.col("run").alias("event"), F.col("smooth_chain").alias("chain"), F.col("smooth_site").alias("site")
-    ).agg(
-        F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), n.alias("n_frames"),
-        (n * F.lit(float(dt_ps))).alias("duration_ps"),
-        (F.min("frame") == first).cast("int").alias("left_censored"), (F.max("frame") == last).cast("int").alias("right_censored"),
-        F.max("anion_present").alias("anion_any"), F.avg("anion_present").alias("anion_fraction"),
-        F.max("multichain").alias("multichain_any"), F.avg("multichain").alias("multichain_fraction"),
-        F.avg("n_site").alias("mean_sites"), F.avg("n_chain").alias("mean_chains"),
-    ).withColumn("is_bound", (F.col("chain") >= 0).cast("int"))
+    w = Window.partitionBy("center_id", _CHUNK).orderBy("frame")
+    before = F.lag(F.struct("frame", "chain", "site")).over(w)
+    goes_on = lambda a, frame, b: (frame - a <= step) & (b["chain"] == F.col("chain")) & (b["site"] == F.col("site"))
+    cells = dwell_cells(smoothed, contacts, chunk).withColumn("__b", before)
+    new = F.when(goes_on(F.col("__b.frame"), F.col("frame"), F.col("__b")), 0).otherwise(1)
+    run = F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    anion, multi = (F.col("n_anion") > 0).cast("int"), (F.col("n_chain") >= 2).cast("int")
+    pieces = cells.withColumn("__run", run).groupBy("center_id", _CHUNK, "__run", "chain", "site").agg(
+        F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count(F.lit(1)).alias("n_frames"),
+        F.sum(anion).alias("__anion"), F.sum(multi).alias("__multi"), F.sum("n_site").alias("__sites"), F.sum("n_chain").alias("__chains"),
+    )
+    pieces = staged(pieces, "dwell_pieces")
+    # One row per chunk: how many runs are before it, and whether its first one goes on from them.
+    at = lambda best, edge: best(F.struct(F.col(edge).alias("frame"), "chain", "site"), "__run")
+    chunks = pieces.groupBy("center_id", _CHUNK).agg(
+        F.max("__run").alias("__n"), at(F.min_by, "start_frame").alias("__head"), at(F.max_by, "end_frame").alias("__tail")
+    )
+    wk = Window.partitionBy("center_id").orderBy(_CHUNK)
+    chunks = chunks.withColumn("__b", F.lag("__tail").over(wk)).select("*", "__head.chain", "__head.site")
+    linked = F.when(goes_on(F.col("__b.frame"), F.col("__head.frame"), F.col("__b")), 1).otherwise(0)
+    past = F.coalesce(F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = chunks.withColumn("__linked", linked).select(
+        "center_id", _CHUNK, (past - F.sum("__linked").over(wk.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("__past"), "__n"
+    )
+    numbered = pieces.join(chunks, ["center_id", _CHUNK]).withColumn("event", (F.col("__past") + F.col("__run")).cast("bigint"))
+    key, sums = ["center_id", "event", "chain", "site"], ["n_frames", "__anion", "__multi", "__sites", "__chains"]
+    inside = (F.col("__run") > 1) & (F.col("__run") < F.col("__n"))
+    whole = numbered.filter(inside).select(*key, "start_frame", "end_frame", *sums)
+    put = numbered.filter(~inside).groupBy(*key).agg(
+        F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), *[F.sum(c).alias(c) for c in sums]
+    )
+    n = F.col("n_frames")
+    return whole.unionByName(put).select(
+        *key, "start_frame", "end_frame", "n_frames", (n * F.lit(float(dt_ps))).alias("duration_ps"),
+        (F.col("start_frame") == first).cast("int").alias("left_censored"), (F.col("end_frame") == last).cast("int").alias("right_censored"),
+        (F.col("__anion") > 0).cast("int").alias("anion_any"), (F.col("__anion") / n).alias("anion_fraction"),
+        (F.col("__multi") > 0).cast("int").alias("multichain_any"), (F.col("__multi") / n).alias("multichain_fraction"),
+        (F.col("__sites") / n).alias("mean_sites"), (F.col("__chains") / n).alias("mean_chains"),
+        (F.col("chain") >= 0).cast("int").alias("is_bound"),
+    )
 
 
 def transition_type(chain: Column, site: Column, to_chain: Column, to_site: Column) -> Column:

@@ -21,7 +21,7 @@ def _chosen(s, d):
 
 
 def _smooth(s, d):
-    return v.shared(s, d, "smooth", lambda: sl.smooth_states(sl.chain_states(_chosen(s, d), v.grid(s, d))))
+    return v.shared(s, d, "smooth", lambda: sl.smooth_chosen(_chosen(s, d), v.grid(s, d)))
 
 
 def _flags(s, d):
@@ -32,7 +32,7 @@ def _flags(s, d):
 
 
 def _dwells(s, d):
-    return v.shared(s, d, "dwells", lambda: sl.dwell_events(_smooth(s, d), _flags(s, d), *bounds(s, d), v.DT_PS))
+    return v.shared(s, d, "dwells", lambda: sl.dwell_events(_smooth(s, d), v.contacts(s, d), *bounds(s, d), v.DT_PS))
 
 
 def _n_frames(s, d):

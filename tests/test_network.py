@@ -411,3 +411,70 @@ def test_events_shorter_than_the_smallest_lag_meet_no_nodes(spark, monkeypatch):
     want = [("A", 1, 2, 2.0, 2.0, 1.0, 2), ("A", 2, 1, 4.0, 4.0, 2.0, 1), ("B", 1, 1, 1.0, 1.0, 0.5, 1)]
     assert sorted(tuple(r) for r in got) == want
     assert given == [2, 2]
+
+
+@pytest.mark.parametrize("chunk", [7, 20_000])
+def test_dominant_chain_looks_back_over_chunks(spark, monkeypatch, chunk):
+    rng = random.Random(4)
+    contacts, truth = [], {}
+    for center in range(6):
+        previous = -1
+        for f in range(70):
+            if rng.random() < 0.04:
+                previous = -1
+                continue
+            chains = rng.sample(range(4), rng.choice((2, 3))) if rng.random() < 0.9 or center == 5 else [rng.randrange(4)]
+            dist = {c: round(rng.uniform(2, 3), 3) for c in chains}
+            contacts += [(f, center, "polymer", c, 10 + c, d) for c, d in dist.items()]
+            previous = previous if previous in chains else min(chains, key=lambda c: (dist[c], c))
+            truth[f, center] = (previous, 10 + previous)
+    cuts = []
+    monkeypatch.setattr(sl, "cut", lambda df, cut=sl.cut: cuts.append(df) or cut(df))
+    df = spark.createDataFrame(contacts, "frame bigint, center_id bigint, ligand_kind string, ligand_id bigint, site_index bigint, distance double")
+    rows = (sl.dominant_chain(df, 50, chunk=chunk) if chunk < 100 else sl.dominant_chain(df, 50)).collect()
+    assert len(rows) == len(truth) and {(r.frame, r.center_id): (r.chain, r.site) for r in rows} == truth
+    # One pass over the rows, unless ties cross from chunk to chunk.
+    assert bool(cuts) == (chunk < 100)
+
+
+@pytest.mark.parametrize("chunk", [5, 20_000])
+def test_dwells_are_put_together_over_chunks(spark, chunk):
+    rng = random.Random(8)
+    states, contacts, want = {}, set(), {}
+    for center in range(4):
+        event, was = 0, None
+        for f in range(40):
+            now = was if was and rng.random() < 0.7 + 0.1 * center else rng.choice([(-1, -1), (0, 3), (0, 4), (1, 3)])
+            states[f, center] = now
+            bound = {(rng.choice(["polymer", "anion"]), rng.randrange(3), rng.randrange(4)) for _ in range(rng.randrange(4))}
+            contacts |= {(f, center, *b, 2.0) for b in bound}
+            event, was = event + (now != was), now
+            chains, anions = {b[1] for b in bound if b[0] == "polymer"}, {b[1] for b in bound if b[0] == "anion"}
+            row = (f, bool(anions), len(chains) >= 2, sum(b[0] == "polymer" for b in bound), len(chains))
+            want.setdefault((center, event, *now), []).append(row)
+    # A cell without a state is in no dwell.
+    contacts.add((40, 0, "anion", 1, 1, 2.0))
+    smooth = spark.createDataFrame([(f, c, *s) for (f, c), s in states.items()], "frame bigint, center_id bigint, smooth_chain bigint, smooth_site bigint")
+    rows = spark.createDataFrame(sorted(contacts), "frame bigint, center_id bigint, ligand_kind string, ligand_id bigint, site_index bigint, distance double")
+    got = sl.dwell_events(smooth, rows, F.lit(0), F.lit(39), 2.0, chunk=chunk).collect()
+    assert len(got) == len(want)
+    for r in got:
+        cells = want[r.center_id, r.event, r.chain, r.site]
+        f, anion, multi, sites, chains = zip(*cells)
+        assert (r.start_frame, r.end_frame, r.n_frames, r.duration_ps) == (f[0], f[-1], len(f), 2.0 * len(f))
+        assert (r.left_censored, r.right_censored, r.is_bound) == (f[0] == 0, f[-1] == 39, r.chain >= 0)
+        assert (r.anion_any, r.multichain_any) == (any(anion), any(multi))
+        means = [sum(c) / len(f) for c in (anion, multi, sites, chains)]
+        assert [r.anion_fraction, r.multichain_fraction, r.mean_sites, r.mean_chains] == pytest.approx(means)
+
+
+@pytest.mark.parametrize("chunk", [4, 20_000])
+def test_smoothing_of_choices_exchanges_rows_once(spark, chunk):
+    rng = random.Random(6)
+    grid = spark.createDataFrame([(f, c) for f in range(20) for c in range(3)], "frame bigint, center_id bigint")
+    rows = [(f, c, rng.randrange(2), rng.randrange(1, 4), 1.5) for f in range(22) for c in range(3) if rng.random() < 0.7]
+    chosen = spark.createDataFrame(rows, "frame bigint, center_id bigint, chain bigint, site bigint, coordinate double")
+    smooth = sl.smooth_chosen(chosen, grid, chunk=chunk)
+    assert smooth._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = sl.smooth_states(sl.chain_states(chosen, grid))
+    assert sorted(map(str, smooth.collect())) == sorted(map(str, want.collect()))
