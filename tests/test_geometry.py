@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ionweave.functions.geometry import BOX_COLUMNS, Vector, minimum_image, minimum_image_triclinic, vector
 from ionweave.operators import contacts as ct
 from ionweave.operators import mobility as mo
+from ionweave.plans.registry import rounded
 
 
 def one(spark, columns):
@@ -179,3 +180,31 @@ def test_van_hove_bins_hold_their_lower_edge(spark):
     df = spark.createDataFrame(rows, "entity_id bigint, species string, frame bigint, ux double, uy double, uz double")
     got = mo.self_van_hove(df, [1]).filter("density > 0").collect()
     assert [(round(r.r, 6), r.n_samples) for r in got] == [(0.35, 2)]
+
+
+def test_contact_join_makes_rows_of_near_pairs_only(spark, monkeypatch):
+    monkeypatch.setattr(ct, "PART", 64)
+    rng = np.random.default_rng(9)
+    box = (40.0, 40.0, 40.0, 90.0, 90.0, 90.0)
+    c, s = rng.uniform(0, 40, (150, 3)), rng.uniform(0, 40, (300, 3))
+    cdf = spark.createDataFrame([(0, i, *map(float, r), *box) for i, r in enumerate(c)], f"frame bigint, center_id int, x double, y double, z double, {SIX}")
+    sdf = spark.createDataFrame([(0, i, *map(float, r), *box) for i, r in enumerate(s)], f"frame bigint, site_id int, x double, y double, z double, {SIX}")
+    d = c[:, None] - s[None]
+    near = np.sqrt(((d - 40.0 * np.rint(d / 40.0)) ** 2).sum(-1)) <= 15.0
+    df = ct.contact_join_cell(cdf, sdf, 15.0)
+    assert df.count() == near.sum()
+    # The rows that are joined are blocks: far fewer than the pairs they give.
+    met = []
+    monkeypatch.setattr(type(cdf), "mapInArrow", lambda df, *_: met.append(df.count()) or df)
+    ct.contact_join_cell(cdf, sdf, 15.0)
+    assert met[0] * 20 < near.sum()
+
+
+@pytest.mark.parametrize("places", [0, 4, 6])
+def test_rounding_equals_spark(spark, places):
+    rng = np.random.default_rng(places)
+    values = [*(rng.normal(size=400) * 10.0 ** rng.integers(-8, 17, 400)), *(rng.integers(-999, 999, 200) / 2000), 0.0, -0.0, 1e300]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),), (float("inf"),), (None,)], "v double")
+    fast = rounded(F.col("v"), places)
+    got = df.select((fast + 0.0).alias("a"), (F.round("v", places) + 0.0).alias("b")).collect()
+    assert [repr(r.a) for r in got] == [repr(r.b) for r in got]
