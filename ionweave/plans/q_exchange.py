@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from ionweave.operators import exchange as ex
 from ionweave.plans import views as v
-from ionweave.plans.q_mobility import center_walk
 from ionweave.plans.registry import define, register
 
 LAGS = [1, 3, 8, 33]
@@ -17,9 +16,9 @@ def shells(s, d):
 
 
 def samples(s, d):
-    """Sixteen samples a cell are made where they are summed; only the cells are written."""
-    cells = v.shared(s, d, "exchange_cells", lambda: ex.exchange_cells(shells(s, d), center_walk(s, d), LAGS))
-    return ex.samples_of_cells(cells, LAGS, v.DT_PS, BLOCK_NS)
+    """Four samples of a pair are made where they are summed; only the pairs are written."""
+    pairs = v.shared(s, d, "exchange_pairs", lambda: ex.contact_pairs(v.contacts(s, d), v.located_grid(s, d), LAGS))
+    return ex.samples_of_pairs(pairs, v.DT_PS, BLOCK_NS)
 
 
 define(
